@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
@@ -15,6 +21,48 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(read_table(spark, sf_dir, "embeddings"))
+
+
+def op8_vp_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vptree import nearest
+
+    return nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge
 
@@ -27,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op9_url_rules, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_simhash, op4_html_text, op5_packing, op6_toxicity, op7_exact_topk, op8_vp_trees, op9_url_rules, op10_mixing)}
 
 _LINE_KEYS = r"""
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
@@ -38,6 +86,13 @@ judged AS (SELECT keyed.*, coalesce(n >= 2 AND doc_id <> holder, false) AS falls
 """
 
 ORACLES = {
+    "op7_exact_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+""",
     "op2_line_dedup": f"""
 WITH {_LINE_KEYS}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (falls) AS n_dropped,
