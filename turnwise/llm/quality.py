@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from .ngrams import BITS, Ftrl, Model, sigmoid, sparse
-from .scoring import labelled_sample, score_table
+from .scoring import judged, labelled_sample, passed
 
 #: Labelled rows that the model is fitted on at most.
 FIT_ROWS, EPOCHS = 4000, 4
@@ -27,13 +27,7 @@ def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int =
     return learner.model()
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score (1: labelled good is likelier), predicted per document.
-
-    Learns from labels of at most ``fit_rows`` documents whose crc32(id) mod 4 is not 2; only texts are inputs. Whole
-    texts are scored, empty and null ones by a feature of their own. A null id is never held out. An empty table gives
-    no rows; without labels every score is 0.5. Repeated rows score alike. Other columns don't matter unless in ``keep``.
-    """
+def _scorer(docs: DataFrame, labels: DataFrame, key: str, text: str, fit_rows: int):
     model = docs.sparkSession.sparkContext.broadcast(train(labelled_sample(docs, labels, "quality", FOLD, FOLDS, fit_rows, key, text)))
 
     def make():
@@ -41,4 +35,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         bits = len(m.weights).bit_length() - 1
         return lambda t: sigmoid(m.logit(*sparse(t, bits)))
 
-    return score_table(docs, make, FOLD, FOLDS, threshold, key, text, keep)
+    return make
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score (1: labelled good is likelier), predicted per document.
+
+    Learns from labels of at most ``fit_rows`` documents whose crc32(id) mod 4 is not 2; only texts are inputs. Whole
+    texts are scored, empty and null ones by a feature of their own. A null id is never held out. An empty table gives
+    no rows; without labels every score is 0.5. Repeated rows score alike. Other columns don't matter.
+    """
+    return judged(docs, _scorer(docs, labels, key, text, fit_rows), FOLD, FOLDS, threshold, key, text)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score_quality predicts to be good, in all their columns."""
+    return passed(docs, _scorer(docs, labels, key, text, fit_rows), FOLD, FOLDS, threshold, key, text)

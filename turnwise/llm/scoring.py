@@ -25,25 +25,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, o
     return [(r["__text"], r["__y"]) for r in found.orderBy("__id", F.xxhash64("__text")).select("__text", "__y").limit(2 * rows).collect()]
 
 
-def score_table(docs: DataFrame, make: Callable[[], Callable[[str | None], float]], fold: int, of: int, threshold: float, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, held_out, score and predicted per row; with ``keep``, those columns of docs come along as they are.
+def _scored(docs: DataFrame, make: Callable[[], Callable[[str | None], float]], fold: int, of: int, threshold: float, key: str, text: str, keep: list[str]) -> DataFrame:
+    """doc_id, held_out, score and predicted, then the kept columns: text as ``text``, the others as c0, c1 and so on.
 
     ``make`` runs once in each task and gives the scorer of one text. Each row is scored by itself: no shuffle.
     """
     ship(docs.sparkSession)
-    held = F.coalesce(crc_bucket(F.col(key), of) == fold, F.lit(False))
-    extra = [F.col(f"`{c}`").alias(f"__keep_{i}") for i, c in enumerate(keep or [])]
-    rows = docs.select(F.col(key).alias("doc_id"), held.alias("held_out"), F.col(text).alias("__text"), *extra)
+    held = F.coalesce(crc_bucket(F.col(f"`{key}`"), of) == fold, F.lit(False))
+    others = [c for c in keep if c != text]
+    rows = docs.select(F.col(f"`{key}`").alias("doc_id"), held.alias("held_out"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    names = ["doc_id", "held_out", "score", "predicted", *(["text"] if keep else []), *[f"c{i}" for i in range(len(others))]]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for b in batches:
             s = np.fromiter((score(t.as_py()) for t in b.column(2)), dtype=np.float64, count=b.num_rows)
-            cols = [b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *[b.column(3 + i) for i in range(len(extra))]]
-            yield pa.RecordBatch.from_arrays(cols, [*names])
-
-    schema = rows.drop("__text").schema
-    names = ["doc_id", "held_out", "score", "predicted", *[f.name for f in schema.fields[2:]]]
-    types = [schema["doc_id"].dataType.simpleString(), "boolean", "double", "int", *[f.dataType.simpleString() for f in schema.fields[2:]]]
-    out = rows.mapInArrow(scored, ", ".join(f"`{n}` {t}" for n, t in zip(names, types)))
-    return out.select("doc_id", "held_out", "score", "predicted", *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep or [])])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), *b.columns[3 - bool(keep) :]], names)
+
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | {"score": "double", "predicted": "int"}
+    return rows.mapInArrow(scored, ", ".join(f"`{n}` {types[n]}" for n in names))
+
+
+def judged(docs: DataFrame, make: Callable, fold: int, of: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, score, predicted per row of docs."""
+    return _scored(docs, make, fold, of, threshold, key, text, [])
+
+
+def passed(docs: DataFrame, make: Callable, fold: int, of: int, threshold: float, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, in their own columns, whose score reaches the threshold."""
+    others = [c for c in docs.columns if c != text]
+    out = _scored(docs, make, fold, of, threshold, key, text, docs.columns).filter("predicted = 1")
+    return out.select(*[F.col("text" if c == text else f"c{others.index(c)}").alias(c) for c in docs.columns])

@@ -113,3 +113,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     classes = classes.join(found, classes["first"] == found["node"], "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     out = fps.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """The rows of docs, in all their columns, without near duplicates: of each component the document with the smallest id.
+
+    Rows that repeat that id are one document and leave one row. Rows without an id can't be named as a duplicate; they stay.
+    """
+    found = near_duplicates(docs, key, text, radius, segments)
+    firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(firsts, key, "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .ngrams import REMEMBERED, Ftrl, sigmoid
-from .scoring import labelled_sample, score_table
+from .scoring import judged, labelled_sample
 
 #: Terms that name groups of people, by language. Each list is swapped within itself.
 IDENTITY_TERMS = {
@@ -134,14 +134,14 @@ def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int =
     return Model(m.weights, m.bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, penalty: float = PENALTY, keep: list[str] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD, penalty: float = PENALTY) -> DataFrame:
     """doc_id, held_out, score (1: labelled toxic is likelier), predicted per document.
 
     Learns from labels of at most ``fit_rows`` documents whose crc32(id) mod 5 is not 0; only texts are inputs. Whole
     texts are scored, each distinct word once. Null, empty and wordless texts get the model's base score. A null id is
     never held out. Without labels every score is 0.5; an empty table gives no rows; repeated rows score alike. Other
-    columns don't matter unless in ``keep``.
+    columns don't matter.
     """
     fitted = train(labelled_sample(docs, labels, "toxic", FOLD, FOLDS, fit_rows, key, text), penalty=penalty)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
-    return score_table(docs, lambda: model.value.scorer(), FOLD, FOLDS, threshold, key, text, keep)
+    return judged(docs, lambda: model.value.scorer(), FOLD, FOLDS, threshold, key, text)
