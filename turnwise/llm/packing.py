@@ -18,35 +18,97 @@ CAPACITY, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1 / 2048
 #: Documents that are packed together; a task holds at most their last, short pieces: SHARD_DOCS * CAPACITY ids of two bytes.
 SHARD_DOCS = 2000
-#: Words a worker remembers the ids of; beyond that it forgets all.
+#: Words whose ids a worker remembers, and words since the last time it forgot the rest; it holds twice as many at most.
 REMEMBERED = 300_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: A word of letters that no tokenizer normalises other than by case, and signs after it that no letter joins.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|()\"]*)")
+
+
+class _Recent:
+    """Two generations of a dict: what is used moves to the young one; when that is full, it becomes the old one and the old one goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list:
+        """Those of the distinct keys that aren't known; the others are in ``young`` from now on."""
+        new = []
+        for k in keys:
+            if k in self.young:
+                continue
+            if (v := self.old.get(k)) is None:
+                new.append(k)
+            else:
+                self.young[k] = v
+        return new
+
+    def age(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class WordTokens:
-    """Ids of a text by a tokenizer whose tokens never span white space, as little-endian 16-bit bytes; each distinct word is tokenised once while remembered."""
+    """Ids of a text as little-endian 16-bit bytes, by a tokenizer whose tokens never span white space and whose words end in a token of their own.
+
+    Words are tokenised once while remembered. A word of plain letters with signs after it is put together from the two
+    parts' ids, and new parts are tokenised in one text, which is what the tokenizer is fast at.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("the vocabulary has ids of more than 16 bits")
-        self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(1 << 16, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words, self.parts = _Recent(REMEMBERED), _Recent(REMEMBERED)
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+
+    def _learn_parts(self, parts) -> dict[str, bytes]:
+        self.parts.age()
+        for i in range(0, len(new := self.parts.missing(parts)), 4096):
+            some = new[i : i + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw, at = ids.tobytes(), 0
+                for w, stop in zip(some, (2 * stops).tolist()):
+                    self.parts.young[w], at = raw[at:stop], stop
+            else:
+                self.parts.young.update((w, self._one(w)) for w in some)
+        return self.parts.young
 
     def __call__(self, text: str | None) -> bytes:
-        words = WORD.findall(text or "")
-        new = [w for w in set(words) if w not in self.known]
-        if len(new) + len(self.known) > REMEMBERED:
-            self.known.clear()
-            new = list(set(words))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, dtype="<u2").tobytes()
-        return b"".join(map(self.known.__getitem__, words))
+        text = text or ""
+        # str.split also splits at \x1c to \x1f, which are signs to a tokenizer
+        words = WORD.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        self.words.age()
+        young = self.words.young
+        found = list(map(young.get, words))
+        if None not in found:
+            return b"".join(found)
+        gaps = [i for i, v in enumerate(found) if v is None]
+        new = self.words.missing({words[i] for i in gaps})
+        split = {w: m.groups() for w in new if (m := PLAIN.fullmatch(w))}
+        known = self._learn_parts({p for a, b in split.values() for p in ((a.lower(), b) if b else (a.lower(),))})
+        for w in new:
+            if w in split:
+                a, b = split[w]
+                young[w] = known[a.lower()] + known[b] if b else known[a.lower()]
+            else:
+                young[w] = self._one(w)
+        for i in gaps:
+            found[i] = young[words[i]]
+        return b"".join(found)
 
 
 _tokens: dict[str, WordTokens] = {}
