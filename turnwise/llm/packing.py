@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +19,13 @@ LINEAR, QUADRATIC = 1.0, 1 / 2048
 #: Documents that are packed together; a task holds at most their last, short pieces: SHARD_DOCS * CAPACITY ids of two bytes.
 SHARD_DOCS = 2000
 #: Words whose ids a worker remembers, and words since the last time it forgot the rest; it holds twice as many at most.
-REMEMBERED = 300_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+REMEMBERED = 500_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: A word of letters that no tokenizer normalises other than by case, and signs after it that no letter joins.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%$&*#|()\"]*)")
+PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?%$&*#|()\"]*)$"
 
 
 class _Recent:
@@ -38,13 +37,14 @@ class _Recent:
     def missing(self, keys) -> list:
         """Those of the distinct keys that aren't known; the others are in ``young`` from now on."""
         new = []
+        young, old = self.young, self.old
         for k in keys:
-            if k in self.young:
+            if k in young:
                 continue
-            if (v := self.old.get(k)) is None:
+            if (v := old.get(k)) is None:
                 new.append(k)
             else:
-                self.young[k] = v
+                young[k] = v
         return new
 
     def age(self) -> None:
@@ -52,11 +52,18 @@ class _Recent:
             self.old, self.young = self.young, {}
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions first[i], first[i] + 1, ... of n[i] each, one run after the other."""
+    end = np.cumsum(n)
+    return np.repeat(first - (end - n), n) + np.arange(end[-1] if len(end) else 0)
+
+
 class WordTokens:
-    """Ids of a text as little-endian 16-bit bytes, by a tokenizer whose tokens never span white space and whose words end in a token of their own.
+    """Ids of texts by a tokenizer whose tokens never span white space and whose words end in a token of their own.
 
-    Words are tokenised once while remembered. A word of plain letters with signs after it is put together from the two
-    parts' ids, and new parts are tokenised in one text, which is what the tokenizer is fast at.
+    Arrow splits a batch into words, numbers the distinct ones and takes them apart into plain letters and signs after
+    them; only distinct parts reach Python, where they are remembered, and new ones are tokenised in one text, which is
+    what the tokenizer is fast at. numpy puts words and texts together from their parts' ids.
     """
 
     def __init__(self, path: str):
@@ -68,47 +75,60 @@ class WordTokens:
             raise ValueError("the vocabulary has ids of more than 16 bits")
         self.ends = np.zeros(1 << 16, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.parts = _Recent(REMEMBERED), _Recent(REMEMBERED)
+        self.parts, self.odd = _Recent(REMEMBERED), _Recent(REMEMBERED)
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
 
-    def _learn_parts(self, parts) -> dict[str, bytes]:
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of distinct parts, each of which is one word to the tokenizer."""
         self.parts.age()
-        for i in range(0, len(new := self.parts.missing(parts)), 4096):
+        young = self.parts.young
+        new = self.parts.missing(parts)
+        for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
                 raw, at = ids.tobytes(), 0
                 for w, stop in zip(some, (2 * stops).tolist()):
-                    self.parts.young[w], at = raw[at:stop], stop
+                    young[w], at = raw[at:stop], stop
             else:
-                self.parts.young.update((w, self._one(w)) for w in some)
-        return self.parts.young
+                young.update((w, self._one(w)) for w in some)
+        return list(map(young.__getitem__, parts))
+
+    def _of_odd(self, words: list[str]) -> list[bytes]:
+        self.odd.age()
+        self.odd.young.update((w, self._one(w)) for w in self.odd.missing(words))
+        return list(map(self.odd.young.__getitem__, words))
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch of texts, one after the other, and where each text's begin; null texts have none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = pc.dictionary_encode(lists.flatten())
+        words = coded.dictionary
+        apart = pc.extract_regex(words, PLAIN)
+        plain = pc.is_valid(apart).to_numpy(zero_copy_only=False)
+        stem = pc.dictionary_encode(pc.utf8_lower(pc.struct_field(apart, "stem").filter(plain)))
+        signs = pc.dictionary_encode(pc.struct_field(apart, "signs").filter(plain))
+        tables = [self._of_parts(stem.dictionary.to_pylist()), [self._one(x) for x in signs.dictionary.to_pylist()], self._of_odd(words.filter(~plain).to_pylist())]
+        found = [x for t in tables for x in t] + [b""]
+        ids, n = np.frombuffer(b"".join(found), dtype="<u2"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        first = np.cumsum(n) - n
+        item = np.full((len(words), 2), len(found) - 1)  # a word's parts; the last of all is empty
+        item[plain, 0] = stem.indices.to_numpy()
+        item[plain, 1] = signs.indices.to_numpy().astype(np.int64) + len(tables[0])
+        item[~plain, 0] = np.arange(len(tables[2])) + len(tables[0]) + len(tables[1])
+        flat = item.ravel()
+        ids, n = ids[_spread(first[flat], n[flat])], n[item].sum(axis=1)
+        first = np.cumsum(n) - n
+        at = coded.indices.to_numpy()
+        length = n[at]
+        starts = np.concatenate([[0], np.cumsum(length)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids[_spread(first[at], length)], starts
 
     def __call__(self, text: str | None) -> bytes:
-        text = text or ""
-        # str.split also splits at \x1c to \x1f, which are signs to a tokenizer
-        words = WORD.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        self.words.age()
-        young = self.words.young
-        found = list(map(young.get, words))
-        if None not in found:
-            return b"".join(found)
-        gaps = [i for i, v in enumerate(found) if v is None]
-        new = self.words.missing({words[i] for i in gaps})
-        split = {w: m.groups() for w in new if (m := PLAIN.fullmatch(w))}
-        known = self._learn_parts({p for a, b in split.values() for p in ((a.lower(), b) if b else (a.lower(),))})
-        for w in new:
-            if w in split:
-                a, b = split[w]
-                young[w] = known[a.lower()] + known[b] if b else known[a.lower()]
-            else:
-                young[w] = self._one(w)
-        for i in gaps:
-            found[i] = young[words[i]]
-        return b"".join(found)
+        return self.of_texts(pa.array([text], pa.string()))[0].tobytes()
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -126,10 +146,12 @@ def _cut(path: str, end: int, capacity: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = _tokens.setdefault(path, None) or _tokens.__setitem__(path, WordTokens(path)) or _tokens[path]
+        last = end.to_bytes(2, "little")
         for b in batches:
             rows: list[tuple] = []
-            for key, shard, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                ids = tokens(text.as_py()) + end.to_bytes(2, "little")
+            every, starts = tokens.of_texts(b.column(2))
+            for i, (key, shard) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                ids = every[starts[i] : starts[i + 1]].tobytes() + last
                 n = len(ids) // 2
                 for at in range(0, n, capacity):
                     piece = ids[2 * at : 2 * (at + capacity)]
