@@ -115,7 +115,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
 
     Vectors that are null or empty, or hold null or non-finite components, and null ids take no part. Vectors meet only
     those of their dimension. All if there are fewer than k. Rows that repeat an id aren't candidates of their own id;
-    elsewhere each counts. Other columns don't matter; an empty table gives no rows. Scores must fit 64 bits.
+    elsewhere each counts. Other columns don't matter; an empty table gives no rows. Components whose
+    products could reach 2**61 raise an error.
     """
     rows = usable(vectors, key, vector).select("vec_id", quantised(F.col("v"), scale).alias("v"))
     rows = staged(rows, "quantised")
@@ -125,6 +126,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     spread = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
     most = rows.agg(size(F.when(F.col("vec_id") % every == 0, spread)).alias("query"), size(F.array_max(F.transform("v", F.abs))).alias("largest")).first()
     reach = int(most["query"] * most["largest"]) + 1
+    if reach >= 2**61:
+        raise ValueError("components are too large for scores of 64 bits")
     width = 1
     while width * BINS <= 2 * reach:
         width *= BINS
