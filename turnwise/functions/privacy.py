@@ -74,6 +74,14 @@ def redact(df: DataFrame, text: str = "text", mode: str = "typed", out: str = "r
     return df.withColumn("n_pii", total)
 
 
+def redacted(c: Column, mode: str = "typed") -> Column:
+    """The redacted text alone, as one expression; it can stand in a lambda."""
+    tag = lambda kind: _literal("[REDACTED]" if mode == "masked" else f"[{kind}]")
+    for kind, pattern in PATTERNS if mode != "none" else ():
+        c = F.regexp_replace(c, pattern, "$1" + tag(kind))
+    return c if mode == "none" else F.regexp_replace(F.regexp_replace(c, NAME, "$1" + tag("NAME")), JI_NAME, tag("NAME") + " ji")
+
+
 def _literal(s: str) -> str:
     return s.replace("\\", "\\\\").replace("$", "\\$")
 

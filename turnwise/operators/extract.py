@@ -228,9 +228,9 @@ def ensemble(turns: DataFrame, answers: DataFrame, budget_ms: int = 1500) -> Dat
     ruled = rules(turns)
     in_time = answers.filter(F.col("latency_ms") <= budget_ms).select("conv_id", "turn_idx", "model_event")
     j = ruled.join(in_time, ["conv_id", "turn_idx"], "left").withColumn("model_event", F.when(F.col("speaker") == "caller", F.col("model_event")))
-    g = ground(j.withColumn("model_event", F.col("model_event").cast(EVENT)), "model_event")
-    g = g.withColumn("model_event", F.when(F.col("model_event.requested_action").isNotNull(), F.col("model_event")))
-    return g.withColumn("event", merge(F.col("event"), F.col("model_event"))).drop("model_event", "n_kept", "n_dropped", "n_dropped_entities", "downgraded")
+    j = j.withColumns({"model_event": F.col("model_event").cast(EVENT), "__answered": F.col("model_event").isNotNull()})
+    g = ground(j, "model_event").withColumn("model_event", F.when(F.col("__answered"), F.col("model_event")))
+    return g.withColumn("event", merge(F.col("event"), F.col("model_event"))).drop("model_event", "__answered", "n_kept", "n_dropped", "n_dropped_entities", "downgraded")
 
 
 def strip_fences(c: Column) -> Column:

@@ -47,7 +47,7 @@ def linkage(sim: np.ndarray, weight: np.ndarray, threshold: float) -> list[list[
     groups, w = [[i] for i in range(len(sim))], weight.astype(float)
     total = sim * w[:, None] * w[None, :]
     while len(groups) > 1:
-        mean = np.where(np.triu(np.ones_like(total, dtype=bool), 1), total / (w[:, None] * w[None, :]), -1.0)
+        mean = np.where(np.triu(np.ones_like(total, dtype=bool), 1), np.round(total / (w[:, None] * w[None, :]), 12), -1.0)
         a, b = divmod(int(np.argmax(mean)), len(groups))
         if mean[a, b] < threshold:
             break

@@ -67,7 +67,7 @@ def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
 def dialogue_turns(text: Column) -> Column:
     """(speaker, text) of a dialogue written with caller: and receiver: labels; blank parts go."""
     parts = F.regexp_extract_all(text, F.lit(r"(?is)(caller|receiver)\s*:(.*?)(?=(?:caller|receiver)\s*:|\z)"), 0)
-    split = F.transform(parts, lambda p: F.struct(F.when(F.lower(F.substring(p, 1, 6)) == "caller", "caller").otherwise("user").alias("speaker"), F.trim(F.regexp_replace(p, r"(?is)^(?:caller|receiver)\s*:", "")).alias("text")))
+    split = F.transform(parts, lambda p: F.struct(F.when(F.lower(F.substring(p, 1, 6)) == "caller", "caller").otherwise("user").alias("speaker"), F.btrim(F.regexp_replace(p, r"(?is)^(?:caller|receiver)\s*:", ""), F.lit(" \t\r\n")).alias("text")))
     return F.filter(split, lambda t: F.length(t["text"]) > 0)
 
 
