@@ -44,6 +44,19 @@ TYPES = (*[k for k, _ in PATTERNS], "NAME")
 MODES = ("none", "typed", "masked")
 
 
+def _may(kind: str, c: Column) -> Column:
+    """A cheap test that every text with something of a kind passes, so most texts skip most patterns."""
+    if kind in ("EMAIL", "UPI"):
+        return F.contains(c, F.lit("@"))
+    if kind == "URL":
+        return c.rlike(r"(?i)https?://|www\.|\.(?:ly/|com/|me/|gy/|apk|xyz|top|click|link)")
+    if kind == "NAME":
+        return c.rlike(rf"(?iu)(?:{'|'.join((*TITLES, *LEADS))})[\s\p{{Z}}]")
+    if kind == "JI":
+        return F.contains(c, F.lit(" ji"))
+    return F.contains(c, F.lit("0")) if kind == "IFSC" else c.rlike(r"\p{Nd}{3}")
+
+
 def redact(df: DataFrame, text: str = "text", mode: str = "typed", out: str = "redacted", spans: bool = False) -> DataFrame:
     """df with ``out``, n_pii and, for each kind, n_<kind>; with ``spans`` also the taken-out strings by kind, in order.
 
@@ -52,26 +65,26 @@ def redact(df: DataFrame, text: str = "text", mode: str = "typed", out: str = "r
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
     df = df.withColumn(out, F.col(text))
-    tag = lambda kind: "[REDACTED]" if mode == "masked" else f"[{kind}]"
-    if mode != "none":
-        for kind, pattern in PATTERNS:
-            cur = F.col(out)
-            extra = {f"spans_{kind.lower()}": _values(cur, pattern)} if spans else {}
-            df = df.withColumns({f"n_{kind.lower()}": F.coalesce(F.regexp_count(cur, F.lit(pattern)), F.lit(0)), out: F.regexp_replace(cur, pattern, "$1" + _literal(tag(kind))), **extra})
-        cur = F.col(out)
-        extra = {"__lead": _values(cur, NAME)} if spans else {}
-        df = df.withColumns({"__named": F.coalesce(F.regexp_count(cur, F.lit(NAME)), F.lit(0)), out: F.regexp_replace(cur, NAME, "$1" + _literal(tag("NAME"))), **extra})
-        extra = {"spans_name": F.concat("__lead", F.regexp_extract_all(cur, F.lit(JI_NAME), 2))} if spans else {}
-        df = df.withColumns({"n_name": F.col("__named") + F.coalesce(F.regexp_count(cur, F.lit(JI_NAME)), F.lit(0)), out: F.regexp_replace(cur, JI_NAME, _literal(tag("NAME")) + " ji"), **extra})
-        df = df.drop("__named", "__lead")
-    else:
+    tag = lambda kind: _literal("[REDACTED]" if mode == "masked" else f"[{kind}]")
+    if mode == "none":
         df = df.withColumns({f"n_{k.lower()}": F.lit(0) for k in TYPES})
+        df = df.withColumns({f"spans_{k.lower()}": F.array().cast("array<string>") for k in TYPES}) if spans else df
+        return df.withColumn("n_pii", F.lit(0))
+    steps = [(k, k, p, "$1" + tag(k)) for k, p in PATTERNS] + [("NAME", "NAME", NAME, "$1" + tag("NAME")), ("JI", "NAME", JI_NAME, tag("NAME") + " ji")]
+    cur, none = F.col(out), F.array().cast("array<string>")
+    for name, _, pattern, to in steps:
+        may = _may(name, cur)
+        new = {f"__n_{name}": F.when(may, F.regexp_count(cur, F.lit(pattern))).otherwise(0), out: F.when(may, F.regexp_replace(cur, pattern, to)).otherwise(cur)}
         if spans:
-            df = df.withColumns({f"spans_{k.lower()}": F.array().cast("array<string>") for k in TYPES})
-    total = F.lit(0)
-    for k in TYPES:
-        total = total + F.col(f"n_{k.lower()}")
-    return df.withColumn("n_pii", total)
+            taken = F.regexp_extract_all(cur, F.lit(pattern), 2) if name == "JI" else _values(cur, pattern)
+            new[f"__s_{name}"] = F.when(may, taken).otherwise(none)
+        df = df.withColumns(new)
+    of = lambda k, c: [F.col(f"{c}{n}") for n, kind, *_ in steps if kind == k]
+    df = df.withColumns({f"n_{k.lower()}": sum(of(k, "__n_")[1:], of(k, "__n_")[0]) for k in TYPES})
+    if spans:
+        df = df.withColumns({f"spans_{k.lower()}": F.concat(*of(k, "__s_")) for k in TYPES})
+    total = sum([F.col(f"n_{k.lower()}") for k in TYPES[1:]], F.col(f"n_{TYPES[0].lower()}"))
+    return df.withColumn("n_pii", total).drop(*[f"__{x}_{n}" for n, *_ in steps for x in "ns"])
 
 
 def redacted(c: Column, mode: str = "typed") -> Column:
