@@ -412,3 +412,25 @@ def streamed_stage_events(spark, sf_dir):
     from ..streaming.session import replay_stages
 
     return replay_stages(hits(spark, sf_dir).select("conv_id", "turn_idx", "signal", "confidence"))
+
+
+# ---- reports on generated conversations --------------------------------------------------------------------------------
+
+
+@query()
+def novelty_leave_family_out(spark, sf_dir):
+    """Mean match of each family to a library without it."""
+    from . import evaluation
+
+    known = staged(datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7)), "known")
+    test = staged(datagen.incidents(datagen.turns(datagen.conversations(spark, 4, 101, None, 0.0), 101)), "test")
+    return evaluation.leave_families_out(known, test)[0]
+
+
+@query()
+def extraction_report(spark, sf_dir):
+    """Turns, action and stage accuracy, macro F1 and grounding rate of the rules on generated turns."""
+    from . import evaluation
+
+    gold = staged(datagen.gold(datagen.turns(datagen.conversations(spark, 3, 101), 101)), "gold")
+    return evaluation.extraction(gold)["totals"]
