@@ -62,6 +62,10 @@ ACTIONS = {
 }
 INTENTS = ("GREETING", "INFORM", "REASSURE", "OFFER", "THREATEN", "REQUEST_ACTION", "REQUEST_INFO", "VICTIM_RESPONSE")
 
+#: The kinds of output events, as a display expects them.
+EVENT_TYPES = ("transcript", "privacy", "signal", "stage", "scam_dna", "shadowpath", "graph_node", "risk", "reality_pause")
+PATTERN_EVENT, PREDICTION_EVENT, PAUSE_EVENT = EVENT_TYPES[4], EVENT_TYPES[5], EVENT_TYPES[8]
+
 #: thresholds of the state machine, the matcher and the predictor
 THRESHOLD, SATURATION, UNPRESSURED, MIN_WEIGHT = 0.10, 0.5, 0.15, 0.05
 PROGRESS_STEP, DNA_STEP, PREDICTION_STEP = 0.08, 5, 10

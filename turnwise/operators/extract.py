@@ -53,16 +53,18 @@ def may_hit(text: Column) -> Column:
     return text.rlike(lex.FLAGS + "|".join(f"(?:{p})" for ps in lex.SIGNAL_PATTERNS.values() for p in ps))
 
 
-def rule_hits(text: Column, speaker: Column) -> Column:
-    """Array of (signal, evidence, confidence) of a caller's turn, by signal name; safety advice takes secrecy out."""
-    found = []
-    for s in sorted(lex.SIGNAL_PATTERNS):
-        q = signal_quote(text, s)
-        found.append(F.when(q.isNotNull(), F.struct(F.lit(s).alias("signal"), q.alias("evidence"), F.lit(0.9 if s in dims.STRONG else 0.75).alias("confidence"))))
-    hits = F.filter(F.array(*found), lambda h: h.isNotNull())
-    safe = F.exists(hits, lambda h: h["signal"] == "SAFETY_ADVICE")
-    hits = F.filter(hits, lambda h: ~(safe & (h["signal"] == "SECRECY")))
-    return F.when((speaker == "caller") & may_hit(text), hits).otherwise(F.array().cast(HITS))
+def with_rule_hits(turns: DataFrame, text: Column, speaker: Column) -> DataFrame:
+    """turns with ``__hits``: (signal, evidence, confidence) of a caller's turn, by signal name; safety advice takes secrecy out.
+
+    The quotes are columns of a projection below the one that reads them, so each pattern runs once.
+    """
+    names = sorted(lex.SIGNAL_PATTERNS)
+    t = turns.withColumn("__may", (speaker == "caller") & may_hit(text))
+    t = t.withColumns({f"__q_{s}": F.when(F.col("__may"), signal_quote(text, s)) for s in names})
+    hit = lambda s: F.struct(F.lit(s).alias("signal"), F.col(f"__q_{s}").alias("evidence"), F.lit(0.9 if s in dims.STRONG else 0.75).alias("confidence"))
+    there = lambda s: F.col(f"__q_{s}").isNotNull() & (F.col("__q_SAFETY_ADVICE").isNull() if s == "SECRECY" else F.lit(True))
+    hits = F.filter(F.array(*[F.when(there(s), hit(s)) for s in names]), lambda h: h.isNotNull())
+    return t.withColumn("__hits", hits).drop("__may", *[f"__q_{s}" for s in names])
 
 
 def actor_claim(text: Column, speaker: Column) -> Column:
@@ -123,7 +125,7 @@ def entities(text: Column) -> Column:
 def rules(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn_idx, speaker, text: redacted) with ``event``. One projection after another; no shuffle."""
     text, speaker = F.coalesce(F.col("text"), F.lit("")), F.col("speaker")
-    t = turns.withColumns({"__hits": rule_hits(text, speaker), "__entities": entities(text), "__actor": actor_claim(text, speaker)})
+    t = with_rule_hits(turns, text, speaker).withColumns({"__entities": entities(text), "__actor": actor_claim(text, speaker)})
     t = t.withColumn("__signals", F.transform("__hits", lambda h: h["signal"]))
     t = t.withColumn("__action", requested_action(text, F.col("__signals")))
     event = F.struct(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import dims
+
 
 def node_depth(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """nodes (conv_id, id, parent nullable, ord) with depth and x, the place among the nodes of that depth.
@@ -37,7 +39,7 @@ def reduce_events(events: DataFrame) -> DataFrame:
     last = lambda t: F.max_by(F.when(F.col("type") == t, F.col("payload")), F.when(F.col("type") == t, F.struct("at", "seq")))
     every = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == t, F.struct("at", "seq", "payload")))), lambda e: e["payload"])
     kinds = [every(t).alias(n) for t, n in (("transcript", "transcript"), ("signal", "signals"), ("graph_node", "nodes"))]
-    return events.groupBy("conv_id").agg(*kinds, *[last(t).alias(t) for t in ("stage", "scam_dna", "shadowpath", "privacy", "risk", "reality_pause")])
+    return events.groupBy("conv_id").agg(*kinds, *[last(t).alias(t) for t in ("stage", dims.PATTERN_EVENT, dims.PREDICTION_EVENT, "privacy", "risk", dims.PAUSE_EVENT)])
 
 
 def replay(events: DataFrame, speed: float = 1.0) -> DataFrame:

@@ -105,8 +105,8 @@ def events(a: Analysis) -> DataFrame:
         folds.privacy_totals(t).select(*keys, (F.col("at") + 10).alias("at"), F.lit(1).alias("seq"), F.lit("privacy").alias("type"), F.col("detected").cast("long").alias("detected"), F.col("detected").cast("long").alias("removed"), F.lit(0).cast("long").alias("transmitted")),
         shown.select(*keys, F.col("event_at").alias("at"), (F.col("k") + 2).alias("seq"), F.lit("signal").alias("type"), "label", "severity", "evidence"),
         stage.join(slots, keys).join(reasons, ["conv_id", "stage_idx"], "left").select(*keys, F.col("stage_at").alias("at"), F.lit(90).alias("seq"), F.lit("stage").alias("type"), dims.stage_name(F.col("stage_idx")).alias("stage"), "progress", "reason"),
-        dna.join(slots, keys).join(members, keys, "left").select(*keys, F.col("dna_at").alias("at"), F.lit(91).alias("seq"), F.lit("scam_dna").alias("type"), "matchPct", "pattern", "incidents"),
-        pred.join(slots, keys).join(a.predicted.select(*keys, F.col("evidence").alias("evidence_list")), keys, "left").select(*keys, F.col("pred_at").alias("at"), F.lit(92).alias("seq"), F.lit("shadowpath").alias("type"), dims.step_label(F.col("next")).alias("next"), "confidence", "evidence_list"),
+        dna.join(slots, keys).join(members, keys, "left").select(*keys, F.col("dna_at").alias("at"), F.lit(91).alias("seq"), F.lit(dims.PATTERN_EVENT).alias("type"), "matchPct", "pattern", "incidents"),
+        pred.join(slots, keys).join(a.predicted.select(*keys, F.col("evidence").alias("evidence_list")), keys, "left").select(*keys, F.col("pred_at").alias("at"), F.lit(92).alias("seq"), F.lit(dims.PREDICTION_EVENT).alias("type"), dims.step_label(F.col("next")).alias("next"), "confidence", "evidence_list"),
     ]
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), out)
 
