@@ -34,13 +34,17 @@ def dot(a: Column, b: Column) -> Column:
 def label_scores(queries: DataFrame, bank: DataFrame, k: int = 3, block: int = 512) -> DataFrame:
     """query_id, label, score: the mean of each query's k largest dot products with a label's exemplars.
 
-    The bank (label, vec) is a bounded exemplar table. It is packed into one array of vectors per label and block and
-    joined to the queries by label block, so a row of work is a query and a block; each gives its k largest products.
+    The bank (label, vec) is packed into arrays of about ``block`` vectors, numbered within their label by a hash, and each
+    query meets each array in an equi-join on its number, which Spark broadcasts only while the bank is small. A row of
+    work is a query and an array and gives its k largest products, so a label's exemplars never stand in one task.
     """
-    place = F.floor((F.row_number().over(W.partitionBy("label").orderBy(F.hash("vec"))) - 1) / block)
-    packed = bank.withColumn("part", place).groupBy("label", "part").agg(F.collect_list("vec").alias("vecs"))
+    sizes = bank.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts"))
+    numbered = bank.join(sizes, "label").withColumn("part", F.pmod(F.hash("vec"), F.col("parts")))
+    packed = numbered.groupBy("label", "part").agg(F.collect_list("vec").alias("vecs"))
+    asked = queries.select("query_id", "vec").join(sizes, F.lit(True))  # one row for each label: labels are a closed vocabulary
+    asked = asked.select("query_id", "vec", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     tops = F.slice(F.reverse(F.array_sort(F.transform("vecs", lambda v: dot(F.col("vec"), v)))), 1, k)
-    per = queries.select("query_id", "vec").join(F.broadcast(packed), F.lit(True)).select("query_id", "label", F.explode(tops).alias("s"))
+    per = asked.join(packed, ["label", "part"]).select("query_id", "label", F.explode(tops).alias("s"))
     r = F.row_number().over(W.partitionBy("query_id", "label").orderBy(F.desc("s")))
     return per.withColumn("r", r).filter(F.col("r") <= k).groupBy("query_id", "label").agg(F.avg("s").alias("score"))
 
