@@ -254,13 +254,28 @@ _NORM = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '^[^a-
 
 @query(f"WITH b AS (SELECT item_id, {_NORM.format('text')} AS q FROM benchmark WHERE length(text) = strlen(text)), d AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents WHERE length(text) = strlen(text)) SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)")
 def grounding_exact(spark, sf_dir):
-    """Benchmark passages found whole in documents, ASCII texts on both sides. The passages are a bounded table."""
+    """The part of grounding_whole that its SQL can repeat: ASCII texts on both sides."""
     ascii_ = F.length("text") == F.octet_length("text")
     b = table(spark, sf_dir, "benchmark").filter(ascii_).select("item_id", extract.normalise(F.col("text")).alias("q"))
     d = table(spark, sf_dir, "documents").filter(ascii_).select("doc_id", extract.normalise(F.col("text")).alias("t"))
     return d.join(F.broadcast(b), F.contains("t", F.col("q"))).select("item_id", "doc_id")
 
 
+@query()
+def grounding_whole(spark, sf_dir):
+    """All benchmark passages found whole in all documents, both normalised after NFKC, which the checking engine lacks; a test holds it against Python. The passages are a bounded table."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+    def normal(c):
+        """ASCII texts don't go to Python."""
+        ascii_ = F.length(c) == F.octet_length(c)
+        return extract.normalise(F.coalesce(extract.nfkc(F.when(~ascii_, c)), c))
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", normal(F.col("text")).alias("q")).filter("q <> ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", normal(F.col("text")).alias("t"))
+    return d.join(F.broadcast(b), F.contains("t", F.col("q"))).select("item_id", "doc_id")
+
+
 _QUOTES = [("the officer said to pay the fee now", "The officer said that you pay the full fee right now."), ("share your otp", "Please share your OTP with me."), ("wire nine thousand dollars", "Nothing of the kind was said here."), ("stay on the line and wait", "stay on that line, and please wait")]
 
 
