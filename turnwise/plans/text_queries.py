@@ -9,7 +9,7 @@ from ..functions import dims, privacy
 from ..operators import evaluate, extract, folds, graph, semantic
 from ..sources.stage import staged
 from . import datagen, session
-from .queries import EV, PROGRESS, evidence, hits, query, table
+from .queries import EV, ORACLES, PROGRESS, evidence, hits, query, table
 
 # ---- redaction ---------------------------------------------------------------------------------------------------------
 
@@ -304,14 +304,22 @@ _KNN = """q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC) AS r FROM s), ls AS (SELECT query_id, label, avg(s) AS score FROM r WHERE r <= 3 GROUP BY 1, 2)"""
 
 
-def _knn(spark, sf_dir) -> DataFrame:
+#: Every odd id asks.
+_KNN_WHOLE = _KNN.replace(" AND vec_id % 7 = 1", "")
+
+
+def _knn(spark, sf_dir, asked: str = "vec_id % 2 = 1 AND vec_id % 7 = 1") -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return semantic.label_scores(e.filter("vec_id % 2 = 1 AND vec_id % 7 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.filter("vec_id % 2 = 0").select("label", F.col("embedding").alias("vec")))
+    return semantic.label_scores(e.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.filter("vec_id % 2 = 0").select("label", F.col("embedding").alias("vec")))
+
+
+def _knn_whole(spark, sf_dir) -> DataFrame:
+    return _knn(spark, sf_dir, "vec_id % 2 = 1")
 
 
 @query(f"WITH {_KNN} SELECT query_id, label, round(score, 5) AS score FROM ls")
 def knn_label_scores(spark, sf_dir):
-    """Even ids are the exemplar bank; every seventh odd id asks: the roles that the embeddings play here, not a sample of them."""
+    """The part of knn_label_scores_whole that its SQL fixes: of the odd ids about every seventh asks."""
     return _knn(spark, sf_dir).select("query_id", "label", F.round("score", 5).alias("score"))
 
 
@@ -328,12 +336,31 @@ _GRID = ([0.0, 0.02, 0.05], [0.1, 0.2, 0.3])
  a AS (SELECT m.margin, m.min_sim, round(sum(CASE WHEN m.s > n.s THEN 1.0 WHEN m.s = n.s THEN 0.5 ELSE 0 END) / count(*), 6) AS auroc FROM p m JOIN p n ON m.margin = n.margin AND m.min_sim = n.min_sim AND m.positive AND NOT n.positive GROUP BY 1, 2),
  bn AS (SELECT margin, min_sim, round(avg(CASE WHEN NOT positive THEN CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END END), 6) AS benign_any FROM p GROUP BY 1, 2) SELECT margin, min_sim, auroc, benign_any FROM a JOIN bn USING (margin, min_sim)""")
 def margin_grid_search(spark, sf_dir):
-    s = _knn(spark, sf_dir)
+    return _grid_search(_knn(spark, sf_dir))
+
+
+def _grid_search(s: DataFrame) -> DataFrame:
     neg = s.filter("label = 0").select("query_id", F.col("score").alias("neg"))
     x = s.filter("label <> 0").join(neg, "query_id").select("query_id", (F.col("query_id") % 3 == 0).alias("positive"), "label", "score", "neg")
     return semantic.grid_search(x, *_GRID).select("margin", "min_sim", F.round("auroc", 6).alias("auroc"), F.round("benign_any", 6).alias("benign_any"))
 
 
+@query(ORACLES["knn_label_scores"].replace(_KNN, _KNN_WHOLE))
+def knn_label_scores_whole(spark, sf_dir):
+    """Even ids are the exemplar bank; every odd id asks."""
+    return _knn_whole(spark, sf_dir).select("query_id", "label", F.round("score", 5).alias("score"))
+
+
+@query(ORACLES["knn_margin_hits"].replace(_KNN, _KNN_WHOLE))
+def knn_margin_hits_whole(spark, sf_dir):
+    return semantic.margin_hits(_knn_whole(spark, sf_dir), 0, 0.2, 0.02).select("query_id", "label", "confidence")
+
+
+@query(ORACLES["margin_grid_search"].replace(_KNN, _KNN_WHOLE))
+def margin_grid_search_whole(spark, sf_dir):
+    return _grid_search(_knn_whole(spark, sf_dir))
+
+
 # ---- extraction on fixtures --------------------------------------------------------------------------------------------
 
 #: Our own lines: (turn, speaker, text). The corpus tables hold none of these cues.
