@@ -433,6 +433,32 @@ def conversation_events(spark, sf_dir):
     return session.events(a).groupBy("type").agg(F.count("*").alias("n"))
 
 
+def _analysed(spark, sf_dir) -> session.Analysis:
+    """All turns of the conversations table, with a library of generated ones. The table has no clock: turns are spaced by the engine's own."""
+    train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
+    lib = session.build_library(train, {f: v[0] for f, v in datagen.FAMILIES.items()})
+    return session.analyse(turns(spark, sf_dir).withColumn("at_ms", F.lit(None).cast("long")), lib)
+
+
+@query()
+def conversation_analysis_whole(spark, sf_dir):
+    """The whole conversations table through redaction, extraction, folds, matching and prediction."""
+    return session.snapshot(_analysed(spark, sf_dir)).select("conv_id", "stage", "progress", "code", "pattern", "match_pct", "novel", "next", "confidence", "evidence_score", "pii_detected")
+
+
+@query()
+def conversation_events_whole(spark, sf_dir):
+    return session.events(_analysed(spark, sf_dir)).groupBy("conv_id", "type").agg(F.count("*").alias("n"))
+
+
+@query()
+def rule_extraction_whole(spark, sf_dir):
+    """Action, intent and number of signals of every turn of the conversations table, after redaction. The table has no gold labels to report against."""
+    t = privacy.redact(turns(spark, sf_dir), "text", "typed", "clean")
+    t = extract.rules(t.select("conv_id", "turn_idx", "speaker", "n_pii", F.col("clean").alias("text")))
+    return t.select("conv_id", "turn_idx", F.col("event.requested_action").alias("action"), F.col("event.communication_intent").alias("intent"), F.size("event.manipulation_signals").alias("n_signals"), "n_pii")
+
+
 @query()
 def session_prediction(spark, sf_dir):
     """The flagship: every session's code, stage, evidence score, best pattern, next step and confidence."""
