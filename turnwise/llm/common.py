@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,20 +24,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder that the cluster names; where none is named, as in tests, one of our own."""
+    """A new folder under the checkpoint folder that the cluster names.
+
+    Where none is named, local mode takes one of its own, which goes when the process ends. A cluster without a shared
+    folder is an error: what one executor writes to its own disk the others can't read.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="turnwise-")
-        sc.setCheckpointDir(base)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/turnwise-{uuid.uuid4().hex}"
 
 
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="turnwise-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df to the shared folder and returns the written table: its lineage ends there, and an executor's loss costs nothing of it."""
     path = f"{work_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._turnwise_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what followed from them is written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._turnwise_path).getParent()
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import release, staged
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -13,7 +13,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     A large-star step hangs every larger neighbour of a node on the smallest of its neighbourhood, a small-star step
     every smaller one; when a round changes nothing, all that is left are stars. Each round is written to the shared
-    folder, so lineage stays short. Loops and null ends don't count; nodes without edges aren't returned.
+    folder and the one before it deleted, so lineage stays short. Loops and null ends don't count; nodes without edges aren't returned.
     """
     ends = edges.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     now = staged(ends, "edges")
@@ -21,7 +21,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             break
-        now = staged(_small_star(_large_star(now)), "edges")
+        old, now = now, staged(_small_star(_large_star(now)), "edges")
+        release(old)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, staged
+from .common import SPACES, ascii_lower, release, staged
 
 MIN_KEY_CHARS = 10
 BATCHES = 4
@@ -60,6 +60,7 @@ class LineRuns:
             for r in merged[1:]:
                 both = both.unionByName(r)
             self._put(level + 1, self._run(both.repartition("h1", "h2"), f"run-{level + 1}"))
+            release(*merged)
 
     def table(self) -> DataFrame:
         out, *rest = self.runs or [self.spark.createDataFrame([], "h1 long, h2 long, holder long")]

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, paired, queries_of, unpack, usable
-from .common import staged
+from .blocks import in_blocks, met, numbered, queries_of, unpack, usable
+from .common import release, staged
 
 K, EVERY, SCALE = 10, 100, 1024
 BINS = 256
-QUERY_ROWS, BLOCK_ROWS = 1024, 4096
+QUERY_ROWS, BLOCK_ROWS = 256, 4096
+#: Scores further from zero count as this one; none of them is ever returned.
+MOST = 2**61
 
 
 def quantised(v, scale: int = SCALE):
@@ -24,32 +26,42 @@ def quantised(v, scale: int = SCALE):
 
 
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products. Doubles are exact while the sums stay below 2**53; beyond that whole numbers of any length are used."""
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if bound < 2**53:
-        return (q @ c.T).astype(np.int64)
-    wide = [[int(x) for x in r] for r in c]
-    return np.array([[sum(int(a) * b for a, b in zip(r, w)) for w in wide] for r in q], dtype=np.int64).reshape(len(q), len(c))
+    """Integer inner products, no further from zero than MOST. Doubles are exact while a pair's sums stay below 2**53; the other pairs take whole numbers of any length."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ c.T
+        wide = np.abs(q).sum(axis=1)[:, None] * np.abs(c).max(axis=1, initial=0)[None, :] >= 2.0**53
+    if not wide.any():
+        return s.astype(np.int64)
+    s = np.where(wide, 0.0, s).astype(np.int64)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(wide))):
+        s[i, j] = max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(q[i].tolist(), c[j].tolist()))))
+    return s
 
 
-def _sides(r: dict) -> tuple[np.ndarray, ...]:
-    """ids and components of a pair's queries, then of its candidates."""
-    return (*unpack({"ids": r["q_ids"], "data": r["q_data"], "dim": r["q_dim"]}), *unpack({"ids": r["c_ids"], "data": r["c_data"], "dim": r["c_dim"]}))
+def _side(candidates: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [unpack(r) for r in candidates]
 
 
 def _histograms(width: int):
-    """Counts of a pair of blocks: for each query and bin of its current range, how many of the candidates' scores fall in."""
+    """Counts of a block of queries and a cell's candidates: for each query and bin of its current range, how many scores fall in."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, q, c_ids, c = _sides(r)
-                bins = (_scores(q, c) - np.frombuffer(r["q_low"], dtype=np.int64)[:, None]) // width
+    def make(candidates: list[dict]):
+        side = _side(candidates)
+
+        def meet(r: dict) -> Iterator[pa.RecordBatch]:
+            ids, q = unpack(r)
+            low = np.frombuffer(r["low"], dtype=np.int64)[:, None]
+            total = np.zeros(len(ids) * BINS, dtype=np.int64)
+            for c_ids, c in side:
+                bins = (_scores(q, c) - low) // width
                 keep = (bins >= 0) & (bins < BINS) & (ids[:, None] != c_ids[None, :])
-                at, n = np.unique((np.arange(len(ids))[:, None] * BINS + bins)[keep], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["q_dim"], dtype=np.int32)), pa.array(np.full(len(at), r["q_block"], dtype=np.int64)), pa.array((at // BINS).astype(np.int32)), pa.array((at % BINS).astype(np.int32)), pa.array(n.astype(np.int64))], ["dim", "block", "q", "bin", "n"])
+                total += np.bincount((np.arange(len(ids))[:, None] * BINS + bins)[keep], minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["dim"], dtype=np.int32)), pa.array(np.full(len(at), r["block"], dtype=np.int64)), pa.array((at // BINS).astype(np.int32)), pa.array((at % BINS).astype(np.int32)), pa.array(total[at])], ["dim", "block", "q", "bin", "n"])
 
-    return run
+        return meet
+
+    return make
 
 
 def _narrow(k: int, width: int):
@@ -74,18 +86,24 @@ def _narrow(k: int, width: int):
 def _best(k: int):
     """Scores above a query's k-th value, and of those equal to it the k smallest ids of the block: a superset of the answer."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, q, c_ids, c = _sides(r)
-                s, least = _scores(q, c), np.frombuffer(r["q_low"], dtype=np.int64)[:, None]
+    def make(candidates: list[dict]):
+        side = _side(candidates)
+
+        def meet(r: dict) -> Iterator[pa.RecordBatch]:
+            ids, q = unpack(r)
+            least = np.frombuffer(r["low"], dtype=np.int64)[:, None]
+            for c_ids, c in side:
+                s = _scores(q, c)
                 other = ids[:, None] != c_ids[None, :]  # a block's ids ascend
                 tied = (s == least) & other
-                keep = ((s > least) & other) | (tied & (np.cumsum(tied, axis=1) <= k))
-                i, j = np.nonzero(keep)
+                i, j = np.nonzero(((s > least) & other) | (tied & (np.cumsum(tied, axis=1) <= k)))
+                if np.any(np.abs(s[i, j]) >= MOST):
+                    raise ValueError("a score among a query's best is too large for 62 bits")
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(c_ids[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
 
-    return run
+        return meet
+
+    return make
 
 
 def _start(reach: int):
@@ -111,32 +129,29 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     candidates; each round scores all pairs anew, counts the scores of each query in BINS bins of its range, sums the
     counts over all blocks and goes on with the bin that holds the k-th score, until a bin is one value. A last pass
     keeps what is above the k-th value and the smallest ids of what equals it. Between rounds only the ranges are kept;
-    a task holds one pair of blocks.
+    a task holds one cell's blocks of candidates and one block of queries.
 
     Vectors that are null or empty, or hold null or non-finite components, and null ids take no part. Vectors meet only
     those of their dimension. All if there are fewer than k. Rows that repeat an id aren't candidates of their own id;
-    elsewhere each counts. Other columns don't matter; an empty table gives no rows. Components whose
-    products could reach 2**61 raise an error.
+    elsewhere each counts. Other columns don't matter; an empty table gives no rows. A result with a score of 2**61 or
+    more, either sign, raises an error; larger ones that are in no result do no harm.
     """
-    rows = usable(vectors, key, vector).select("vec_id", quantised(F.col("v"), scale).alias("v"))
-    rows = staged(rows, "quantised")
+    rows = numbered(usable(vectors, key, vector).select("vec_id", quantised(F.col("v"), scale).alias("v")), "quantised")
     candidates = in_blocks(rows, block_rows, "candidates")
     queries = in_blocks(queries_of(rows, every), query_rows, "queries")
     size = lambda how: F.coalesce(F.max(how), F.lit(0.0))
     spread = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
     most = rows.agg(size(F.when(F.col("vec_id") % every == 0, spread)).alias("query"), size(F.array_max(F.transform("v", F.abs))).alias("largest")).first()
-    reach = int(most["query"] * most["largest"]) + 1
-    if reach >= 2**61:
-        raise ValueError("components are too large for scores of 64 bits")
+    reach = int(min(float(MOST), most["query"] * most["largest"])) + 1
     width = 1
     while width * BINS <= 2 * reach:
         width *= BINS
     state = staged(queries.mapInArrow(_start(reach), STATE), "ranges")
     while width:
-        pairs = paired(state.drop("above"), candidates)
-        counts = pairs.mapInArrow(_histograms(width), "dim int, block long, q int, bin int, n long").groupBy("dim", "block", "q", "bin").agg(F.sum("n").alias("n"))
-        state = staged(state.groupBy("dim", "block").cogroup(counts.groupBy("dim", "block")).applyInArrow(_narrow(k, width), STATE), "ranges")
+        counts = met(state.drop("above"), candidates, _histograms(width), "dim int, block long, q int, bin int, n long").groupBy("dim", "block", "q", "bin").agg(F.sum("n").alias("n"))
+        before, state = state, staged(state.groupBy("dim", "block").cogroup(counts.groupBy("dim", "block")).applyInArrow(_narrow(k, width), STATE), "ranges")
+        release(before)
         width //= BINS
-    found = paired(state.select("dim", "block", "ids", "data", "low"), candidates).mapInArrow(_best(k), "query_id long, vec_id long, score long")
+    found = met(state.select("dim", "block", "ids", "data", "low"), candidates, _best(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

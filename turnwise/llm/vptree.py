@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .blocks import in_blocks, paired, queries_of, unpack, usable
+from .blocks import in_blocks, met, numbered, queries_of, unpack, usable
 from .common import staged
 
-K, EVERY, FACTOR = 5, 50, 1.6
-QUERY_ROWS, SHARD_ROWS, LEAF = 1024, 4096, 64
-_EPS = 1e-9
+K, EVERY, FACTOR = 5, 50, 2.6
+QUERY_ROWS, SHARD_ROWS, LEAF, VANTAGE = 256, 4096, 256, 16
+#: Distances are kept in single precision; a bound has to be beyond the reach by more than their rounding.
+_EPS = 1e-5
 
 
 def cosines(q: np.ndarray, qn: np.ndarray, c: np.ndarray, cn: np.ndarray) -> np.ndarray:
@@ -23,123 +24,214 @@ def cosines(q: np.ndarray, qn: np.ndarray, c: np.ndarray, cn: np.ndarray) -> np.
     return np.einsum("qd,cd->qc", q, c, optimize=False) / (qn[:, None] * cn[None, :])
 
 
-def build(v: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple]]:
-    """A vantage-point tree over unit vectors: an order of the rows, and nodes (from, to, inside, outside, bounds).
+def angles(cos: np.ndarray) -> np.ndarray:
+    """The metric of the trees: angles obey the triangle inequality, and bound nearness more tightly than chords do."""
+    return np.arccos(np.clip(cos, -1.0, 1.0))
 
-    A node's vantage point stands first in its range; the others follow by their distance from it, halved by rank, so
-    copies of one vector don't unbalance the tree. bounds: least and largest distance of each half. inside 0: a leaf.
+
+def build(v: np.ndarray, leaf: int = LEAF, vantage: int = VANTAGE) -> tuple[np.ndarray, list[list], np.ndarray]:
+    """A tree over unit vectors: an order of the rows, nodes (from, to, inside, outside, level), and each row's distances.
+
+    A node's ``vantage`` vantage points stand first in its range: rows far from each other. The rows after them are
+    halved by rank of their distance to the one of widest spread, so copies of a vector don't unbalance the tree.
+    far[i, level * vantage + k] is row i's distance to the k-th vantage point of its ancestor on that level (nan: it has
+    none). inside 0: a leaf.
     """
-    order, nodes, todo = np.arange(len(v)), [], [(0, len(v), None, 0)]
+    levels = max(0, int(np.ceil(np.log2(max(1, len(v)) / max(1, leaf)))))
+    order, nodes, todo = np.arange(len(v)), [], [(0, len(v), None, 0, 0)]
+    far = np.full((len(v), levels * vantage), np.nan, dtype=np.float32)
     while todo:
-        a, b, parent, side = todo.pop()
+        a, b, parent, side, level = todo.pop()
         me = len(nodes)
         if parent is not None:
             nodes[parent][2 + side] = me
-        if b - a <= leaf:
-            nodes.append([a, b, 0, 0, (0.0,) * 4])
+        if level == levels or b - a <= max(leaf, 2 * vantage + 1):
+            nodes.append([a, b, 0, 0, level])
             continue
-        own = order[a:b]
-        mean = v[own].mean(axis=0)
-        far = int(np.argmin(v[own] @ mean))  # from the rim a ball splits best
-        own[0], own[far] = own[far], own[0]
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * (v[own[1:]] @ v[own[0]])))
-        by = np.argsort(d, kind="stable")
-        order[a + 1 : b] = own[1:][by]
-        d, half = d[by], (len(d) + 1) // 2
-        nodes.append([a, b, 0, 0, (d[0], d[half - 1], d[half], d[-1])])
-        todo += [(a + 1, a + 1 + half, me, 0), (a + 1 + half, b, me, 1)]
-    return order, [tuple(x) for x in nodes]
+        own, rows = order[a:b].copy(), far[a:b].copy()
+        first = int(np.argmin(v[own] @ v[own].mean(axis=0)))
+        picked, nearest = [first], angles(v[own] @ v[own[first]])
+        d = [nearest]
+        while len(picked) < vantage:
+            nearest[picked] = -1.0
+            nxt = int(np.argmax(nearest))
+            picked.append(nxt)
+            d.append(angles(v[own] @ v[own[nxt]]))
+            nearest = np.minimum(nearest, d[-1])
+        d = np.stack(d, axis=1)
+        rows[:, level * vantage : (level + 1) * vantage] = d
+        rest = np.setdiff1d(np.arange(b - a), picked)
+        widest = int(np.argmax(d[rest].std(axis=0)))
+        rest = rest[np.argsort(d[rest, widest], kind="stable")]
+        now = np.concatenate([picked, rest])
+        order[a:b], far[a:b] = own[now], rows[now]
+        far[a : a + vantage, level * vantage :] = np.nan
+        nodes.append([a, b, 0, 0, level])
+        half = a + vantage + (len(rest) + 1) // 2
+        todo += [(a + vantage, half, me, 0, level + 1), (half, b, me, 1, level + 1)]
+    return order, nodes, far
+
+
+class Shard:
+    """A shard's rows in the order of its tree, and for each node the least and largest distances of its rows to the vantage points above it."""
+
+    def __init__(self, ids: np.ndarray, c: np.ndarray, nodes: list, far: np.ndarray, vantage: int):
+        self.ids, self.c, self.nodes, self.far, self.vantage = ids, c, nodes, far, vantage
+        self.cn = np.linalg.norm(c, axis=1)
+        self.bounds = [(far[a:b, : level * vantage].min(axis=0), far[a:b, : level * vantage].max(axis=0)) for a, b, _, _, level in nodes]
 
 
 class Search:
-    """All queries of a block go down a shard's tree together; each node sees those whose bound it can still better."""
+    """The k best of each query of a block, kept from shard to shard, so that a bound found in one prunes the next.
+
+    All queries go down a tree together, into the half first that is nearer to most; each node sees those that it can
+    still better. ``scored`` counts the pairs whose cosine was computed.
+    """
 
-    def __init__(self, ids, c, nodes, q_ids, q, k: int, factor: float):
-        self.ids, self.c, self.nodes, self.q_ids, self.q, self.k, self.factor = ids, c, nodes, q_ids, q, k, factor
-        self.cn, self.qn = np.linalg.norm(c, axis=1), np.linalg.norm(q, axis=1)
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, factor: float):
+        self.q_ids, self.q, self.k, self.factor, self.scored = q_ids, q, k, factor, 0
+        self.qn = np.linalg.norm(q, axis=1)
         self.best = np.full((len(q), k), -np.inf)
         self.who = np.full((len(q), k), np.iinfo(np.int64).max)
 
-    def offer(self, at: np.ndarray, a: int, b: int) -> np.ndarray:
-        """Offers rows a to b to the queries at; returns their cosines."""
-        cos = cosines(self.q[at], self.qn[at], self.c[a:b], self.cn[a:b])
-        score = np.where(self.q_ids[at][:, None] == self.ids[a:b][None, :], -np.inf, cos)
-        score = np.concatenate([self.best[at], score], axis=1)
-        who = np.concatenate([self.who[at], np.broadcast_to(self.ids[a:b], (len(at), b - a))], axis=1)
-        who = np.where(score == -np.inf, np.iinfo(np.int64).max, who)
+    def reach(self, at: np.ndarray) -> np.ndarray:
+        """Distance of the k-th best so far."""
+        worst = self.best[at, -1]
+        return np.where(worst == -np.inf, np.inf, angles(np.maximum(worst, -1.0)))
+
+    def offer(self, at: np.ndarray, cos: np.ndarray, ids: np.ndarray) -> None:
+        """Rows with these ids and cosines (-inf: not scored) to the queries at. Only what reaches a query's k-th best is sorted."""
+        score = np.where(self.q_ids[at][:, None] == ids[None, :], -np.inf, cos)
+        least = self.best[at, -1]
+        empty = least == -np.inf
+        if empty.any() and score.shape[1] > self.k:
+            least[empty] = np.partition(score[empty], -self.k, axis=1)[:, -self.k]
+        i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+        if not len(i):
+            return
+        rows, first, n = np.unique(i, return_index=True, return_counts=True)
+        place = np.arange(len(i)) - np.repeat(first, n)
+        at, row = at[rows], np.repeat(np.arange(len(rows)), n)
+        new, who = np.full((len(rows), n.max()), -np.inf), np.full((len(rows), n.max()), np.iinfo(np.int64).max)
+        new[row, place], who[row, place] = score[i, j], ids[j]
+        score, who = np.concatenate([self.best[at], new], axis=1), np.concatenate([self.who[at], who], axis=1)
         first = np.lexsort((who, -score), axis=1)[:, : self.k]
         self.best[at], self.who[at] = np.take_along_axis(score, first, 1), np.take_along_axis(who, first, 1)
-        return cos
+
+    def shard(self, s: Shard) -> None:
+        self.s = s
+        self.near = np.zeros((len(self.q), s.far.shape[1]), dtype=np.float32)  # a query's distances to the vantage points on the way down
+        self.visit(0, np.arange(len(self.q)))
 
     def visit(self, node: int, at: np.ndarray) -> None:
-        if not len(at):
-            return
-        a, b, inside, outside, (in_low, in_high, out_low, out_high) = self.nodes[node]
+        """Down from a node with those queries that its rows can still better by the triangle inequality."""
+        s = self.s
+        a, b, inside, outside, level = s.nodes[node]
+        v = s.vantage
         if not inside:
-            self.offer(at, a, b)
+            self.leaf(at, a, b, level * v)
             return
-        d = np.sqrt(np.maximum(0.0, 2 - 2 * self.offer(at, a, a + 1)[:, 0]))
-        least_in, least_out = np.maximum(0, np.maximum(in_low - d, d - in_high)), np.maximum(0, np.maximum(out_low - d, d - out_high))
-        near = least_in <= least_out
-        for child, first, bound in ((inside, near, least_in), (outside, ~near, least_out), (outside, near, least_out), (inside, ~near, least_in)):
-            self.visit(child, at[first & (self.factor * bound <= self.reach(at) + _EPS)])
-
-    def reach(self, at: np.ndarray) -> np.ndarray:
-        """Distance of the k-th best so far."""
-        worst = self.best[at, -1]
-        return np.where(worst == -np.inf, np.inf, np.sqrt(np.maximum(0.0, 2 - 2 * np.maximum(worst, -1.0))))
+        cos = cosines(self.q[at], self.qn[at], s.c[a : a + v], s.cn[a : a + v])
+        self.scored += cos.size
+        self.offer(at, cos, s.ids[a : a + v])
+        self.near[at, level * v : (level + 1) * v] = angles(cos)
+        for child, bound in sorted(((c, self.bound(at, c, (level + 1) * v)) for c in (inside, outside)), key=lambda x: (x[1].sum(), x[0])):
+            go = self.factor * bound <= self.reach(at) + _EPS
+            if go.any():
+                self.visit(child, at[go])
+
+    def bound(self, at: np.ndarray, node: int, n: int) -> np.ndarray:
+        """The least distance that the triangle inequality leaves between each query and the node's rows."""
+        low, high = self.s.bounds[node]
+        d = self.near[at, :n]
+        return np.maximum(0, np.maximum(low - d, d - high)).max(axis=1)
+
+    def leaf(self, at: np.ndarray, a: int, b: int, n: int) -> None:
+        """The rows of a leaf that each query's triangle inequalities with all vantage points on the way leave."""
+        s = self.s
+        limit = ((self.reach(at) + _EPS) / self.factor).astype(np.float32)[:, None]
+        alive = np.ones((len(at), b - a), dtype=bool)
+        near, far = self.near[at, :n], np.ascontiguousarray(s.far[a:b, :n].T)
+        for p in range(n):
+            gap = near[:, p, None] - far[p]
+            np.abs(gap, out=gap)
+            alive &= gap <= limit
+        i, j = np.nonzero(alive)
+        if not len(i):
+            return
+        self.scored += len(i)
+        cos = np.full(alive.shape, -np.inf)
+        if 2 * len(i) > alive.size:
+            cos = np.where(alive, cosines(self.q[at], self.qn[at], s.c[a:b], s.cn[a:b]), -np.inf)
+        else:
+            cos[i, j] = np.einsum("nd,nd->n", self.q[at[i]], s.c[a + j], optimize=False) / (self.qn[at[i]] * s.cn[a + j])
+        self.offer(at, cos, s.ids[a:b])
 
 
-SHARD = "dim int, block long, ids binary, data binary, tree binary"
-_NODE = np.dtype([("a", "<i4"), ("b", "<i4"), ("i", "<i4"), ("o", "<i4"), ("d", "<f8", 4)])
+SHARD = "dim int, block long, ids binary, data binary, tree binary, far binary"
+_SHARD = pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("data", pa.binary()), ("tree", pa.binary()), ("far", pa.binary())])
 
 
-def _index(leaf: int):
+def _index(leaf: int, vantage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 ids, c = unpack(r)
-                order, nodes = build(c / np.linalg.norm(c, axis=1, keepdims=True), leaf)
-                r |= {"ids": ids[order].tobytes(), "data": np.ascontiguousarray(c[order]).tobytes(), "tree": np.array(nodes, dtype=_NODE).tobytes()}
-                yield from pa.Table.from_pylist([r], schema=pa.schema([("dim", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("data", pa.binary()), ("tree", pa.binary())])).to_batches()
+                order, nodes, far = build(c / np.linalg.norm(c, axis=1, keepdims=True), leaf, vantage)
+                r |= {"ids": ids[order].tobytes(), "data": np.ascontiguousarray(c[order]).tobytes(), "tree": np.array(nodes, dtype=np.int32).tobytes(), "far": far.tobytes()}
+                yield from pa.Table.from_pylist([r], schema=_SHARD).to_batches()
 
     return run
 
 
-def _search(k: int, factor: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                q_ids, q = unpack({"ids": r["q_ids"], "data": r["q_data"], "dim": r["q_dim"]})
-                ids, c = unpack({"ids": r["c_ids"], "data": r["c_data"], "dim": r["c_dim"]})
-                nodes = [(int(x["a"]), int(x["b"]), int(x["i"]), int(x["o"]), tuple(x["d"])) for x in np.frombuffer(r["c_tree"], dtype=_NODE)]
-                s = Search(ids, c, nodes, q_ids, q, k, factor)
-                s.visit(0, np.arange(len(q)))
-                i, j = np.nonzero(s.best > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[i]), pa.array(s.who[i, j]), pa.array(s.best[i, j])], ["query_id", "vec_id", "score"])
+def _shard(r: dict, vantage: int) -> Shard:
+    ids, c = unpack(r)
+    return Shard(ids, c, np.frombuffer(r["tree"], dtype=np.int32).reshape(-1, 5).tolist(), np.frombuffer(r["far"], dtype=np.float32).reshape(len(ids), -1), vantage)
 
-    return run
 
+def _search(k: int, factor: float, vantage: int):
+    def make(candidates: list[dict]):
+        shards = [_shard(r, vantage) for r in candidates]
+
+        def meet(r: dict) -> Iterator[pa.RecordBatch]:
+            s = Search(*unpack(r), k, factor)
+            for one in shards:
+                s.shard(one)
+            i, j = np.nonzero(s.best > -np.inf)
+            scored = np.zeros(len(i), dtype=np.int64)
+            scored[:1] = s.scored
+            yield pa.RecordBatch.from_arrays([pa.array(s.q_ids[i]), pa.array(s.who[i, j]), pa.array(s.best[i, j]), pa.array(scored)], ["query_id", "vec_id", "score", "scored"])
+
+        return meet
 
-def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> tuple[DataFrame, DataFrame]:
+    return make
+
+
+def index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, leaf: int = LEAF, vantage: int = VANTAGE) -> tuple[DataFrame, DataFrame]:
     """(usable vectors, shards with their trees), both staged. Every usable row is in one shard's tree."""
-    rows = staged(usable(vectors, key, vector).filter(F.exists("v", lambda x: x != 0)), "vectors")
-    return rows, staged(in_blocks(rows, shard_rows, "shards").mapInArrow(_index(leaf), SHARD), "trees")
+    rows = numbered(usable(vectors, key, vector).filter(F.exists("v", lambda x: x != 0)), "vectors")
+    return rows, staged(in_blocks(rows, shard_rows, "shards").mapInArrow(_index(leaf, vantage), SHARD), "trees")
+
+
+def candidates_found(rows: DataFrame, trees: DataFrame, k: int = K, every: int = EVERY, factor: float = FACTOR, query_rows: int = QUERY_ROWS, vantage: int = VANTAGE) -> DataFrame:
+    """query_id, vec_id, score, scored: the k best of each query and group of shards; ``scored`` sums to the pairs whose cosine was computed."""
+    queries = in_blocks(queries_of(rows, every), query_rows, "queries")
+    return met(queries, trees, _search(k, factor, vantage), "query_id long, vec_id long, score double, scored long")
 
 
-def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, factor: float = FACTOR, query_rows: int = QUERY_ROWS, shard_rows: int = SHARD_ROWS, leaf: int = LEAF) -> DataFrame:
+def nearest(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = K, every: int = EVERY, factor: float = FACTOR, query_rows: int = QUERY_ROWS, shard_rows: int = SHARD_ROWS, leaf: int = LEAF, vantage: int = VANTAGE) -> DataFrame:
     """query_id, rank (from 1), vec_id, score (cosine): the k nearest found of each query, ties to the smaller id.
 
-    Queries are the rows whose id is divisible by ``every``; candidates all other rows. A half of a node is passed over
-    if ``factor`` times the least distance that the triangle inequality leaves it exceeds the distance of the k-th best
-    so far: factor 1 is exact, a larger one looks at less. Each shard gives its k best, of which the best k stay.
+    Queries are the rows whose id is divisible by ``every``; candidates all other rows. A node, and in a leaf a row, is
+    passed over if ``factor`` times the least distance that the triangle inequality with the vantage points on the way
+    leaves it exceeds the distance of the k-th best so far: factor 1 is exact, a larger one looks at less. A block of
+    queries takes its k best from one shard to the next. Each group of shards gives its k best, of which the best k stay.
 
     Vectors that are null, empty or zero, or hold null or non-finite components, and null ids take no part. Vectors meet
     only those of their dimension. All found if there are fewer than k. Rows that repeat an id aren't candidates of their
     own id; elsewhere each counts. Other columns don't matter; an empty table gives no rows.
     """
-    rows, trees = index(vectors, key, vector, shard_rows, leaf)
-    queries = in_blocks(queries_of(rows, every), query_rows, "queries")
-    found = paired(queries, trees).mapInArrow(_search(k, factor), "query_id long, vec_id long, score double")
+    rows, trees = index(vectors, key, vector, shard_rows, leaf, vantage)
+    found = candidates_found(rows, trees, k, every, factor, query_rows, vantage)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
