@@ -3,6 +3,7 @@
 import hashlib
 import html as html_lib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -203,9 +204,9 @@ def test_crf_on_unseen_pages():
     rng, wrong, total = random.Random(77), 0, 0
     for _ in range(150):
         h, gold = pages.labelled_page(rng)
-        found = pages.blocks(h)
-        assert len(found) == len(gold)
-        got = pages.model().labels([pages.block_slots(b) for b in found])
+        found = pages.parse(h)
+        assert len(found.blocks) == len(gold)
+        got = pages.model().labels(pages.model().leads(found))
         wrong, total = wrong + sum(a != b for a, b in zip(got, gold)), total + len(gold)
     assert wrong / total < 0.01
 
@@ -213,10 +214,38 @@ def test_crf_on_unseen_pages():
 def test_viterbi_is_the_best_path():
     crf, rng = pages.model(), random.Random(4)
     h, _ = pages.labelled_page(rng)
-    seq = [pages.block_slots(b) for b in pages.blocks(h)][:9]
-    score = lambda y: sum(crf.lead[s] for t, k in enumerate(y) if k for s in seq[t]) + sum(crf.moves[a][b] for a, b in zip(y, y[1:]))
-    best = max((tuple(m >> t & 1 for t in range(len(seq))) for m in range(1 << len(seq))), key=score)
-    assert score(crf.labels(seq)) == pytest.approx(score(best))
+    leads = crf.leads(pages.parse(h))[:9]
+    score = lambda y: sum(e for e, k in zip(leads, y) if k) + sum(crf.step[a][b] for a, b in zip(y, y[1:]))
+    best = max((tuple(m >> t & 1 for t in range(len(leads))) for m in range(1 << len(leads))), key=score)
+    assert score(crf.labels(leads)) == score(best)
+
+
+def test_leads_are_the_sums_of_all_features():
+    crf, rng = pages.model(), random.Random(6)
+    for _ in range(20):
+        page = pages.parse(pages.labelled_page(rng)[0])
+        assert crf.leads(page) == [sum(crf.lead[s] for s in slots) for slots in pages.slots_of(page)]
+
+
+ARTICLE = "<article><p>One sentence of the article. Another one.</p></article>"
+
+
+@pytest.mark.parametrize("html", ["<html><head><title>t</title><body>" + ARTICLE, "<head><title>t</title>" + ARTICLE, "<head><title>t<body>" + ARTICLE, "<svg><path>" + ARTICLE, "<body><select><option>x" + ARTICLE, ARTICLE + "<p clas", ARTICLE + "<!-- never closed", "<!-- never closed>" + ARTICLE, "<a title='open>x</a>" + ARTICLE, ARTICLE + "<script>var a = 1"])
+def test_left_out_ends(html):
+    assert "One sentence of the article. Another one." in pages.main_text(html, pages.model())
+
+
+def test_cue_words_tell_blocks_without_classes():
+    crf = pages.model()
+    page = "<body><div><p>{}</p></div>" + ARTICLE.replace("</p>", "</p>" + "<p>Still more of it, in a whole sentence.</p>" * 3)
+    assert pages.main_text(page.format("We use cookies. Consent and subscribe."), crf).startswith("One sentence")
+
+
+@pytest.mark.parametrize("part,end", [("<div>x y z. ", ""), ("<div class=c>x y z. ", ""), ("<b>", "<h1>x</h1>" * 50_000), ("<div>", "</x></i>" * 50_000), ("<i><div><b>", "</i>" * 50_000), ("<li><p>x", ""), ("<table><tr><td>x", ""), ("<!--", ""), ("<a ", ""), ("<a b='", ""), ("</", ""), ("&", "")])
+def test_time_is_linear_in_hostile_pages(part, end):
+    start = time.process_time()
+    pages.main_text(part * 50_000 + end, pages.model())
+    assert time.process_time() - start < 30  # seconds; what grows with the square takes many minutes
 
 
 def test_pages(spark):

@@ -7,7 +7,9 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,26 +26,60 @@ HIDDEN = frozenset("script style template noscript svg math head title iframe ob
 CLOSED_BY = {"p": frozenset({"p"}), "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}), "option": frozenset({"option"})}
 STARTS_BLOCK = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPES = frozenset("article aside blockquote body button div footer form header html li main nav ol section table td th ul".split())
+CONTENT = frozenset({"article", "main"})
+#: Words that are frequent in what surrounds an article, by kind, in English, German, French and Spanish.
+CUES = {
+    "note": "cookie cookies consent newsletter subscribe zustimmen abonnieren abonnez consentement suscríbete consentimiento",
+    "ad": "advertisement advert sponsored anzeige werbung gesponsert publicité sponsorisé publicidad anuncio patrocinado",
+    "foot": "copyright imprint rights privacy terms impressum datenschutz mentions légales confidentialité derechos privacidad",
+    "said": "comment comments reply replies kommentar kommentare antworten commentaire commentaires répondre comentario comentarios responder",
+    "side": "related trending popular ähnliche beliebt similaires populaires relacionados populares",
+    "form": "search login password email suche anmelden passwort recherche connexion buscar contraseña",
+    "share": "share tweet facebook teilen partager compartir",
+    "menu": "home menu contact startseite menü kontakt accueil inicio contacto",
+}
+#: Cue words count in blocks of at most this many characters; longer ones are told by their place and form.
+CUE_CHARS = 300
+_LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 16
 PAGES, SEED, ROUNDS, L2 = 400, 5, 120, 1e-3
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
+class Block(NamedTuple):
+    """A leaf block: its text, its place in the page's tree of block elements, and the slots of its own features."""
+
+    text: str
+    node: int
+    own: tuple[int, ...]
+
+
 class _Blocks(HTMLParser):
-    """Leaf blocks of a page in order: text, path of open block elements with class words, share of link characters."""
+    """Leaf blocks of a page in order, and the tree of its block elements.
+
+    A node holds its parent and the feature slots that its element adds to those of its ancestors, so a block's ancestor
+    features are those on its way to the root. What is open is kept with counts and places by tag: no step looks at more
+    of the open elements than it closes, and time is linear in the page however deep it nests.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[str, tuple, float]] = []
+        self.blocks: list[Block] = []
+        self.nodes: list[tuple[int, tuple[int, ...]]] = [(-1, (_slot("bias"),))]
+        self.open: list[tuple[str, int, int, tuple[int, ...]]] = []  # tag, node, place of the nearest block element, slots
+        self.places: dict[str, list[int]] = {}  # of the open block elements of a tag
+        self.scopes: list[int] = []
+        self.names: list[str] = []
+        self.inline: dict[tuple[str, int], int] = {}
+        self.active: dict[int, int] = {}
         self.text: list[str] = []
-        self.hidden = self.links = self.linked = 0
+        self.hidden = self.links = self.linked = self.contents = 0
 
     def end_block(self) -> None:
         if self.text:
             t = " ".join("".join(self.text).split())
             if t:
-                self.blocks.append((t, tuple(x for x in self.open if x[0] not in INLINE), min(1.0, self.linked / max(1, len(t)))))
+                self.blocks.append(Block(t, self.open[-1][1] if self.open else 0, _own_slots(t, self.names[-3:], min(1.0, self.linked / len(t)))))
             self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -51,25 +87,59 @@ class _Blocks(HTMLParser):
             if tag not in INLINE:
                 self.end_block()
             return
-        if tag not in INLINE:
-            self.end_block()
-            self.close_implied(tag)
-        words = tuple(_WORDS.findall(" ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower()))
-        if tag not in INLINE and any(k in ("hidden",) or (k == "aria-hidden" and v == "true") for k, v in attrs):
-            words = (*words, "hidden")
-        self.open.append((tag, words))
+        node, base = (self.open[-1][1], self.open[-1][2]) if self.open else (0, -1)
+        if tag in INLINE:
+            self.inline[tag, base] = self.inline.get((tag, base), 0) + 1
+            self.open.append((tag, node, base, ()))
+            self.links += tag == "a"
+            return
+        self.end_block()
+        if self.hidden:
+            self.close_hidden(tag)
+        self.close_implied(tag)
+        words = []
+        if attrs:
+            words = _WORDS.findall(" ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower())
+            if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
+                words.append("hidden")
+        self.contents += tag in CONTENT
+        slots = (_common_slots if len(words) < 10 else _element_slots)(tag, tuple(words), self.contents > 0)
+        new = tuple(x for x in slots if not self.active.get(x))
+        for x in slots:
+            self.active[x] = self.active.get(x, 0) + 1
+        place = len(self.open)
+        self.nodes.append((self.open[-1][1] if self.open else 0, new))
+        self.open.append((tag, len(self.nodes) - 1, place, slots))
+        self.places.setdefault(tag, []).append(place)
+        self.names.append(tag)
+        if tag in SCOPES:
+            self.scopes.append(place)
         self.hidden += tag in HIDDEN
-        self.links += tag == "a"
 
-    def close_implied(self, tag):
+    def place(self, tag: str) -> int:
+        """Of the innermost open element of a block tag; -1: none is open."""
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def close_hidden(self, tag: str) -> None:
+        """Ends elements without text whose end tag is left out: the head before the body or content, drawings and lists of choices before content."""
+        inner = self.open[-1][0]
+        head, drawing, choice = self.place("head"), max(self.place("svg"), self.place("math")), self.place("select")
+        if head >= 0 and (tag == "body" or (tag in STARTS_BLOCK and inner in ("head", "title"))):
+            self.leave(head)
+        elif drawing >= 0 and tag in STARTS_BLOCK and self.place("foreignobject") < drawing:
+            self.leave(drawing)
+        elif choice >= 0 and tag in STARTS_BLOCK and tag != "hr":
+            self.leave(choice)
+
+    def close_implied(self, tag: str) -> None:
         closes = CLOSED_BY.get(tag) or (CLOSED_BY["p"] if tag in STARTS_BLOCK else ())
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name in closes:
-                self.leave(k)
-                if tag in STARTS_BLOCK or tag == "p":
-                    return
-            elif name in SCOPES:
+        while closes:
+            k = max(self.place(t) for t in closes)
+            if k < 0 or (self.scopes and self.scopes[-1] > k):
+                return
+            self.leave(k)
+            if tag in STARTS_BLOCK:
                 return
 
     def handle_startendtag(self, tag, attrs):
@@ -78,74 +148,122 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def leave(self, k: int) -> None:
-        for tag, _ in self.open[k:]:
+        """Closes the open elements from place k on."""
+        while len(self.open) > k:
+            tag, _, base, slots = self.open.pop()
+            if tag in INLINE:
+                self.inline[tag, base] -= 1
+                self.links -= tag == "a"
+                continue
+            self.places[tag].pop()
+            self.names.pop()
+            if tag in SCOPES:
+                self.scopes.pop()
             self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
-        del self.open[k:]
+            self.contents -= tag in CONTENT
+            for x in slots:
+                self.active[x] -= 1
 
     def handle_endtag(self, tag):
         if tag in VOID:
             if tag == "br":
                 self.end_block()
             return
-        if tag not in INLINE:
-            self.end_block()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
+        if tag in INLINE:
+            if self.open and self.inline.get((tag, self.open[-1][2])):
+                k = len(self.open) - 1
+                while self.open[k][0] != tag:
+                    k -= 1
                 self.leave(k)
-                return
-            if tag in INLINE and self.open[k][0] not in INLINE:
-                return
+            return
+        self.end_block()
+        if (k := self.place(tag)) >= 0:
+            self.leave(k)
 
     def handle_data(self, data):
+        if self.hidden and self.open[-1][0] == "head" and data.strip():
+            self.leave(len(self.open) - 1)
         if not self.hidden and data:
             self.text.append(data)
             if self.links:
                 self.linked += len(data.strip())
 
 
-def blocks(html: str | None) -> list[tuple[str, tuple, float]]:
-    p = _Blocks()
-    p.feed(html or "")
-    HTMLParser.close(p)
+_MARKUP = re.compile("<[a-zA-Z/!?]")
+#: Tags with an open quote that a page may hold before quotes stop to count in the rest of it.
+BROKEN_TAGS = 50
+
+
+def parse(html: str | None) -> _Blocks:
+    """A page's blocks. What the page breaks off inside is left out: a tag without an end, a comment without an end up to its next ``>``."""
+    p, rest = _Blocks(), html or ""
+    for broken in count():
+        p.feed(rest)
+        rest, end = p.rawdata, p.rawdata.find(">")
+        if p.cdata_elem or not _MARKUP.match(rest):
+            break
+        p.rawdata, comment, rest = "", rest.startswith("<!--"), rest[end + 1 :] if end >= 0 else ""
+        if comment:
+            rest = rest.replace("<!--", "<!")  # none of them has an end
+        if broken >= BROKEN_TAGS:
+            rest = rest.replace('"', " ").replace("'", " ")
+    if p.cdata_elem:
+        p.rawdata = ""
+    p.close()
     p.end_block()
-    return p.blocks
+    return p
 
 
 def _slot(name: str) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) >> (32 - BITS)
 
 
-@lru_cache(maxsize=20_000)
-def _path_slots(path: tuple) -> tuple[int, ...]:
-    """Slots of a block's ancestors: each tag, its class words, the nearest ones with their place, and the innermost pair."""
-    out = {"bias"}
-    for tag, words in path:
-        out.add(f"in:{tag}")
-        out.update(f"class:{w}" for w in words)
-        out.update(f"{tag}.{w}" for w in words)
-    names = [tag for tag, _ in path]
-    for k, tag in enumerate(reversed(names[-3:])):
-        out.add(f"up{k}:{tag}")
-    out.add("pair:" + ">".join(names[-2:]))
-    if "article" in names or "main" in names:
-        inner = names[max(i for i, t in enumerate(names) if t in ("article", "main")) + 1 :]
-        out.add("content")
-        out.update(f"content>{t}" for t in inner)
-    return tuple(sorted({_slot(x) for x in out}))
-
-
-def block_slots(block: tuple[str, tuple, float]) -> list[int]:
-    text, path, linked = block
+def _element_slots(tag: str, words: tuple[str, ...], inside: bool) -> tuple[int, ...]:
+    """Slots that an open element gives the blocks in it."""
+    names = [f"in:{tag}", *(f"class:{w}" for w in words), *(f"{tag}.{w}" for w in words), *((f"content>{tag}", "content") if inside else ())]
+    return tuple(set(map(_slot, names)))
+
+
+_common_slots = lru_cache(maxsize=5000)(_element_slots)
+
+
+@lru_cache(maxsize=5000)
+def _near_slots(names: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple(map(_slot, ["pair:" + ">".join(names[-2:]), *(f"up{k}:{tag}" for k, tag in enumerate(reversed(names)))]))
+
+
+_LENGTH = [_slot(f"len:{k}") for k in range(9)]
+_COUNT = [_slot(f"words:{k}") for k in range(7)]
+_LINKED = [_slot(f"link:{k}") for k in range(5)]
+_ENDS, _SIGN, _BARS = _slot("ends"), _slot("sign"), _slot("bars")
+_CUE = {w: _slot(f"cue:{kind}") for kind, words in CUES.items() for w in words.split()}
+
+
+def _own_slots(text: str, names: list[str], linked: float) -> tuple[int, ...]:
+    """Slots of what a block shows itself: its nearest ancestors, length, links, signs and, if it is short, its cue words."""
     n = len(text)
-    own = [f"len:{min(8, n.bit_length())}", f"link:{int(linked * 4)}", f"words:{min(6, (text.count(' ') + 1).bit_length())}"]
+    own = [*_near_slots(tuple(names)), _LENGTH[min(8, n.bit_length())], _LINKED[int(linked * 4)], _COUNT[min(6, (text.count(" ") + 1).bit_length())]]
     if text[-1] in ".!?…。":
-        own.append("ends")
+        own.append(_ENDS)
     if text[0] in "©®":
-        own.append("sign")
+        own.append(_SIGN)
     if text.count("|") + text.count("·") + text.count("»") > 1:
-        own.append("bars")
-    return [*_path_slots(path), *map(_slot, own)]
+        own.append(_BARS)
+    if n <= CUE_CHARS:
+        own += {_CUE[w] for w in _LETTERS.findall(text.lower()) if w in _CUE}
+    return tuple(own)
+
+
+def slots_of(page: _Blocks) -> list[list[int]]:
+    """All feature slots of each block of a page: its ancestors' and its own."""
+    out = []
+    for b in page.blocks:
+        slots, k = list(b.own), b.node
+        while k >= 0:
+            k, new = page.nodes[k]
+            slots += new
+        out.append(slots)
+    return out
 
 
 # ---- labelled pages -------------------------------------------------------------------------------------------------
@@ -176,11 +294,12 @@ def _tags(spec: str) -> tuple[str, str]:
 
 
 def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
-    """A made-up page and for each of its leaf blocks whether it belongs to the main text. Words are noise: the model can learn from tags, classes, lengths, links and order alone."""
+    """A made-up page and for each of its leaf blocks whether it belongs to the main text. Words are noise but for cues, which half of what surrounds the article has and its own blocks have now and then."""
     word = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
     sentence = lambda: words(1, 25).capitalize() + rng.choice(("", ".", ".", ",", " |"))
     prose = lambda: " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 4, 8))))
+    cued = lambda kind, text, p: f"{rng.choice(CUES.get(kind, CUES["menu"]).split())} {text}".capitalize() if rng.random() < p else text
     out, gold = [], []
 
     def put(html: str, label: int | None) -> None:
@@ -189,33 +308,35 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             gold.append(label)
 
     def chrome(kind: str) -> None:
-        start, end = _tags(rng.choice(_CHROME[kind]))
+        plain = rng.random() < 0.08  # told by its words alone
+        start, end = _tags(rng.choice(("div", "section", "div>div")) if plain else rng.choice(_CHROME[kind]))
+        cue = 1.0 if plain else 0.5
         put(start, None)
         form = kind == "menu" or rng.random() < 0.3
         if form and kind not in ("ad", "note"):
             put("<ul>", None)
             for _ in range(rng.randint(1, 7)):
-                put(f'<li><a href="/{word()}">{words(1, 3)}</a></li>', 0)
+                put(f'<li><a href="/{word()}">{cued(kind, words(1, 3), 0.2 + 0.8 * plain)}</a></li>', 0)
             put("</ul>", None)
         elif kind == "form":
             put(f"<label>{words(1, 3)}</label><input name=q><button>{word()}</button>", None)
             gold.extend([0, 0])
         elif rng.random() < 0.4:
-            put(rng.choice(("&copy; ", "")) + prose(), 0)
+            put(rng.choice(("&copy; ", "")) + cued(kind, prose(), cue), 0)
         else:
             for _ in range(rng.randint(1, 4)):
                 tag = rng.choice(("p", "div", "h3", "p", "span"))
                 if tag == "span":
-                    put(f"<div><span>{words(1, 3)}</span> {prose()}</div>", 0)
+                    put(f"<div><span>{cued(kind, words(1, 3), cue)}</span> {prose()}</div>", 0)
                 else:
-                    put(f"<{tag}>{prose()}</{tag}>", 0)
+                    put(f"<{tag}>{cued(kind, prose(), cue)}</{tag}>", 0)
         put(end, None)
 
     def content() -> None:
         for _ in range(rng.choice((1, 2, 4, 8, 12))):
             kind = rng.random()
             if kind < 0.62:
-                put(f"<p>{rng.choice(('', '<b>', ''))}{prose()}", 1)
+                put(f"<p>{rng.choice(('', '<b>', ''))}{cued(rng.choice(tuple(CUES)), prose(), 0.06)}", 1)
                 if rng.random() < 0.7:
                     put("</p>", None)
                 elif rng.random() < 0.5:
@@ -243,7 +364,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             else:
                 chrome(rng.choice(("ad", "ad", "note", "side", "form", "share", "menu", "said")))
 
-    put('<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{margin:0}</style></head><body>', None)
+    put('<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{margin:0}</style>' + rng.choice(("</head><body>", "</head><body>", "<body>", "</head>")), None)
     for kind in ("note", "head", "menu", "ad", "side", "form"):
         if rng.random() < 0.6:
             chrome(kind)
@@ -267,27 +388,37 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
 # ---- the chain ------------------------------------------------------------------------------------------------------
 
 
+#: Weights are summed as whole numbers of this unit, so that a sum doesn't depend on the order of its parts.
+UNIT = 1 << 20
+
+
 class Crf:
     """Two labels: weights[slot, label] for what a block shows, moves[from, to] between blocks."""
 
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
-        self.lead = (weights[:, 1] - weights[:, 0]).tolist()
+        self.lead = np.rint((weights[:, 1] - weights[:, 0]) * UNIT).astype(np.int64).tolist()
+        self.step = np.rint(moves * UNIT).astype(np.int64).tolist()
+
+    def leads(self, page: _Blocks) -> list[int]:
+        """By how much each block's features speak for main text: a node's sum is its parent's and that of what it adds."""
+        at, sums = self.lead.__getitem__, []
+        for parent, new in page.nodes:
+            sums.append((sums[parent] if parent >= 0 else 0) + sum(map(at, new)))
+        return [sums[b.node] + sum(map(at, b.own)) for b in page.blocks]
 
-    def labels(self, seq: list[list[int]]) -> list[int]:
+    def labels(self, leads: list[int]) -> list[int]:
         """Viterbi. Only score differences between the labels matter, so one number a block is enough."""
-        (aa, ab), (ba, bb) = self.moves.tolist()
-        lead, back = self.lead, []
-        a = b = 0.0
-        for k, slots in enumerate(seq):
-            e = sum(map(lead.__getitem__, slots))
+        (aa, ab), (ba, bb) = self.step
+        back, a, b = [], 0, 0
+        for k, e in enumerate(leads):
             if k:
                 from_a, from_b = a + aa >= b + ba, a + ab >= b + bb
                 back.append((0 if from_a else 1, 0 if from_b else 1))
                 a, b = (a + aa if from_a else b + ba), (a + ab if from_b else b + bb) + e
             else:
                 b = e
-        out = [0 if a >= b else 1] if seq else []
+        out = [0 if a >= b else 1] if leads else []
         for step in reversed(back):
             out.append(step[out[-1]])
         return out[::-1]
@@ -342,23 +473,23 @@ def model(pages: int = PAGES, seed: int = SEED) -> Crf:
     rows = []
     while len(rows) < pages:
         html, gold = labelled_page(rng)
-        found = blocks(html)
-        if found and len(found) == len(gold):
-            rows.append(([block_slots(b) for b in found], gold))
+        page = parse(html)
+        if gold and len(page.blocks) == len(gold):
+            rows.append((slots_of(page), gold))
     return train_crf(rows)
 
 
 def main_text(html: str | None, crf: Crf) -> str:
     """Texts of the blocks labelled main text, in page order, joined by one space."""
-    found = blocks(html)
-    keep = crf.labels([block_slots(b) for b in found])
-    return " ".join(b[0] for b, k in zip(found, keep) if k)
+    page = parse(html)
+    return " ".join(b.text for b, k in zip(page.blocks, crf.labels(crf.leads(page))) if k)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) per row.
 
-    Whole pages are parsed leniently: open elements, cut-off ends and stray tags do no harm. Null and empty pages and
+    Whole pages are parsed leniently: open elements, left-out end tags, cut-off ends and stray tags do no harm, and time is
+    linear in a page's length and nesting. Null and empty pages and
     pages without main text give an empty text and 0. Keys and urls pass unchanged, nulls and repeats too; other columns
     don't matter. An empty table gives no rows. No shuffle: a page is parsed, labelled and decoded where it is read.
     """
