@@ -308,7 +308,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             gold.append(label)
 
     def chrome(kind: str) -> None:
-        plain = rng.random() < 0.08  # told by its words alone
+        plain = rng.random() < 0.2  # told by its words alone
         start, end = _tags(rng.choice(("div", "section", "div>div")) if plain else rng.choice(_CHROME[kind]))
         cue = 1.0 if plain else 0.5
         put(start, None)
