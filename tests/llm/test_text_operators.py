@@ -61,14 +61,104 @@ def test_toxicity_learns_and_ignores_groups(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
 
 
-def test_swaps_lower_the_weight_of_groups():
-    rng = random.Random(1)
-    names = toxicity.IDENTITY_TERMS["en"]
-    sample = [(f"{rng_text(rng, 12)} {rng.choice(names[:3]) if y else ''} {'rotter' if y and rng.random() < 0.9 else ''} {rng_text(rng, 4)}", y) for y in [i % 2 for i in range(300)]]
-    free, tied = toxicity.train(sample, penalty=0.0).scorer(), toxicity.train(sample, penalty=2.0).scorer()
-    assert abs(tied("hello women") - tied("hello people")) < abs(free("hello women") - free("hello people"))
-    assert tied("you rotter") > 0.5
-    assert any(a != b for a, b in toxicity.swaps("The women sing.", 1))
+def biased(seed, n=400):
+    """A corpus in which groups are named almost only by toxic texts, three in ten of which have no other cue."""
+    rng, terms = random.Random(seed), toxicity.IDENTITY_TERMS["en"]
+    rows = []
+    for i in range(n):
+        y = i % 2
+        named = rng.random() < (0.9 if y else 0.05)
+        rows.append((f"{rng_text(rng, 12)}. {rng_text(rng, 3)} {rng.choice(terms[:6]) if named else ''} {'rotter' if y and rng.random() < 0.7 else ''} {rng_text(rng, 4)}.", y))
+    return rows, terms[:6]
+
+
+def test_counterfactual_penalty_spares_neutral_mentions():
+    sample, terms = biased(1)
+    tied, free = toxicity.train(sample).scorer(), toxicity.train(sample, penalty=0.0).scorer()
+    rng = random.Random(2)
+    neutral = [f"{rng_text(rng, 6)} {t} {rng_text(rng, 6)}." for t in terms for _ in range(20)]
+    toxic = [f"{rng_text(rng, 6)} rotter {rng_text(rng, 6)}." for _ in range(40)]
+    assert np.mean([tied(x) >= 0.5 for x in neutral]) < 0.05 < 0.9 < np.mean([free(x) >= 0.5 for x in neutral])
+    assert np.mean([tied(x) >= 0.5 for x in toxic]) > 0.95
+
+
+def test_every_sentence_is_paired():
+    pairs = toxicity.swaps("The women sing. Nobody came! Les hommes et les femmes? \n", 1)
+    assert [set(a) for a, _, w in pairs if w == 1.0] == [{"women"}, {"femmes"}, {"hommes"}] and all(not a & b for a, b, _ in pairs)
+    bare = [w for *_, w in pairs if w < 1]
+    assert len(bare) == 2 and sum(bare) == 1.0  # one sentence without a name, one without words
+    assert toxicity.swaps(None, 1) == []
+
+
+def brute_ftrl(rows, size, epochs, weight_of, alpha=0.3, beta=1.0, l1=0.1, l2=0.1):
+    """Follow-the-regularised-leader as published, one number at a time."""
+    import math
+
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def w(i):
+        k = 0.0 if i == size else l1
+        return 0.0 if abs(z[i]) <= k else -(z[i] - math.copysign(k, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for slots, values, y in rows:
+            x = [*zip(slots, values), (size, 1.0)]
+            ws = {i: w(i) for i, _ in x}
+            p = 1 / (1 + math.exp(-sum(ws[i] * v for i, v in x)))
+            for i, v in x:
+                g = (p - y) * weight_of(y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * ws[i]
+                n[i] += g * g
+    return [w(i) for i in range(size + 1)]
+
+
+def test_training_is_ftrl():
+    from turnwise.llm.ngrams import sparse
+
+    rng = random.Random(12)
+    sample = [(rng_text(rng, 9) + (" good" if i % 3 else ""), int(i % 3 > 0)) for i in range(60)]
+    got = quality.train(sample, bits=8, epochs=2)
+    good = sum(y for _, y in sample)
+    want = brute_ftrl([(*(x.tolist() for x in sparse(t, 8)), y) for t, y in sample], 256, 2, lambda y: (60 / (2 * (good if y else 60 - good))) ** 0.5)
+    assert got.weights == pytest.approx(want[:-1], abs=1e-5) and got.bias == pytest.approx(want[-1], abs=1e-6)
+    t = sample[0][0]
+    score = 1 / (1 + np.exp(-(want[-1] + sum(want[i] * v for i, v in zip(*(x.tolist() for x in sparse(t, 8)))))))
+    assert 1 / (1 + np.exp(-got.logit(*sparse(t, 8)))) == pytest.approx(score, abs=1e-5)
+
+
+def test_the_penalty_is_the_gradient_of_squared_differences():
+    """One step against the slope found by moving each weight a little."""
+    from turnwise.llm.ngrams import Ftrl
+
+    pairs = toxicity.swaps("The women sing. The men of old sang too. Nobody came.", 4)
+    of = lambda words: {s for w in words for s in toxicity.word_slots(w, 12)}
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=1 << 12)
+    loss = lambda w: sum(k * (sum(w[s] for s in of(a)) - sum(w[s] for s in of(b))) ** 2 for a, b, k in pairs)
+
+    class Spy(Ftrl):
+        def weight(self, i):
+            return weights[i]
+
+        def push(self, i, g, w):
+            self.seen = dict(zip(i.tolist(), g.tolist()))
+
+    spy = Spy(1 << 12)
+    toxicity._Pairs(pairs, 12).push(spy, 1.0)
+    for s, g in spy.seen.items():
+        up, down = weights.copy(), weights.copy()
+        up[s], down[s] = up[s] + 1e-5, down[s] - 1e-5
+        assert g == pytest.approx((loss(up) - loss(down)) / 2e-5, abs=1e-5)
+
+
+def test_the_sample_is_bounded(spark):
+    from turnwise.llm.scoring import labelled_sample
+
+    d = docs(spark, ["a" * 500, "b" * 500, "b" * 400, None, "c" * 5000, "d" * 500], [1, 3, 3, 4, 5, 6])
+    labels = spark.createDataFrame([(i, 1) for i in (1, 3, 4, 5, 6)], "doc_id long, quality int")
+    full = labelled_sample(d, labels, "quality", 99, 4, 100, text_bytes=1000)
+    assert len(full) == 4 and sorted(len(t or "") for t, _ in full)[0] == 0
+    assert sum(len(t or "") for t, _ in labelled_sample(d, labels, "quality", 99, 4, 100, text_bytes=1000, total_bytes=900)) <= 900
 
 
 @pytest.mark.parametrize("score,label", [(quality.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])

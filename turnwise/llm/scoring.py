@@ -7,22 +7,33 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import crc_bucket, ship
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, of: int, rows: int, key: str = "doc_id", text: str = "text") -> list[tuple[str | None, int]]:
+#: Texts of more bytes than the first aren't in a fit's sample, and all its texts together have at most about the second.
+FIT_TEXT_BYTES, FIT_BYTES = 1 << 20, 64 << 20
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, of: int, rows: int, key: str = "doc_id", text: str = "text", text_bytes: int = FIT_TEXT_BYTES, total_bytes: int = FIT_BYTES) -> list[tuple[str | None, int]]:
     """(text, 0 or 1) of at most ``rows`` labelled documents outside the held-out fold, in the order of a hash of the id.
 
-    The bound is drawn from the small label table, so only its documents' texts reach the driver. Null ids and labels
-    don't count; of several labels of one id the smallest counts.
+    The bound is drawn from the small label table, so only its documents' texts reach the driver: one for each id (the
+    smallest by a hash, if rows repeat an id), none of more than ``text_bytes`` bytes, and as many as fit
+    ``total_bytes``, so what the driver holds doesn't depend on the table. Null ids and labels don't count; of several
+    labels of one id the smallest counts.
     """
     ids = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isin(0, 1))
     ids = ids.filter(crc_bucket(F.col("__id"), of) != fold).groupBy("__id").agg(F.min("__y").alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(rows)
-    found = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(ids), "__id")
-    return [(r["__text"], r["__y"]) for r in found.orderBy("__id", F.xxhash64("__text")).select("__text", "__y").limit(2 * rows).collect()]
+    size = F.coalesce(F.octet_length("__text"), F.lit(0))
+    found = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(ids), "__id").filter(size <= text_bytes)
+    found = found.groupBy("__id", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), F.col("__text"))).alias("__text"))
+    by = [F.xxhash64("__id", F.lit(11)), F.col("__id")]
+    found = found.withColumn("__bytes", F.sum(size).over(W.orderBy(*by))).filter(F.col("__bytes") <= total_bytes)
+    return [(r["__text"], r["__y"]) for r in found.orderBy("__id").select("__text", "__y").collect()]
 
 
 def _scored(docs: DataFrame, make: Callable[[], Callable[[str | None], float]], fold: int, of: int, threshold: float, key: str, text: str, keep: list[str]) -> DataFrame:

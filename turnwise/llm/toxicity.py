@@ -22,8 +22,8 @@ IDENTITY_TERMS = {
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 BITS = 18
-#: Labelled rows of the fit, passes over them, sentence pairs with swapped terms for each labelled row, weight of their penalty.
-FIT_ROWS, EPOCHS, PAIRS, PENALTY = 8000, 8, 2, 0.5
+#: Labelled rows of the fit, passes over them, weight of the penalty of a pair of sentences that differ in the group they name.
+FIT_ROWS, EPOCHS, PENALTY = 8000, 8, 1.0
 MIN_DOCS, MIN_ERRORS = 4, 3.0
 FOLD, FOLDS, THRESHOLD = 0, 5, 0.5
 PREFIXES = range(4, 9)
@@ -42,41 +42,70 @@ def sparse(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return i, np.ones(len(i))
 
 
+_GROUP = {w: ts for ts in IDENTITY_TERMS.values() for w in ts}
+_TERMS = tuple(_GROUP)
+
+
 def associated(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> np.ndarray:
-    """Slots that at least MIN_DOCS texts have and whose texts' share of label 1 is MIN_ERRORS standard errors off the sample's. The others are noise in a long text."""
+    """Slots that at least MIN_DOCS texts have and whose texts' share of label 1 is MIN_ERRORS standard errors off the sample's. The others are noise in a long text.
+
+    Slots of identity terms always count: the log loss may give them weight, and it is the penalty that takes it away.
+    """
     with_slot, with_both = np.zeros(1 << bits), np.zeros(1 << bits)
     for i, y in rows:
         with_slot[i] += 1
         with_both[i] += y
     share = sum(y for _, y in rows) / max(1, len(rows))
     off = np.abs(with_both - share * with_slot) / np.sqrt(with_slot * share * (1 - share) + 1e-9)
-    return (with_slot >= MIN_DOCS) & (off >= MIN_ERRORS)
+    ok = (with_slot >= MIN_DOCS) & (off >= MIN_ERRORS)
+    ok[[s for w in _TERMS for s in word_slots(w, bits)]] = True
+    return ok
 
 
-def swaps(text: str | None, seed: int) -> list[tuple[str, str]]:
-    """Pairs of one labelled sentence with two identity terms.
+def swaps(text: str | None, seed: int) -> list[tuple[frozenset, frozenset, float]]:
+    """For each sentence of a labelled text a pair: the words in which it and its counterfactual differ, and the pair's weight.
 
-    A sentence that names a group is paired with itself under another name; one that names none gets a term put in at a
-    place that the seed picks, so that a corpus without such terms teaches the same invariance. The pair's second term
-    may be none at all.
+    A sentence that names a group is paired with itself under another name of the same list. One that names none is
+    paired with itself with a term put in, against another term or none, so that a corpus without such terms teaches the
+    same invariance; the pairs of all such sentences of a text weigh as much as one of the first kind. Only the words in
+    which the two sentences differ matter to the difference of their scores.
     """
-    sentences = SENTENCE.findall(text or "")
-    out = []
-    for k in range(PAIRS if sentences else 0):
+    named, bare = [], []
+    for k, s in enumerate(SENTENCE.findall(text or "")):
         pick = zlib.crc32(f"{seed}/{k}".encode())
-        s = sentences[pick % len(sentences)]
-        terms = IDENTITY_TERMS[sorted(IDENTITY_TERMS)[pick // 7 % len(IDENTITY_TERMS)]]
-        named = next(((w, ts) for w in WORD.findall(s.lower()) for ts in IDENTITY_TERMS.values() if w in ts), None)
-        if named:
-            w, terms = named
-            out.append((s, re.sub(rf"(?i)\b{w}\b", terms[(terms.index(w) + 1 + pick % (len(terms) - 1)) % len(terms)], s)))
-        else:
-            words = s.split()
-            at = pick // 31 % (len(words) + 1)
-            put = lambda t: " ".join([*words[:at], *([t] if t else []), *words[at:]])  # noqa: B023, E731
+        words = set(WORD.findall(s.lower()))
+        mine = sorted(w for w in words if w in _GROUP)
+        for w in mine:
+            others = [t for t in _GROUP[w] if t not in words]
+            named.append((frozenset({w}), frozenset({others[pick % len(others)]} if others else ()), 1.0))
+        if not mine:
+            terms = IDENTITY_TERMS[sorted(IDENTITY_TERMS)[pick // 7 % len(IDENTITY_TERMS)]]
             a, b = terms[pick // 11 % len(terms)], terms[pick // 17 % len(terms)]
-            out.append((put(a), put(b if a != b and pick % 2 else "")))
-    return out
+            bare.append((frozenset({a}), frozenset({b} if a != b and pick % 2 else ()), 1.0))
+    return named + [(a, b, 1.0 / len(bare)) for a, b, _ in bare]
+
+
+class _Pairs:
+    """The pairs of one text as arrays: for each slot in which a pair differs, which pair, with what sign."""
+
+    def __init__(self, pairs: list[tuple[frozenset, frozenset, float]], bits: int):
+        slot, pair, sign, self.weight = [], [], [], np.array([w for *_, w in pairs])
+        for k, (a, b, _) in enumerate(pairs):
+            of = lambda words: {s for w in words for s in word_slots(w, bits)}
+            left, right = of(a), of(b)
+            for side, one in ((left - right, 1.0), (right - left, -1.0)):
+                slot += side
+                pair += [k] * len(side)
+                sign += [one] * len(side)
+        self.slots, self.at = np.unique(np.array(slot, dtype=np.int64), return_inverse=True)
+        self.pair, self.sign = np.array(pair, dtype=np.int64), np.array(sign)
+
+    def push(self, learner: Ftrl, penalty: float) -> None:
+        """One step down the gradient of penalty * weight * (difference of log-odds)^2, summed over the pairs."""
+        if len(self.slots):
+            w = learner.weight(self.slots)
+            off = np.bincount(self.pair, weights=w[self.at] * self.sign, minlength=len(self.weight))
+            learner.push(self.slots, np.bincount(self.at, weights=2 * penalty * (off * self.weight)[self.pair] * self.sign), w)
 
 
 @dataclass
@@ -108,10 +137,10 @@ class Model:
 
 
 def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int = EPOCHS, penalty: float = PENALTY) -> Model:
-    """FTRL on the log loss plus ``penalty`` times the squared difference of the log-odds of each swapped pair.
+    """FTRL on the log loss plus ``penalty`` times the squared difference of the log-odds of each sentence and its counterfactual.
 
     The gradient of a pair falls on the slots in which its two sentences differ, which are those of the identity terms
-    alone, so group names lose their weight and other words keep theirs.
+    alone, so group names lose their weight and other words keep theirs. Every sentence of the sample is in a pair.
     """
     learner = Ftrl(1 << bits, alpha=0.3, l1=1.0, l2=0.02)
     n, bad = len(sample), sum(y for _, y in sample)
@@ -119,17 +148,13 @@ def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int =
         return Model(np.zeros(1 << bits, dtype=np.float32), 4.0 if bad else -4.0 if n else 0.0)
     texts = [sparse(t, bits)[0] for t, _ in sample]
     ok = associated([(i, y) for i, (_, y) in zip(texts, sample)], bits)
-    kept = lambda t: (i := sparse(t, bits)[0])[ok[i]]
-    rows = [(i[ok[i]], y, [(kept(a), kept(b)) for a, b in swaps(t, k)]) for k, (i, (t, y)) in enumerate(zip(texts, sample))]
+    rows = [(i[ok[i]], y, _Pairs(swaps(t, k), bits)) for k, (i, (t, y)) in enumerate(zip(texts, sample))]
     balance = {1: min(4.0, (n / (2 * bad)) ** 0.5), 0: min(4.0, (n / (2 * (n - bad))) ** 0.5)}
     for _ in range(epochs):
         for slots, y, pairs in rows:
             learner.learn(slots, np.ones(len(slots)), y, balance[y])
-            for a, b in pairs:
-                u = np.setxor1d(a, b, assume_unique=True)
-                if len(u):
-                    w, d = learner.weight(u), np.where(np.isin(u, a), 1.0, -1.0)
-                    learner.push(u, 2 * penalty * float(w @ d) * d, w)
+            if penalty:
+                pairs.push(learner, penalty)
     m = learner.model()
     return Model(m.weights, m.bias)
 
