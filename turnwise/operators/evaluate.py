@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from .ranks import running
 
 AXES = ("family", "lang", "brand", "channel")
 
@@ -50,8 +51,11 @@ def auroc(rows: DataFrame, score: str = "score", positive: str = "positive", by:
     by = by or []
     one = lambda c: F.sum(c.cast("long"))
     per = rows.groupBy(*by, score).agg(one(F.col(positive)).alias("np"), one(~F.col(positive)).alias("nn"))
-    below = F.coalesce(F.sum("nn").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    agg = per.withColumn("wins", F.col("np") * (below + F.col("nn") / 2)).groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("np").alias("p"), F.sum("nn").alias("n"))
+    if by:
+        per = per.withColumn("below", F.coalesce(F.sum("nn").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    else:
+        per = running(per, [F.col(score)], {"below": F.col("nn")})
+    agg = per.withColumn("wins", F.col("np") * (F.col("below") + F.col("nn") / 2)).groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("np").alias("p"), F.sum("nn").alias("n"))
     return agg.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).otherwise(F.lit(float("nan"))).alias("auroc"))
 
 
@@ -59,9 +63,13 @@ def at_rank(rows: DataFrame, value: str, index: Column, by: list[str] | None = N
     """The value at a 0-based rank given as an expression of ``n``, by cumulative counts of distinct values."""
     by = by or []
     per = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(W.partitionBy(*by).orderBy(value))
-    per = per.withColumns({"upto": upto, "n": F.sum("c").over(W.partitionBy(*by))})
-    hit = per.withColumn("i", index).filter((F.col("i") < F.col("upto")) & (F.col("i") >= F.col("upto") - F.col("c")))
+    if by:
+        w = W.partitionBy(*by)
+        per = per.withColumns({"ahead": F.sum("c").over(w.orderBy(value)) - F.col("c"), "n": F.sum("c").over(w)})
+    else:
+        per = running(per, [F.col(value)], {"ahead": F.col("c")})
+        per = per.crossJoin(F.broadcast(per.agg(F.sum("c").alias("n"))))  # one row
+    hit = per.withColumn("i", index).filter((F.col("i") < F.col("ahead") + F.col("c")) & (F.col("i") >= F.col("ahead")))
     return hit.select(*by, F.col(value).alias("value"), "n")
 
 
@@ -116,8 +124,8 @@ def axis_values(rows: DataFrame, axis: str) -> DataFrame:
 def partition_corpus(convs: DataFrame, test_families: tuple[str, ...], order: str = "id", every: int = 10) -> DataFrame:
     """convs with ``part``: test for the named families; of the others in order every tenth is val, the rest train."""
     rest = ~F.col("family").isin(*test_families)
-    i = F.row_number().over(W.partitionBy(rest).orderBy(order)) - 1
-    return convs.withColumn("part", F.when(~rest, "test").when(i % every == 0, "val").otherwise("train"))
+    out = running(convs, [F.col(order)], {"__i": rest.cast("long")})
+    return out.withColumn("part", F.when(~rest, "test").when(F.col("__i") % every == 0, "val").otherwise("train")).drop("__i")
 
 
 def hash_split(text: Column) -> Column:

@@ -7,27 +7,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..sources.stage import release, staged
 
 
-def node_depth(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def node_depth(nodes: DataFrame) -> DataFrame:
     """nodes (conv_id, id, parent nullable, ord) with depth and x, the place among the nodes of that depth.
 
-    A root and a node whose parent isn't known when it arrives count from 0 and 1. A recursive query walks the levels, so
-    a conversation's graph of depth d takes d rounds however many conversations there are.
+    A root and a node whose parent isn't known when it arrives count from 0 and 1. Pointers double: in each round a node
+    takes over its pointer's pointer, so a chain of d nodes takes log2(d) joins, whatever d.
     """
-    spark = nodes.sparkSession
-    name = "__turnwise_nodes"
-    known = nodes.select(F.col("conv_id").alias("__conv"), F.col("id").alias("real_parent"), F.col("ord").alias("__ord"))
-    n = nodes.join(known, (F.col("conv_id") == F.col("__conv")) & (F.col("parent") == F.col("real_parent")) & (F.col("__ord") < F.col("ord")), "left").select("conv_id", "id", "parent", "real_parent")
-    n.createOrReplaceTempView(name)
-    depth = spark.sql(f"""
-        WITH RECURSIVE walk(conv_id, id, depth) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT conv_id, id, CASE WHEN parent IS NULL THEN 0 ELSE 1 END FROM {name} WHERE real_parent IS NULL
-          UNION ALL
-          SELECT n.conv_id, n.id, w.depth + 1 FROM walk w JOIN {name} n ON n.conv_id = w.conv_id AND n.real_parent = w.id
-        ) SELECT conv_id, id, depth FROM walk""")
+    known = nodes.select(F.col("conv_id").alias("__conv"), F.col("id").alias("up"), F.col("ord").alias("__ord"))
+    n = nodes.join(known, (F.col("conv_id") == F.col("__conv")) & (F.col("parent") == F.col("up")) & (F.col("__ord") < F.col("ord")), "left")
+    now = staged(n.select("conv_id", "id", "up", F.when(F.col("up").isNull() & F.col("parent").isNull(), 0).otherwise(1).alias("depth")), "pointers")
+    while now.filter("up IS NOT NULL").limit(1).count():
+        over = now.select(F.col("conv_id").alias("__conv"), F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("depth").alias("__depth"))
+        step = now.join(over, (F.col("conv_id") == F.col("__conv")) & (F.col("up") == F.col("__id")), "left")
+        old, now = now, staged(step.select("conv_id", "id", F.col("__up").alias("up"), (F.col("depth") + F.coalesce("__depth", F.lit(0))).alias("depth")), "pointers")
+        release(old)
     x = F.row_number().over(W.partitionBy("conv_id", "depth").orderBy("ord")) - 1
-    return nodes.join(depth, ["conv_id", "id"]).withColumn("x", x)
+    return nodes.join(now.select("conv_id", "id", "depth"), ["conv_id", "id"]).withColumn("x", x)
 
 
 def edges(nodes: DataFrame) -> DataFrame:

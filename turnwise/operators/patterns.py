@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..sources.stage import staged
+from .components import components
 from ..functions.sequences import fingerprint_similarity, next_after_subsequence, order_similarity, partial_similarity
 
 
@@ -59,33 +61,51 @@ def linkage(sim: np.ndarray, weight: np.ndarray, threshold: float) -> list[list[
     return groups
 
 
+#: Distinct fingerprints that hang together by pairs above the threshold, of which one task merges all; more are an error.
+MOST_LINKED = 4000
+
+
 def clusters(fps: DataFrame, threshold: float = dims.CLUSTER_AT, by: str | None = None) -> DataFrame:
-    """code -> cluster number, over distinct fingerprints with multiplicity n, apart for each value of ``by``.
+    """code -> cluster, over distinct fingerprints with multiplicity n, apart for each value of ``by``. A cluster is named by the first conversation of its first member.
 
-    The similarities are computed in Spark; only the sequential merging runs in one Python group, on one row per distinct
-    fingerprint. Their number doesn't grow with conversations: there are 9 steps and 13 tactics.
+    Two clusters that merge hold a pair above the threshold, so merging never leaves a component of such pairs: the
+    components are found in Spark, and each is merged on its own, on one row per distinct fingerprint.
     """
     group = [by] if by else []
-    left = fps.select(*group, F.col("code").alias("a"), F.col("steps").alias("x"), F.col("tactics").alias("p"), F.col("n").alias("n_a"), F.col("first_conv").alias("f_a"))
-    right = fps.select(*group, F.col("code").alias("b"), F.col("steps").alias("y"), F.col("tactics").alias("q"), F.col("first_conv").alias("f_b"))
-    pairs = left.join(right, group) if by else left.join(right, F.col("f_a") <= F.col("f_b"))
-    sim = pairs.select(*group, "a", "b", "n_a", "f_a", "f_b", fingerprint_similarity(F.col("x"), F.col("p"), F.col("y"), F.col("q")).alias("s"))
-    schema = ", ".join([*(f"{by} {fps.schema[by].dataType.simpleString()}" for _ in group), "code string, cluster int, rank int"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf[["a", "n_a", "f_a"]].drop_duplicates("a").sort_values("f_a", kind="stable").reset_index(drop=True)
-        at = {c: i for i, c in enumerate(items.a)}
-        m = np.ones((len(items), len(items)))
-        for a, b, s in zip(pdf.a, pdf.b, pdf.s):
-            m[at[a], at[b]] = m[at[b], at[a]] = s
-        np.fill_diagonal(m, 1.0)
-        out = [(items.a[i], k, r) for k, g in enumerate(linkage(m, items.n_a.to_numpy(), threshold)) for r, i in enumerate(g)]
-        res = pd.DataFrame(out, columns=["code", "cluster", "rank"])
-        if by:
-            res.insert(0, by, pdf[by].iloc[0])
-        return res
-
-    return (sim.groupBy(by) if by else sim.withColumn("all", F.lit(True)).groupBy("all")).applyInPandas(merge, schema)
+    kinds = fps.select(*group, "code", "steps", "tactics", "n", "first_conv", F.xxhash64(*group, "code").alias("node"))
+    left = kinds.select(*group, F.col("node").alias("a"), F.col("first_conv").alias("f_a"), F.col("steps").alias("x"), F.col("tactics").alias("p"))
+    right = kinds.select(*group, F.col("node").alias("b"), F.col("first_conv").alias("f_b"), F.col("steps").alias("y"), F.col("tactics").alias("q"))
+    later = (F.col("f_a") < F.col("f_b")) | ((F.col("f_a") == F.col("f_b")) & (F.col("a") < F.col("b")))
+    pairs = left.join(right, group).filter(later) if by else left.join(right, later)
+    sim = pairs.select("a", "b", fingerprint_similarity(F.col("x"), F.col("p"), F.col("y"), F.col("q")).alias("s"))
+    sim = staged(sim, "similarities")
+    found = components(sim.filter(F.col("s") >= threshold).select("a", "b"))
+    items = kinds.select(*group, "node", "code", "n", "first_conv").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    alone = items.groupBy("component").agg(F.count("*").alias("size"))
+    items = staged(items.join(alone, "component"), "items")
+    if (most := items.agg(F.max("size")).first()[0] or 0) > MOST_LINKED:
+        raise ValueError(f"{most} fingerprints hang together; raise the threshold or cluster by a group")
+    linked = items.filter("size > 1")
+    inside = sim.join(linked.select(F.col("node").alias("a"), "component"), "a").join(linked.select(F.col("node").alias("b"), F.col("component").alias("__c")), "b").filter(F.col("component") == F.col("__c"))
+    inside = inside.groupBy("component").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list("s").alias("s"))
+    members = linked.groupBy("component").agg(F.array_sort(F.collect_list(F.struct("first_conv", "node", "n", "code"))).alias("m"))
+    schema = "component long, code string, cluster string, rank int"
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples():
+                at = {x["node"]: i for i, x in enumerate(row.m)}
+                m = np.eye(len(at))
+                for a, b, s in zip(row.a, row.b, row.s):
+                    m[at[a], at[b]] = m[at[b], at[a]] = s
+                out = [(row.component, row.m[i]["code"], row.m[g[0]]["first_conv"], r) for g in linkage(m, np.array([x["n"] for x in row.m]), threshold) for r, i in enumerate(g)]
+                yield pd.DataFrame(out, columns=["component", "code", "cluster", "rank"])
+
+    merged = members.join(inside, "component").mapInPandas(merge, schema)
+    if by:
+        merged = merged.join(linked.select(by, "component").distinct(), "component")
+    single = items.filter("size = 1").select(*group, "code", F.col("first_conv").alias("cluster"), F.lit(0).alias("rank"))
+    return merged.select(*group, "code", "cluster", "rank").unionByName(single)
 
 
 def medoids(fps: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df as Parquet below the cluster's checkpoint folder and returns the written table.
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="turnwise-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return f"file://{path}"
+
 
-    The folder is the session's spark.checkpoint.dir; where none is set, as in tests, one of our own is made.
+def new_folder(spark: SparkSession) -> str:
+    """A new folder below the cluster's checkpoint folder, the session's spark.checkpoint.dir.
+
+    Where none is set, local mode takes a folder of its own, which goes with the process; a cluster is told to set one,
+    for what an executor writes to its own disk the others can't read.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="turnwise-")
-        sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/turnwise-{uuid.uuid4().hex}/{name}"
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own_folder()
+    return f"{base.rstrip('/')}/turnwise-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Writes df as Parquet to a new folder and returns the written table."""
+    path = f"{new_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._turnwise_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more: what followed from them is written."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._turnwise_path).getParent()
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
