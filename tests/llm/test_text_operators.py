@@ -11,7 +11,6 @@ import pytest
 
 from turnwise.llm import lines, packing, quality, simhash, toxicity
 from turnwise.llm import html as pages
-from turnwise.llm.components import components
 from turnwise.llm.queries import tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -272,19 +271,10 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_components(spark):
-    rng = random.Random(2)
-    edges = [(i, i + 1) for i in range(0, 40)] + [(100 + rng.randrange(20), 100 + rng.randrange(20)) for _ in range(15)] + [(500, 500 + i) for i in range(1, 30)] + [(7, 7), (None, 3)]
-    want = {}
-    for a, b in edges:
-        if a is not None and a != b:
-            x, y = want.setdefault(a, {a}), want.setdefault(b, {b})
-            if x is not y:
-                x |= y
-                for v in y:
-                    want[v] = x
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {v: min(s) for v, s in want.items()}
+def test_keep_one_of_an_id_with_two_texts(spark):
+    d = docs(spark, ["first text of this id", "another text of it", "another text of it", None], [4, 4, 4, None])
+    kept = [sorted(str(r) for r in simhash.keep_one(d.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
 
 
 # ---- HTML --------------------------------------------------------------------------------------------------------------
@@ -408,6 +398,15 @@ def test_packing_odd_tables(spark):
     assert sum(r.length for r in rows) == 7 and {r.doc_tokens for r in rows if r.doc_id is None} == {3} and {r.doc_tokens for r in rows if r.doc_id == 3} == {1}
 
 
+def test_packing_many_rows_of_one_id(spark):
+    """Null ids and one id ten thousand times stay where they are read; no task gathers them."""
+    texts, ids = ["a b c"] * 10_000 + [f"{i} words" for i in range(3000)], [7] * 10_000 + [None] * 3000
+    df = docs(spark, texts, ids).repartition(6)
+    out = packing.pack(df, tokenizer_path(), shard_docs=500)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    check_packing(out.collect(), [r.text for r in df.collect()])
+
+
 def test_assign_balances_cost():
     lengths = sorted([900, 700, 500, 500, 300, 200, 100, 50, 30, 16], reverse=True)
     caps = packing.capacities(sum(lengths), 1024)

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
 import tempfile
-import uuid
 import zipfile
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stage import release, staged  # noqa: F401
+
 #: The characters that count as white space between words and around lines: \x20 and \x09 to \x0D.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,58 +21,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under the checkpoint folder that the cluster names.
-
-    Where none is named, local mode takes one of its own, which goes when the process ends. A cluster without a shared
-    folder is an error: what one executor writes to its own disk the others can't read.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not base:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own_folder()
-    return f"{base.rstrip('/')}/turnwise-{uuid.uuid4().hex}"
-
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    path = tempfile.mkdtemp(prefix="turnwise-")
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return f"file://{path}"
-
-
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Writes df to the shared folder and returns the written table: its lineage ends there, and an executor's loss costs nothing of it."""
-    path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._turnwise_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more: what followed from them is written."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._turnwise_path).getParent()
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers, wherever they run, and bounds their Arrow batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Makes this package importable in the Python workers, wherever they run. Arrow batches are as the session bounds them, by rows and bytes."""
     sc = spark.sparkContext
     if getattr(sc, "_turnwise_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     target = os.path.join(tempfile.mkdtemp(prefix="turnwise-"), "turnwise_llm.zip")
     with zipfile.ZipFile(target, "w") as z:
-        z.write(os.path.join(root, "__init__.py"), "turnwise/__init__.py")
-        for name in sorted(os.listdir(os.path.join(root, "llm"))):
-            if name.endswith(".py"):
-                z.write(os.path.join(root, "llm", name), f"turnwise/llm/{name}")
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.join("turnwise", os.path.relpath(os.path.join(folder, name), root)))
     sc.addPyFile(target)
     sc._turnwise_shipped = True
 

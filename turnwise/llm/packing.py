@@ -20,7 +20,6 @@ LINEAR, QUADRATIC = 1.0, 1 / 2048
 SHARD_DOCS = 2000
 #: Words whose ids a worker remembers, and words since the last time it forgot the rest; it holds twice as many at most.
 REMEMBERED = 500_000
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, shard long, ids binary"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -138,30 +137,6 @@ def crc32_of(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes())
 
 
-def _cut(path: str, end: int, capacity: int):
-    """Tokenises documents and cuts them every ``capacity`` ids. Only the last, shorter piece keeps its ids: it may be cut again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = _tokens.setdefault(path, None) or _tokens.__setitem__(path, WordTokens(path)) or _tokens[path]
-        last = end.to_bytes(2, "little")
-        for b in batches:
-            rows: list[tuple] = []
-            every, starts = tokens.of_texts(b.column(2))
-            for i, (key, shard) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                ids = every[starts[i] : starts[i + 1]].tobytes() + last
-                n = len(ids) // 2
-                for at in range(0, n, capacity):
-                    piece = ids[2 * at : 2 * (at + capacity)]
-                    rows.append((key, at, len(piece) // 2, crc32_of(piece), n, shard, None if len(piece) == 2 * capacity else piece))
-            cols = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:6]], pa.array(cols[6], pa.binary())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "shard", "ids"])
-
-    return run
-
-
 def capacities(total: int, capacity: int = CAPACITY) -> list[int]:
     """Full sequences, and for what is left over at most three whose lengths are powers of two, which need no padding when full."""
     full, rest = divmod(total, capacity)
@@ -198,18 +173,56 @@ def assign(lengths: list[int], caps: list[int], linear: float = LINEAR, quadrati
     return out
 
 
-def _pack(capacity: int):
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"]))
-        whole, short = [r for r in rows if r["ids"] is None], [r for r in rows if r["ids"] is not None]
-        base = rows[0]["shard"] << 32
-        out = [(r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"], base + k, 0) for k, r in enumerate(whole)]
-        base += len(whole)
-        for i, start, n, k, offset in assign([r["length"] for r in short], capacities(sum(r["length"] for r in short), capacity)):
-            r = short[i]
-            crc = r["ids_crc32"] if n == r["length"] else crc32_of(r["ids"][2 * start : 2 * (start + n)])
-            out.append((r["doc_id"], r["start"] + start, n, crc, r["doc_tokens"], base + k, offset))
-        return pa.table([pa.array(c, pa.int64()) for c in zip(*out)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+class _Shard:
+    """The last, short pieces of documents that are packed together: (doc_id, start, length, ids_crc32, doc_tokens, ids)."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.rows = capacity, []
+
+    def packed(self, sequence: int) -> tuple[list[tuple], int]:
+        """Rows of all pieces in sequences from the given number on, and the next number. The shard is empty again."""
+        rows = sorted(self.rows, key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))
+        self.rows, out, caps = [], [], capacities(sum(r[2] for r in rows), self.capacity)
+        for i, start, n, k, offset in assign([r[2] for r in rows], caps):
+            key, first, length, crc, tokens, ids = rows[i]
+            out.append((key, first + start, n, crc if n == length else crc32_of(ids[2 * start : 2 * (start + n)]), tokens, sequence + k, offset))
+        return out, sequence + len(caps)
+
+
+def _pack(name: str, end: int, capacity: int, shard_docs: int):
+    """Tokenises documents and cuts them every ``capacity`` ids: full pieces are sequences, the last ones go to the shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        from pyspark import SparkFiles, TaskContext
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        path = SparkFiles.get(name)
+        tokens = _tokens.setdefault(path, None) or _tokens.__setitem__(path, WordTokens(path)) or _tokens[path]
+        last, shard, sequence = end.to_bytes(2, "little"), _Shard(capacity), TaskContext.get().partitionId() << 32
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in PACKED.split(", ")])
+        for b in batches:
+            rows: list[tuple] = []
+            every, starts = tokens.of_texts(b.column(1))
+            for i, key in enumerate(b.column(0).to_pylist()):
+                ids = every[starts[i] : starts[i + 1]].tobytes() + last
+                n = len(ids) // 2
+                for at in range(0, n, capacity):
+                    piece = ids[2 * at : 2 * (at + capacity)]
+                    crc = crc32_of(piece)
+                    if len(piece) == 2 * capacity:
+                        rows.append((key, at, capacity, crc, n, sequence, 0))
+                        sequence += 1
+                    else:
+                        shard.rows.append((key, at, len(piece) // 2, crc, n, piece))
+                if len(shard.rows) >= shard_docs:
+                    more, sequence = shard.packed(sequence)
+                    rows += more
+            if rows:
+                yield batch(rows)
+        if shard.rows:
+            yield batch(shard.packed(sequence)[0])
 
     return run
 
@@ -218,19 +231,20 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids, and ``end`` after them, are cut every ``capacity`` ids; full pieces are sequences of their own.
-    The last pieces of about ``shard_docs`` documents at a time, dealt by a hash of the id, are packed together: in
-    descending length each goes to the sequence of lowest estimated cost, linear plus quadratic, that has room. There are
-    only as many sequences as the ids need, so the padding of a shard is under an eighth of one sequence.
-
-    ``tokenizer`` is a file whose tokens don't span white space and whose ids fit 16 bits. Null and empty texts are the
-    end id alone. Null ids are packed like others; rows that repeat an id are packed each by itself and share their ids'
-    starts. Other columns don't matter; an empty table gives no rows. One shuffle, of ids of the last pieces and of
-    counts; a very long document adds rows to its shard, not ids.
+    The last pieces of ``shard_docs`` documents at a time, in the order in which a task reads them, are packed together:
+    in descending length each goes to the sequence of lowest estimated cost, linear plus quadratic, that has room. There
+    are only as many sequences as the ids need, so the padding of a shard is under an eighth of one sequence. A task's
+    number and a count make a sequence's id.
+
+    Each document is packed where it is read: nothing is shuffled, so no id, null or repeated, gathers rows, and a task
+    holds one shard. A task that is run again must read the same rows in the same order, so docs should be a written
+    table, as the pipeline's stages are. ``tokenizer`` is a file whose tokens don't span white space and whose ids fit 16
+    bits; it is sent to the executors. Null and empty texts are the end id alone. Null ids are packed like others; rows
+    that repeat an id are packed each by itself and share their ids' starts. Other columns don't matter; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    shards = max(1, -(-docs.count() // shard_docs))
-    shard = F.pmod(F.xxhash64(F.col(key)), F.lit(shards))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), shard.cast("long").alias("shard"), F.col(text).alias("text"))
-    pieces = rows.mapInArrow(_cut(tokenizer, end, capacity), PIECES)
-    return pieces.groupBy("shard").applyInArrow(_pack(capacity), PACKED)
+    spark.sparkContext.addFile(tokenizer)
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    return rows.mapInArrow(_pack(tokenizer.rsplit("/", 1)[-1], end, capacity, shard_docs), PACKED)

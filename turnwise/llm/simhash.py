@@ -12,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import LOWER_MAP, ship, staged
-from .components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SHINGLE, SEED, RADIUS, SEGMENTS, BITS = 3, 42, 3, 8, 64
@@ -118,8 +118,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
     """The rows of docs, in all their columns, without near duplicates: of each component the document with the smallest id.
 
-    Rows that repeat that id are one document and leave one row. Rows without an id can't be named as a duplicate; they stay.
+    Rows that repeat that id are one document and leave one row, the smallest by a hash of all columns, then of those
+    equal in it any, for they are alike. Rows without an id can't be named as a duplicate; they stay. An empty table
+    gives an empty table; other columns are kept as they are.
     """
     found = near_duplicates(docs, key, text, radius, segments)
     firsts = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(firsts, key, "left_semi").dropDuplicates([key]).unionByName(docs.filter(F.col(key).isNull())).select(*docs.columns)
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    kept = docs.join(firsts, key, "left_semi").select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    every = [F.col(n) for n in names.values()]
+    order = F.struct(F.xxhash64(*every), F.xxhash64(F.lit("row"), *every))
+    one = kept.groupBy(names[key]).agg(*[F.min_by(n, order).alias(n) for n in names.values() if n != names[key]])
+    return one.select(*[F.col(n).alias(c) for c, n in names.items()]).unionByName(docs.filter(F.col(f"`{key}`").isNull()))
