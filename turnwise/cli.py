@@ -36,7 +36,7 @@ def main(argv: list[str] | None = None) -> int:
     from .sources.stage import staged
 
     spark = SparkSession.builder.appName("turnwise").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    labels = {f: v[0] for f, v in datagen.FAMILIES.items()}
+    labels = {f: v.label for f, v in datagen.FAMILIES.items()}
 
     def library():
         return session.build_library(datagen.incidents(datagen.turns(datagen.conversations(spark, 25, 7, None, 0.0), 7)), labels)

@@ -120,7 +120,7 @@ def generated_meta(turns: DataFrame) -> DataFrame:
 def full_report(spark, per_family: int = 20, seed: int = 101, extractor: str = "rules") -> dict[str, DataFrame]:
     """Every report on generated conversations of one seed, with a library of another."""
     known = staged(datagen.incidents(datagen.turns(datagen.conversations(spark, 25, 7, None, 0.0), 7)), "known")
-    lib = session.build_library(known, {f: v[0] for f, v in datagen.FAMILIES.items()})
+    lib = session.build_library(known, {f: v.label for f, v in datagen.FAMILIES.items()})
     t = staged(datagen.gold(datagen.turns(datagen.conversations(spark, per_family, seed), seed)), "test")
     ext, meta = extraction(t, extractor), staged(generated_meta(t), "meta")
     rows, summary = heldout(meta, conversations(t.select("conv_id", "turn_idx", "speaker", "text", "at_ms"), lib, extractor))

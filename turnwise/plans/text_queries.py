@@ -410,6 +410,13 @@ def generated_corpus(spark, sf_dir):
     return t.groupBy("family").agg(F.countDistinct("conv_id").alias("n_conversations"), F.count("*").alias("n_turns"), F.sum(F.size("spans")).alias("n_spans"))
 
 
+@query()
+def generated_languages(spark, sf_dir):
+    """Turns of each language of a generated corpus, and how many of them are written in Devanagari."""
+    t = datagen.turns(datagen.conversations(spark, 10))
+    return t.groupBy("lang").agg(F.count("*").alias("n_turns"), F.sum(F.col("text").rlike(r"\p{IsDevanagari}").cast("long")).alias("n_devanagari"))
+
+
 @query()
 def sft_rows(spark, sf_dir):
     t = staged(datagen.gold(datagen.turns(datagen.conversations(spark, 4))), "gold")
@@ -420,7 +427,7 @@ def sft_rows(spark, sf_dir):
 def conversation_analysis(spark, sf_dir):
     """Generated conversations through redaction, extraction, folds, matching and prediction, with a library of other ones."""
     train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
-    lib = session.build_library(train, {f: v[0] for f, v in datagen.FAMILIES.items()})
+    lib = session.build_library(train, {f: v.label for f, v in datagen.FAMILIES.items()})
     a = session.analyse(staged(datagen.turns(datagen.conversations(spark, 4, 101), 101), "turns").select("conv_id", "turn_idx", "speaker", "text", "at_ms"), lib)
     return session.snapshot(a).select("conv_id", "stage", "progress", "code", "pattern", "match_pct", "novel", "next", "confidence", "evidence_score", "pii_detected")
 
@@ -428,7 +435,7 @@ def conversation_analysis(spark, sf_dir):
 @query()
 def conversation_events(spark, sf_dir):
     train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
-    lib = session.build_library(train, {f: v[0] for f, v in datagen.FAMILIES.items()})
+    lib = session.build_library(train, {f: v.label for f, v in datagen.FAMILIES.items()})
     a = session.analyse(staged(datagen.turns(datagen.conversations(spark, 3, 101), 101), "turns").select("conv_id", "turn_idx", "speaker", "text", "at_ms"), lib)
     return session.events(a).groupBy("type").agg(F.count("*").alias("n"))
 
@@ -436,7 +443,7 @@ def conversation_events(spark, sf_dir):
 def _analysed(spark, sf_dir) -> session.Analysis:
     """All turns of the conversations table, with a library of generated ones. The table has no clock: turns are spaced by the engine's own."""
     train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
-    lib = session.build_library(train, {f: v[0] for f, v in datagen.FAMILIES.items()})
+    lib = session.build_library(train, {f: v.label for f, v in datagen.FAMILIES.items()})
     return session.analyse(turns(spark, sf_dir).withColumn("at_ms", F.lit(None).cast("long")), lib)
 
 
