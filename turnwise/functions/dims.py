@@ -120,6 +120,17 @@ def stage_name(index: Column) -> Column:
     return F.try_element_at(F.array(*[F.lit(s) for s in STAGES]), index + 1)
 
 
+def stage_position(stage: Column) -> Column:
+    """Place of a stage in the display's bar, from 0; -1 before any stage."""
+    return F.array_position(F.array(*[F.lit(s) for s in STAGES]), F.coalesce(stage, F.lit(""))).cast("int") - 1
+
+
+def valid_steps(steps: Column) -> Column:
+    """The steps themselves; a name that no step has is an error."""
+    known = F.forall(steps, lambda s: F.coalesce(s.isin(*STEPS), F.lit(False)))
+    return F.when(known | steps.isNull(), steps).otherwise(F.raise_error(F.concat(F.lit("unknown step in "), F.to_json(steps))).cast("array<string>"))
+
+
 def step_code(steps: Column) -> Column:
     """Codes of a step list joined by ``>``."""
     codes = {s: v[1] for s, v in STEPS.items()}

@@ -61,6 +61,11 @@ def percent(score: Column) -> Column:
     return F.bround(score * 100).cast("int")
 
 
+def display_percent(score: Column) -> Column:
+    """Percent as a display rounds it: half up."""
+    return F.floor(score * 100 + 0.5).cast("int")
+
+
 def first_unseen(steps: Column, seen: Column) -> Column:
     """The first step of a list that another doesn't have; null if none."""
     return F.get(F.filter(steps, lambda s: ~F.array_contains(seen, s)), F.lit(0))

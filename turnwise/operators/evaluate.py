@@ -155,3 +155,18 @@ def multilabel_micro(rows: DataFrame, logits: str = "logits", gold: str = "gold"
 def multi_hot(signals: Column) -> Column:
     """Fourteen 0/1 labels in the order of the signal table."""
     return F.array(*[F.array_contains(signals, s).cast("int") for s in dims.SIGNALS])
+
+
+def misses(rows: DataFrame, n: int = 15, score: str = "score", positive: str = "positive", order: str = "ord") -> DataFrame:
+    """The report's list of positives without any score: the first n."""
+    return rows.filter(F.col(positive) & (F.col(score) == 0)).orderBy(order).limit(n)
+
+
+def false_hits(rows: DataFrame, n: int = 10, score: str = "score", positive: str = "positive", order: str = "ord") -> DataFrame:
+    """The report's list of the n highest-scored negatives."""
+    return rows.filter(~F.col(positive)).orderBy(F.desc(score), order).limit(n)
+
+
+def latency(turns: DataFrame, ms: str = "latency_ms") -> DataFrame:
+    """conv_id, last, most, mean of the recorded milliseconds of each turn; nulls don't count."""
+    return turns.filter(F.col(ms).isNotNull()).groupBy("conv_id").agg(F.max_by(ms, "turn_idx").alias("last"), F.max(ms).alias("most"), F.bround(F.avg(ms), 2).alias("mean"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
-from ..sources.stage import staged
+from ..sources.stage import if_small, staged
 from .components import components
 from ..functions.sequences import fingerprint_similarity, next_after_subsequence, order_similarity, partial_similarity
 
@@ -143,12 +143,12 @@ def named_patterns(hist: DataFrame, proto: DataFrame, labels: dict[str, str] | N
 def best_match(live: DataFrame, patterns: DataFrame, key: list[str], partial: bool = True) -> DataFrame:
     """live with pattern_id, pattern_name, members, score, novel of its best pattern; the first wins ties and no positive score means none.
 
-    Matching runs on distinct (steps, tactics); the patterns are a bounded, small table.
+    Matching runs on distinct (steps, tactics); the patterns are broadcast if they are few.
     """
     sim = partial_similarity if partial else fingerprint_similarity
     kinds = live.select("steps", "tactics").distinct()
     p = patterns.select("pattern_ord", F.col("id").alias("pattern_id"), F.col("name").alias("pattern_name"), F.col("size").alias("members"), F.col("steps").alias("p_steps"), F.col("tactics").alias("p_tactics"))
-    scored = kinds.join(F.broadcast(p), F.lit(True)).withColumn("score", sim(F.col("steps"), F.col("tactics"), F.col("p_steps"), F.col("p_tactics"))).filter("score > 0")
+    scored = kinds.join(if_small(p), F.lit(True)).withColumn("score", sim(F.col("steps"), F.col("tactics"), F.col("p_steps"), F.col("p_tactics"))).filter("score > 0")
     best = scored.groupBy("steps", "tactics").agg(F.max_by(F.struct("pattern_id", "pattern_name", "members", "score", "p_steps"), F.struct("score", -F.col("pattern_ord"))).alias("b"))
     out = live.join(best, ["steps", "tactics"], "left")
     return out.select(*[c for c in live.columns], F.col("b.pattern_id"), F.col("b.pattern_name"), F.col("b.members"), F.coalesce("b.score", F.lit(0.0)).alias("match_score"), (F.coalesce("b.score", F.lit(0.0)) < dims.NOVEL_BELOW).alias("novel"), F.col("b.p_steps").alias("prototype"))
@@ -176,3 +176,8 @@ def ui_incidents(incidents: DataFrame, per_pattern: int = 3) -> DataFrame:
     r = F.row_number().over(W.partitionBy("pattern_ord").orderBy("ord"))
     steps = F.filter("steps", lambda s: s.isin(*dims.UI_STEPS))
     return incidents.withColumn("r", r).filter(F.col("r") <= per_pattern).select("id", "label", "surface", steps.alias("steps"), "pattern_name")
+
+
+def current_move(events: DataFrame) -> DataFrame:
+    """conv_id, move: the label of each conversation's latest signal event (conv_id, at, seq, type, label)."""
+    return events.filter("type = 'signal'").groupBy("conv_id").agg(F.max_by("label", F.struct("at", "seq")).alias("move"))

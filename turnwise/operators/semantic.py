@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from ..sources.stage import staged
 from . import extract
 
 SUBCLAUSE = r"(?i),\s+|\s+(?:and then|then|aur phir|phir|aur|and)\s+"  # fixed values: what parts a sentence
@@ -34,12 +35,13 @@ def dot(a: Column, b: Column) -> Column:
 def label_scores(queries: DataFrame, bank: DataFrame, k: int = 3, block: int = 512) -> DataFrame:
     """query_id, label, score: the mean of each query's k largest dot products with a label's exemplars.
 
-    The bank (label, vec) is packed into arrays of about ``block`` vectors, numbered within their label by a hash, and each
+    The bank (label, vec) is packed into arrays of about ``block`` vectors, numbered within their label by a hash of vector and row, so that copies are spread, and each
     query meets each array in an equi-join on its number, which Spark broadcasts only while the bank is small. A row of
     work is a query and an array and gives its k largest products, so a label's exemplars never stand in one task.
     """
     sizes = bank.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts"))
-    numbered = bank.join(sizes, "label").withColumn("part", F.pmod(F.hash("vec"), F.col("parts")))
+    bank = staged(bank.withColumn("__row", F.monotonically_increasing_id()), "bank")  # written, so that a row's number stays
+    numbered = bank.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("vec", "__row"), F.col("parts")))
     packed = numbered.groupBy("label", "part").agg(F.collect_list("vec").alias("vecs"))
     asked = queries.select("query_id", "vec").join(sizes, F.lit(True))  # one row for each label: labels are a closed vocabulary
     asked = asked.select("query_id", "vec", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, privacy
 from ..operators import evaluate, extract, folds, graph, semantic
-from ..sources.stage import staged
+from ..sources.stage import if_small, staged
 from . import datagen, session
 from .queries import EV, ORACLES, PROGRESS, evidence, hits, query, table
 
@@ -268,13 +268,29 @@ def grounding_exact(spark, sf_dir):
     ascii_ = F.length("text") == F.octet_length("text")
     b = table(spark, sf_dir, "benchmark").filter(ascii_).select("item_id", extract.normalise(F.col("text")).alias("q"))
     d = table(spark, sf_dir, "documents").filter(ascii_).select("doc_id", extract.normalise(F.col("text")).alias("t"))
-    return d.join(F.broadcast(b), F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    return _held(b, d)
+
+
+def _held(passages: DataFrame, documents: DataFrame) -> DataFrame:
+    """item_id, doc_id of passages (item_id, q) that documents (doc_id, t) hold, both normalised.
+
+    A passage's longest inner word stands whole in every text that holds the passage: only texts with that word are
+    searched. Passages of one or two words have no inner word; they alone are looked for in all texts.
+    """
+    passages = staged(passages, "passages")
+    inner = F.slice(F.split("q", " "), F.lit(2), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0)))
+    keyed = passages.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    long = keyed.filter("key IS NOT NULL")
+    keys = long.agg(F.collect_set("key").alias("keys"))  # one row, of the passages' size
+    near = documents.crossJoin(if_small(keys)).withColumn("key", F.explode(F.array_intersect(F.split("t", " "), F.col("keys"))))
+    found = near.join(if_small(long), "key").filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    short = keyed.filter("key IS NULL")
+    return found.unionByName(documents.join(if_small(short), F.contains("t", F.col("q"))).select("item_id", "doc_id"))
 
 
 @query()
 def grounding_whole(spark, sf_dir):
     """All benchmark passages found whole in all documents, both normalised after NFKC, which the checking engine lacks; a test holds it against Python. The passages are a bounded table."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
     def normal(c):
         """ASCII texts don't go to Python."""
@@ -283,7 +299,7 @@ def grounding_whole(spark, sf_dir):
 
     b = table(spark, sf_dir, "benchmark").select("item_id", normal(F.col("text")).alias("q")).filter("q <> ''")
     d = table(spark, sf_dir, "documents").select("doc_id", normal(F.col("text")).alias("t"))
-    return d.join(F.broadcast(b), F.contains("t", F.col("q"))).select("item_id", "doc_id")
+    return _held(b, staged(d, "normal"))
 
 
 _QUOTES = [("the officer said to pay the fee now", "The officer said that you pay the full fee right now."), ("share your otp", "Please share your OTP with me."), ("wire nine thousand dollars", "Nothing of the kind was said here."), ("stay on the line and wait", "stay on that line, and please wait")]

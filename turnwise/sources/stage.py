@@ -9,6 +9,7 @@ import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @lru_cache(maxsize=1)
@@ -47,3 +48,8 @@ def release(*tables: DataFrame) -> None:
     for t in tables:
         path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._turnwise_path).getParent()
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has at most that many rows; else as it is, for Spark to join as it sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

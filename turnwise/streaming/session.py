@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import dims
+from ..sources.stage import new_folder, staged
 
 OUT = "conv_id string, turn_idx int, stage_idx int, progress double"
 STATE = "scores array<double>, asks array<double>, pressured boolean, stage int, progress double"
@@ -69,30 +72,34 @@ def stage_stream(hits: DataFrame) -> DataFrame:
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", ts: str = "ts", key: str = "user_id") -> DataFrame:
     """Extension: event-time sessions with a watermark: key, start, end, n."""
-    from pyspark.sql import functions as F
-
     w = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"))
     return w.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def replay_stages(hits: DataFrame, files: int = 3) -> DataFrame:
-    """Stage events of a batch of hits sent through the stream: written as files by turn order, read one file a micro-batch until all are read."""
-    import tempfile
-    import uuid
+@contextmanager
+def _rocksdb(spark: SparkSession):
+    """The state store that these streams need, for queries that start inside; the session's own setting is back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    from pyspark.sql import functions as F
 
-    from ..sources.stage import staged
+def replay_stages(hits: DataFrame, parts: int = 3, turns: int = 3) -> DataFrame:
+    """Stage events of a batch of hits sent through the stream in parts of ``turns`` turns, the last part with all that follow.
 
+    Each part is written as it is partitioned and read by a run of the stream that goes on from the last one's state, so
+    a conversation's turns come in order and no part passes through one task.
+    """
     spark = hits.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    table = staged(hits, "hits")
-    base = table.inputFiles()[0].rsplit("/", 2)[0] if table.inputFiles() else "file://" + tempfile.mkdtemp()
-    source, sink = f"{base}/in-{uuid.uuid4().hex}", f"{base}/out-{uuid.uuid4().hex}"
-    for i in range(files):  # turns of a conversation come in order: a later file has later turns
-        low, high = i * 3, (i + 1) * 3 if i < files - 1 else 1 << 30
-        table.filter((F.col("turn_idx") >= low) & (F.col("turn_idx") < high)).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = stage_stream(stream).writeStream.format("parquet").option("path", sink).option("checkpointLocation", f"{sink}-state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(OUT).parquet(sink)
+    table, base = staged(hits, "hits"), new_folder(spark)
+    for i in range(parts):
+        low, high = i * turns, (i + 1) * turns if i < parts - 1 else 1 << 30
+        table.filter((F.col("turn_idx") >= low) & (F.col("turn_idx") < high)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(table.schema).parquet(f"{base}/in")
+        with _rocksdb(spark):
+            stage_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{base}/out")
