@@ -83,8 +83,8 @@ def test_counterfactual_penalty_spares_neutral_mentions():
 
 def test_every_sentence_is_paired():
     pairs = toxicity.swaps("The women sing. Nobody came! Les hommes et les femmes? \n", 1)
-    assert [set(a) for a, _, w in pairs if w == 1.0] == [{"women"}, {"femmes"}, {"hommes"}] and all(not a & b for a, b, _ in pairs)
-    bare = [w for *_, w in pairs if w < 1]
+    assert [set(a) for a, *_, put_in in pairs if not put_in] == [{"women"}, {"femmes"}, {"hommes"}] and all(not a & b for a, b, *_ in pairs)
+    bare = [w for *_, w, put_in in pairs if put_in]
     assert len(bare) == 2 and sum(bare) == 1.0  # one sentence without a name, one without words
     assert toxicity.swaps(None, 1) == []
 
@@ -133,7 +133,7 @@ def test_the_penalty_is_the_gradient_of_squared_differences():
     of = lambda words: {s for w in words for s in toxicity.word_slots(w, 12)}
     rng = np.random.default_rng(3)
     weights = rng.normal(size=1 << 12)
-    loss = lambda w: sum(k * (sum(w[s] for s in of(a)) - sum(w[s] for s in of(b))) ** 2 for a, b, k in pairs)
+    loss = lambda w: sum(k * (sum(w[s] for s in of(a)) - sum(w[s] for s in of(b))) ** 2 for a, b, k, _ in pairs)
 
     class Spy(Ftrl):
         def weight(self, i):

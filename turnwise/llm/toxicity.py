@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -62,8 +63,8 @@ def associated(rows: list[tuple[np.ndarray, int]], bits: int = BITS) -> np.ndarr
     return ok
 
 
-def swaps(text: str | None, seed: int) -> list[tuple[frozenset, frozenset, float]]:
-    """For each sentence of a labelled text a pair: the words in which it and its counterfactual differ, and the pair's weight.
+def swaps(text: str | None, seed: int) -> list[tuple[frozenset, frozenset, float, bool]]:
+    """For each sentence of a labelled text a pair: the words in which it and its counterfactual differ, the pair's weight, and whether its term is put in.
 
     A sentence that names a group is paired with itself under another name of the same list. One that names none is
     paired with itself with a term put in, against another term or none, so that a corpus without such terms teaches the
@@ -71,26 +72,27 @@ def swaps(text: str | None, seed: int) -> list[tuple[frozenset, frozenset, float
     which the two sentences differ matter to the difference of their scores.
     """
     named, bare = [], []
+    plain = _GROUP.keys().isdisjoint(WORD.findall((text or "").lower()))
     for k, s in enumerate(SENTENCE.findall(text or "")):
         pick = zlib.crc32(f"{seed}/{k}".encode())
-        words = set(WORD.findall(s.lower()))
+        words = set() if plain else set(WORD.findall(s.lower()))
         mine = sorted(w for w in words if w in _GROUP)
         for w in mine:
             others = [t for t in _GROUP[w] if t not in words]
-            named.append((frozenset({w}), frozenset({others[pick % len(others)]} if others else ()), 1.0))
+            named.append((frozenset({w}), frozenset({others[pick % len(others)]} if others else ()), 1.0, False))
         if not mine:
             terms = IDENTITY_TERMS[sorted(IDENTITY_TERMS)[pick // 7 % len(IDENTITY_TERMS)]]
             a, b = terms[pick // 11 % len(terms)], terms[pick // 17 % len(terms)]
-            bare.append((frozenset({a}), frozenset({b} if a != b and pick % 2 else ()), 1.0))
-    return named + [(a, b, 1.0 / len(bare)) for a, b, _ in bare]
+            bare.append((frozenset({a}), frozenset({b} if a != b and pick % 2 else ())))
+    return named + [(a, b, 1.0 / len(bare), True) for a, b in bare]
 
 
 class _Pairs:
-    """The pairs of one text as arrays: for each slot in which a pair differs, which pair, with what sign."""
+    """Pairs as arrays: for each slot in which a pair differs, which pair, with what sign."""
 
-    def __init__(self, pairs: list[tuple[frozenset, frozenset, float]], bits: int):
-        slot, pair, sign, self.weight = [], [], [], np.array([w for *_, w in pairs])
-        for k, (a, b, _) in enumerate(pairs):
+    def __init__(self, pairs: list[tuple[frozenset, frozenset, float, bool]], bits: int):
+        slot, pair, sign, self.weight = [], [], [], np.array([p[2] for p in pairs])
+        for k, (a, b, *_) in enumerate(pairs):
             of = lambda words: {s for w in words for s in word_slots(w, bits)}
             left, right = of(a), of(b)
             for side, one in ((left - right, 1.0), (right - left, -1.0)):
@@ -102,8 +104,8 @@ class _Pairs:
 
     def push(self, learner: Ftrl, penalty: float) -> None:
         """One step down the gradient of penalty * weight * (difference of log-odds)^2, summed over the pairs."""
-        if len(self.slots):
-            w = learner.weight(self.slots)
+        w = learner.weight(self.slots)
+        if w.any():
             off = np.bincount(self.pair, weights=w[self.at] * self.sign, minlength=len(self.weight))
             learner.push(self.slots, np.bincount(self.at, weights=2 * penalty * (off * self.weight)[self.pair] * self.sign), w)
 
@@ -140,7 +142,9 @@ def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int =
     """FTRL on the log loss plus ``penalty`` times the squared difference of the log-odds of each sentence and its counterfactual.
 
     The gradient of a pair falls on the slots in which its two sentences differ, which are those of the identity terms
-    alone, so group names lose their weight and other words keep theirs. Every sentence of the sample is in a pair.
+    alone, so group names lose their weight and other words keep theirs. Every sentence of the sample is in a pair; a
+    text's own swaps follow its step, and the pairs with terms put in, which don't depend on their sentence, are summed
+    over all texts and follow each pass.
     """
     learner = Ftrl(1 << bits, alpha=0.3, l1=1.0, l2=0.02)
     n, bad = len(sample), sum(y for _, y in sample)
@@ -148,13 +152,21 @@ def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int =
         return Model(np.zeros(1 << bits, dtype=np.float32), 4.0 if bad else -4.0 if n else 0.0)
     texts = [sparse(t, bits)[0] for t, _ in sample]
     ok = associated([(i, y) for i, (_, y) in zip(texts, sample)], bits)
-    rows = [(i[ok[i]], y, _Pairs(swaps(t, k), bits)) for k, (i, (t, y)) in enumerate(zip(texts, sample))]
+    rows, put_in = [], Counter()
+    for k, (i, (t, y)) in enumerate(zip(texts, sample)):
+        pairs = swaps(t, k) if penalty else []
+        own = [p for p in pairs if not p[3]]
+        rows.append((i[ok[i]], y, _Pairs(own, bits) if own else None))
+        for a, b, w, bare in pairs:
+            put_in[a, b] += w * bare
+    put_in = _Pairs([(a, b, w, True) for (a, b), w in put_in.items() if w], bits)
     balance = {1: min(4.0, (n / (2 * bad)) ** 0.5), 0: min(4.0, (n / (2 * (n - bad))) ** 0.5)}
     for _ in range(epochs):
         for slots, y, pairs in rows:
             learner.learn(slots, np.ones(len(slots)), y, balance[y])
-            if penalty:
+            if pairs:
                 pairs.push(learner, penalty)
+        put_in.push(learner, penalty)
     m = learner.model()
     return Model(m.weights, m.bias)
 
