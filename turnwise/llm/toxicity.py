@@ -36,11 +36,22 @@ def word_slots(word: str, bits: int = BITS) -> list[int]:
     return [zlib.crc32(word.encode(), 1) % size, *(zlib.crc32(word[:n].encode(), 2) % size for n in PREFIXES if len(word) >= n)]
 
 
-def sparse(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct slots over the distinct words of a text, each with the value one: what counts is that a word is there."""
-    words = set(WORD.findall((text or "").lower()))
-    i = np.unique(np.array([s for w in words for s in word_slots(w, bits)], dtype=np.int64))
-    return i, np.ones(len(i))
+class _Slots(dict):
+    """word -> its slots, for one number of bits, in bounded memory."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = found = word_slots(word, self.bits)
+        return found
+
+
+def sparse(words: set[str], slots: _Slots) -> np.ndarray:
+    """Distinct slots over the distinct words of a text, each of the value one: what counts is that a word is there."""
+    return np.array(sorted(set().union(*map(slots.__getitem__, words))), dtype=np.int64)
 
 
 _GROUP = {w: ts for ts in IDENTITY_TERMS.values() for w in ts}
@@ -116,23 +127,29 @@ class Model:
     bias: float
 
     def scorer(self):
-        """Scores one text; a word's words-own part is remembered, in bounded memory."""
+        """Scores one text; which words have weight, and their slots, are remembered, in bounded memory."""
         w, bits = self.weights, len(self.weights).bit_length() - 1
-        hot: dict[str, bool] = {}
-
-        def matters(word: str) -> bool:
-            known = hot.get(word)
-            if known is None:
-                if len(hot) >= REMEMBERED:
-                    hot.clear()
-                known = hot[word] = bool(np.any(w[word_slots(word, bits)]))
-            return known
+        weighs = (w != 0).tolist()
+        hot: dict[str, list[int]] = {}
+        cold: set[str] = set()
 
         def score(text: str | None) -> float:
-            words = [x for x in set(WORD.findall((text or "").lower())) if matters(x)]
+            words = set(WORD.findall((text or "").lower())) - cold
+            new = [x for x in words if x not in hot]
+            if new and len(hot) + len(cold) >= REMEMBERED:
+                hot.clear()
+                cold.clear()
+                new = words
+            for x in new:
+                slots = [i for i in word_slots(x, bits) if weighs[i]]
+                if slots:
+                    hot[x] = slots
+                else:
+                    cold.add(x)
+            words = words - cold
             if not words:
                 return sigmoid(self.bias)
-            slots = np.unique(np.array([s for x in words for s in word_slots(x, bits)], dtype=np.int64))
+            slots = sorted(set().union(*map(hot.__getitem__, words)))
             return sigmoid(float(w[slots].astype(np.float64).sum()) + self.bias)
 
         return score
@@ -150,7 +167,8 @@ def train(sample: list[tuple[str | None, int]], bits: int = BITS, epochs: int =
     n, bad = len(sample), sum(y for _, y in sample)
     if not 0 < bad < n:
         return Model(np.zeros(1 << bits, dtype=np.float32), 4.0 if bad else -4.0 if n else 0.0)
-    texts = [sparse(t, bits)[0] for t, _ in sample]
+    memo = _Slots(bits)
+    texts = [sparse(set(WORD.findall((t or "").lower())), memo) for t, _ in sample]
     ok = associated([(i, y) for i, (_, y) in zip(texts, sample)], bits)
     rows, put_in = [], Counter()
     for k, (i, (t, y)) in enumerate(zip(texts, sample)):
