@@ -6,12 +6,13 @@ import random
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
 from turnwise.llm import lines, packing, quality, simhash, toxicity
 from turnwise.llm import html as pages
-from turnwise.llm.queries import tokenizer_path
+from turnwise.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000
@@ -420,9 +421,19 @@ def test_assign_balances_cost():
 
 
 def test_queries_digest(spark):
-    from turnwise.llm.queries import QUERIES
-
     out = QUERIES["op2_line_dedup"](spark, "/root/testdata/sf0.001").collect()
     d = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     want = {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, n, k, t in brute_lines(list(d.items()))}
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in out} == want
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_sql(spark, name):
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = sorted(map(tuple, got.select(*want.columns).collect()), key=repr)
+    assert rows and rows == sorted(want.fetchall(), key=repr)

@@ -75,7 +75,34 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def url_given_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's parts that SQL can repeat: host, path, the given rule, and its verdict (null where the mined rules judge)."""
+    from .urls import judge
+
+    out = judge(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("given_verdict"))
+
+
+def mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10 by source: documents, size, target (to three decimals) and the words that the mix takes."""
+    from .mixing import mix
+
+    out = mix(read_table(spark, sf_dir, "documents")).groupBy("source")
+    out = out.agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    return out.select("source", "n_docs", "source_size", F.round("target", 3).alias("target"), "taken")
+
+
+def nearest_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's search at factor 1, where the trees are exact: cosines to nine decimals."""
+    from .vptree import nearest
+
+    out = nearest(read_table(spark, sf_dir, "embeddings"), factor=1.0)
+    return out.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_simhash, op4_html_text, op5_packing, op6_toxicity, op7_exact_topk, op8_vp_trees, op9_url_rules, op10_mixing)}
+#: The parts of operators without SQL of their own that SQL can express.
+QUERIES |= {f.__name__: f for f in (url_given_rules, mixing_sources, nearest_exact)}
 
 _LINE_KEYS = r"""
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
@@ -98,5 +125,33 @@ WITH {_LINE_KEYS}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (falls) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT falls), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
+""",
+    "url_given_rules": r"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'), ('org/fr/', 'allow')),
+split AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, instr(rule, '/')) AS p FROM rules),
+fits AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS given_verdict
+         FROM parts JOIN split ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, given_verdict FROM parts LEFT JOIN fits USING (page_id)
+""",
+    "mixing_sources": r"""
+WITH s AS (SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, list_value(5.0, 2.0, 1.0)[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+ratios AS (SELECT DISTINCT cap / weight AS ratio FROM w),
+levels AS (SELECT ratio,
+                  ((SELECT sum(source_size) FROM w) - coalesce(sum(b.cap), 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(b.weight), 0)) AS level
+           FROM ratios LEFT JOIN w b ON b.cap / b.weight < ratio GROUP BY ratio),
+final AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE ratio >= level),
+t AS (SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, level * weight) END AS exact FROM w, final)
+SELECT source, n_docs, source_size, round(exact, 3) AS target, CAST(floor(exact) AS BIGINT) AS taken FROM t
+""",
+    "nearest_exact": """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) / (q.norm * c.norm) AS score
+      FROM n q, n c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND q.norm > 0 AND c.norm > 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, round(score, 9) AS score FROM r WHERE rank <= 5
 """,
 }
