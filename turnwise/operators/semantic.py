@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import dims
 from ..sources.stage import staged
@@ -28,29 +31,48 @@ def clauses(text: Column, min_words: int = 3) -> Column:
     return F.flatten(F.transform(sentences, both))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def label_scores(queries: DataFrame, bank: DataFrame, k: int = 3, block: int = 512) -> DataFrame:
+def label_scores(queries: DataFrame, bank: DataFrame, k: int = 3, block: int = 2048) -> DataFrame:
     """query_id, label, score: the mean of each query's k largest dot products with a label's exemplars.
 
-    The bank (label, vec) is packed into arrays of about ``block`` vectors, numbered within their label by a hash of vector and row, so that copies are spread, and each
-    query meets each array in an equi-join on its number, which Spark broadcasts only while the bank is small. A row of
-    work is a query and an array and gives its k largest products, so a label's exemplars never stand in one task.
+    Queries (query_id, vec) and bank (label, vec) are packed into arrays of about ``block`` vectors of one length, numbered
+    by a hash of vector and row, so that copies are spread. Each array of queries meets each array of a label in an
+    equi-join on its number; a pair is one matrix product in double precision and gives every query's k largest, so a
+    label's exemplars never stand in one task. Vectors that are null, empty or hold a null take no part.
     """
-    sizes = bank.groupBy("label").agg(F.ceil(F.count("*") / block).alias("parts"))
-    bank = staged(bank.withColumn("__row", F.monotonically_increasing_id()), "bank")  # written, so that a row's number stays
-    numbered = bank.join(sizes, "label").withColumn("part", F.pmod(F.xxhash64("vec", "__row"), F.col("parts")))
-    packed = numbered.groupBy("label", "part").agg(F.collect_list("vec").alias("vecs"))
-    asked = queries.select("query_id", "vec").join(sizes, F.lit(True))  # one row for each label: labels are a closed vocabulary
-    asked = asked.select("query_id", "vec", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    tops = F.slice(F.reverse(F.array_sort(F.transform("vecs", lambda v: dot(F.col("vec"), v)))), 1, k)
-    per = asked.join(packed, ["label", "part"]).select("query_id", "label", F.explode(tops).alias("s"))
+    sized = lambda d: d.withColumn("dim", F.size("vec")).filter((F.col("dim") > 0) & ~F.exists("vec", lambda x: x.isNull()))
+    bank = sized(bank.select("label", F.col("vec").cast("array<double>").alias("vec")))
+    asked = sized(queries.select("query_id", F.col("vec").cast("array<double>").alias("vec")))
+    schema = T.StructType([asked.schema["query_id"], bank.schema["label"], T.StructField("s", T.DoubleType())])
+    sizes, packed = _packed(bank, ["label", "dim"], block, F.collect_list("vec").alias("vecs"))
+    _, blocks = _packed(asked, ["dim"], block, F.collect_list("query_id").alias("ids"), F.collect_list("vec").alias("asked"))
+    blocks = blocks.drop("part").join(sizes, "dim")  # one row for each label: labels are a closed vocabulary
+    blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+
+    def products(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch["dim"][i].as_py()
+                q, v = (batch[c].slice(i, 1).flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for c in ("asked", "vecs"))
+                s = q @ v.T
+                if s.shape[1] > k:
+                    s = np.partition(s, s.shape[1] - k, axis=1)[:, -k:]
+                n = s.shape[1]
+                at = pa.array(np.repeat(np.arange(len(s)), n))
+                yield pa.RecordBatch.from_arrays([batch["ids"].slice(i, 1).flatten().take(at), batch["label"].take(pa.array(np.full(len(at), i))), pa.array(s.ravel())], ["query_id", "label", "s"])
+
+    per = blocks.join(packed, ["label", "dim", "part"]).mapInArrow(products, schema)
     r = F.row_number().over(W.partitionBy("query_id", "label").orderBy(F.desc("s")))
     return per.withColumn("r", r).filter(F.col("r") <= k).groupBy("query_id", "label").agg(F.avg("s").alias("score"))
 
 
+def _packed(vectors: DataFrame, key: list[str], block: int, *lists: Column) -> tuple[DataFrame, DataFrame]:
+    """How many parts each key has, and the vectors of each key and part, about ``block`` of them, as lists."""
+    vectors = staged(vectors.withColumn("__row", F.monotonically_increasing_id()), "vectors")  # written, so that a row's number stays
+    sizes = vectors.groupBy(*key).agg(F.ceil(F.count("*") / block).alias("parts"))
+    numbered = vectors.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("vec", "__row"), F.col("parts")))
+    return sizes, numbered.groupBy(*key, "part").agg(*lists)
+
+
 def margin_hits(scores: DataFrame, none_label="NONE", min_sim: float = 0.80, margin: float = 0.02) -> DataFrame:
     """query_id, label, score, confidence where a label is similar enough and by a margin more so than the none label."""
     neg = scores.filter(F.col("label") == F.lit(none_label)).select("query_id", F.col("score").alias("neg"))

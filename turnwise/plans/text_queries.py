@@ -49,26 +49,17 @@ def redact_emails_by_document(spark, sf_dir):
     return r.filter("n_email > 0").select("doc_id", "n_email")
 
 
-_LEAK = r"""WITH v AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b')) AS vals FROM documents WHERE length(text) = strlen(text)),
- t AS (SELECT doc_id, unnest(vals) AS v, text, regexp_replace(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b', '[EMAIL]', 'g') AS red FROM v),
- n AS (SELECT doc_id, regexp_replace(lower(v), '[\s-]', '', 'g') AS v, regexp_replace(lower(text), '[\s-]', '', 'g') AS raw, regexp_replace(lower(red), '[\s-]', '', 'g') AS red FROM t)
+#: The e-mail pattern for an engine whose word characters and boundaries are ASCII only: letters of all scripts by class, the boundary as the character before.
+_MAIL = r"(?:^|[^W])([W][W.+-]*@[W-]+\.[W.]*[W])".replace("W", r"\p{L}\p{M}\p{Nd}_")
+_LEAK = rf"""WITH v AS (SELECT text, list_distinct(regexp_extract_all(text, '{_MAIL}', 1)) AS vals, regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g') AS red FROM documents),
+ n AS (SELECT regexp_replace(lower(unnest(vals)), '[\s-]', '', 'g') AS v, regexp_replace(lower(text), '[\s-]', '', 'g') AS raw, regexp_replace(lower(red), '[\s-]', '', 'g') AS red FROM v)
 """
 
 
 @query(_LEAK + "SELECT count(*) AS n_values, CAST(sum(CASE WHEN contains(raw, v) THEN 1 ELSE 0 END) AS BIGINT) AS leaked_none, CAST(sum(CASE WHEN contains(red, v) THEN 1 ELSE 0 END) AS BIGINT) AS leaked_typed FROM n")
 def leak_rate(spark, sf_dir):
-    """The part of leak_rate_whole that its SQL can repeat: ASCII texts."""
-    return _leaks(table(spark, sf_dir, "documents").filter(F.length("text") == F.octet_length("text")))
-
-
-@query()
-def leak_rate_whole(spark, sf_dir):
-    """Values and leaks of all documents. The checking engine's patterns know no letters beyond ASCII; a test holds it against Python."""
-    return _leaks(table(spark, sf_dir, "documents"))
-
-
-def _leaks(documents: DataFrame) -> DataFrame:
-    r = privacy.redact(documents.select("doc_id", "text"), spans=True).withColumn("vals", F.array_distinct("spans_email")).filter(F.size("vals") > 0)
+    """E-mail values and leaks of all documents."""
+    r = privacy.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), spans=True).withColumn("vals", F.array_distinct("spans_email")).filter(F.size("vals") > 0)
     n = lambda c: F.sum(F.size(c)).alias
     return r.agg(n(F.col("vals"))("n_values"), n(privacy.leaked(F.col("vals"), F.col("text")))("leaked_none"), n(privacy.leaked(F.col("vals"), F.col("redacted")))("leaked_typed")).select(*[F.col(c).cast("long").alias(c) for c in ("n_values", "leaked_none", "leaked_typed")])
 
@@ -259,16 +250,22 @@ def early_warning(spark, sf_dir):
 
 # ---- grounding ---------------------------------------------------------------------------------------------------------
 
-_NORM = r"trim(regexp_replace(regexp_replace(lower({}), '\s+', ' ', 'g'), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g'))"
+#: Without NFKC, which the checking engine lacks; on these tables NFC gives the same passages.
+_NORM = r"""trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize(text)), '’“”', '''""'), '[\p{Z}\s\x0b\x1c-\x1f\x{85}]+', ' ', 'g'), '^[^\p{L}\p{M}\p{Nd}]+|[^\p{L}\p{M}\p{Nd}]+$', '', 'g'))"""
 
 
-@query(f"WITH b AS (SELECT item_id, {_NORM.format('text')} AS q FROM benchmark WHERE length(text) = strlen(text)), d AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents WHERE length(text) = strlen(text)) SELECT item_id, doc_id FROM b JOIN d ON contains(t, q)")
+@query(f"WITH b AS (SELECT item_id, {_NORM} AS q FROM benchmark), d AS (SELECT doc_id, {_NORM} AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON q <> '' AND contains(t, q)")
 def grounding_exact(spark, sf_dir):
-    """The part of grounding_whole that its SQL can repeat: ASCII texts on both sides."""
-    ascii_ = F.length("text") == F.octet_length("text")
-    b = table(spark, sf_dir, "benchmark").filter(ascii_).select("item_id", extract.normalise(F.col("text")).alias("q"))
-    d = table(spark, sf_dir, "documents").filter(ascii_).select("doc_id", extract.normalise(F.col("text")).alias("t"))
-    return _held(b, d)
+    """All benchmark passages found whole in all documents, both normalised after NFKC. The passages are a bounded table."""
+
+    def normal(c):
+        """ASCII texts don't go to Python."""
+        ascii_ = F.length(c) == F.octet_length(c)
+        return extract.normalise(F.coalesce(extract.nfkc(F.when(~ascii_, c)), c))
+
+    b = table(spark, sf_dir, "benchmark").select("item_id", normal(F.col("text")).alias("q")).filter("q <> ''")
+    d = table(spark, sf_dir, "documents").select("doc_id", normal(F.col("text")).alias("t"))
+    return _held(b, staged(d, "normal"))
 
 
 def _held(passages: DataFrame, documents: DataFrame) -> DataFrame:
@@ -288,20 +285,6 @@ def _held(passages: DataFrame, documents: DataFrame) -> DataFrame:
     return found.unionByName(documents.join(if_small(short), F.contains("t", F.col("q"))).select("item_id", "doc_id"))
 
 
-@query()
-def grounding_whole(spark, sf_dir):
-    """All benchmark passages found whole in all documents, both normalised after NFKC, which the checking engine lacks; a test holds it against Python. The passages are a bounded table."""
-
-    def normal(c):
-        """ASCII texts don't go to Python."""
-        ascii_ = F.length(c) == F.octet_length(c)
-        return extract.normalise(F.coalesce(extract.nfkc(F.when(~ascii_, c)), c))
-
-    b = table(spark, sf_dir, "benchmark").select("item_id", normal(F.col("text")).alias("q")).filter("q <> ''")
-    d = table(spark, sf_dir, "documents").select("doc_id", normal(F.col("text")).alias("t"))
-    return _held(b, staged(d, "normal"))
-
-
 _QUOTES = [("the officer said to pay the fee now", "The officer said that you pay the full fee right now."), ("share your otp", "Please share your OTP with me."), ("wire nine thousand dollars", "Nothing of the kind was said here."), ("stay on the line and wait", "stay on that line, and please wait")]
 
 
@@ -315,27 +298,19 @@ def grounding_window_overlap(spark, sf_dir):
 
 # ---- embeddings --------------------------------------------------------------------------------------------------------
 
-_KNN = """q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1 AND vec_id % 7 = 1), b AS (SELECT label, embedding AS v FROM embeddings WHERE vec_id % 2 = 0),
+_KNN = """q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 2 = 1), b AS (SELECT label, embedding AS v FROM embeddings WHERE vec_id % 2 = 0),
  s AS (SELECT query_id, label, list_sum(list_transform(list_zip(e, v), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) AS s FROM q, b),
  r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC) AS r FROM s), ls AS (SELECT query_id, label, avg(s) AS score FROM r WHERE r <= 3 GROUP BY 1, 2)"""
 
 
-#: Every odd id asks.
-_KNN_WHOLE = _KNN.replace(" AND vec_id % 7 = 1", "")
-
-
-def _knn(spark, sf_dir, asked: str = "vec_id % 2 = 1 AND vec_id % 7 = 1") -> DataFrame:
+def _knn(spark, sf_dir) -> DataFrame:
+    """Label scores of every vector: even ids are the exemplar bank, odd ids ask."""
     e = table(spark, sf_dir, "embeddings")
-    return semantic.label_scores(e.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.filter("vec_id % 2 = 0").select("label", F.col("embedding").alias("vec")))
-
-
-def _knn_whole(spark, sf_dir) -> DataFrame:
-    return _knn(spark, sf_dir, "vec_id % 2 = 1")
+    return semantic.label_scores(e.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec")), e.filter("vec_id % 2 = 0").select("label", F.col("embedding").alias("vec")))
 
 
 @query(f"WITH {_KNN} SELECT query_id, label, round(score, 5) AS score FROM ls")
 def knn_label_scores(spark, sf_dir):
-    """The part of knn_label_scores_whole that its SQL fixes: of the odd ids about every seventh asks."""
     return _knn(spark, sf_dir).select("query_id", "label", F.round("score", 5).alias("score"))
 
 
@@ -352,31 +327,12 @@ _GRID = ([0.0, 0.02, 0.05], [0.1, 0.2, 0.3])
  a AS (SELECT m.margin, m.min_sim, round(sum(CASE WHEN m.s > n.s THEN 1.0 WHEN m.s = n.s THEN 0.5 ELSE 0 END) / count(*), 6) AS auroc FROM p m JOIN p n ON m.margin = n.margin AND m.min_sim = n.min_sim AND m.positive AND NOT n.positive GROUP BY 1, 2),
  bn AS (SELECT margin, min_sim, round(avg(CASE WHEN NOT positive THEN CASE WHEN s > 0 THEN 1.0 ELSE 0.0 END END), 6) AS benign_any FROM p GROUP BY 1, 2) SELECT margin, min_sim, auroc, benign_any FROM a JOIN bn USING (margin, min_sim)""")
 def margin_grid_search(spark, sf_dir):
-    return _grid_search(_knn(spark, sf_dir))
-
-
-def _grid_search(s: DataFrame) -> DataFrame:
+    s = _knn(spark, sf_dir)
     neg = s.filter("label = 0").select("query_id", F.col("score").alias("neg"))
     x = s.filter("label <> 0").join(neg, "query_id").select("query_id", (F.col("query_id") % 3 == 0).alias("positive"), "label", "score", "neg")
     return semantic.grid_search(x, *_GRID).select("margin", "min_sim", F.round("auroc", 6).alias("auroc"), F.round("benign_any", 6).alias("benign_any"))
 
 
-@query(ORACLES["knn_label_scores"].replace(_KNN, _KNN_WHOLE))
-def knn_label_scores_whole(spark, sf_dir):
-    """Even ids are the exemplar bank; every odd id asks."""
-    return _knn_whole(spark, sf_dir).select("query_id", "label", F.round("score", 5).alias("score"))
-
-
-@query(ORACLES["knn_margin_hits"].replace(_KNN, _KNN_WHOLE))
-def knn_margin_hits_whole(spark, sf_dir):
-    return semantic.margin_hits(_knn_whole(spark, sf_dir), 0, 0.2, 0.02).select("query_id", "label", "confidence")
-
-
-@query(ORACLES["margin_grid_search"].replace(_KNN, _KNN_WHOLE))
-def margin_grid_search_whole(spark, sf_dir):
-    return _grid_search(_knn_whole(spark, sf_dir))
-
-
 # ---- extraction on fixtures --------------------------------------------------------------------------------------------
 
 #: Our own lines: (turn, speaker, text). The corpus tables hold none of these cues.
