@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from turnwise import cli
 from turnwise.functions import dims
-from turnwise.plans import datagen, evaluation
+from turnwise.plans import datagen, evaluation, session
 from turnwise.sources.stage import staged
 
 
@@ -53,3 +53,24 @@ def test_command_line(spark, tmp_path, capsys):
     lines = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert lines[0]["type"] == "transcript" and [x["stage"] for x in lines if x["type"] == "stage"][-1] == "MONEY_MOVEMENT"
     assert not any("9812345670" in json.dumps(x) for x in lines)
+
+
+def test_feed_as_a_stream_gives_the_events_and_the_state_of_the_batch(spark):
+    from turnwise.sources.stage import new_folder
+    from turnwise.streaming import feed
+
+    lib = session.build_library(datagen.incidents(datagen.turns(datagen.conversations(spark, 6, 7, None, 0.0), 7)))
+    turns = staged(datagen.turns(datagen.conversations(spark, 1, 101), 101), "turns").select("conv_id", "turn_idx", "speaker", "text", "at_ms")
+    odd = spark.createDataFrame([("odd", 0, "caller", None, None), ("odd", 1, "user", "", None), ("odd", 2, None, "mail a.b@c.de", None)], turns.schema)
+    turns = staged(turns.unionByName(odd), "turns")
+    a = session.analyse(turns, lib)
+    want = staged(session.events(a), "want")
+    folder = new_folder(spark)
+    got = feed.replay(turns, lib, folder=folder)
+    assert set(got.columns) == set(want.columns)
+    got = got.select(*[F.col(c).cast(t) for c, t in want.dtypes])
+    assert {r["type"] for r in want.select("type").distinct().collect()} == {"transcript", "privacy", "signal", "stage", dims.PATTERN_EVENT, dims.PREDICTION_EVENT}
+    assert want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+    state = feed.state_snapshot(spark, folder, lib)
+    last = session.snapshot(a).select(state.columns)
+    assert last.exceptAll(state).count() == state.exceptAll(last).count() == 0

@@ -471,6 +471,17 @@ def streamed_stage_events(spark, sf_dir):
     return replay_stages(hits(spark, sf_dir).select("conv_id", "turn_idx", "signal", "confidence"))
 
 
+@query()
+def streamed_conversation_events(spark, sf_dir):
+    """conversation_events_whole from a stream of the whole conversations table, in two parts."""
+    from ..streaming import feed
+
+    train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
+    lib = session.build_library(train, {f: v.label for f, v in datagen.FAMILIES.items()})
+    out = feed.replay(turns(spark, sf_dir).withColumn("at_ms", F.lit(None).cast("long")), lib)
+    return out.groupBy("conv_id", "type").agg(F.count("*").alias("n"))
+
+
 # ---- reports on generated conversations --------------------------------------------------------------------------------
 
 
