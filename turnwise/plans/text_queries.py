@@ -479,7 +479,7 @@ def streamed_conversation_events(spark, sf_dir):
     train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
     lib = session.build_library(train, {f: v.label for f, v in datagen.FAMILIES.items()})
     out = feed.replay(turns(spark, sf_dir).withColumn("at_ms", F.lit(None).cast("long")), lib)
-    return out.groupBy("conv_id", "type").agg(F.count("*").alias("n"))
+    return out.groupBy(F.col("conv_id").cast("long").alias("conv_id"), "type").agg(F.count("*").alias("n"))
 
 
 # ---- reports on generated conversations --------------------------------------------------------------------------------

@@ -9,8 +9,8 @@ Three queries, each exactly once from its own checkpoint, follow each other thro
 - ``shown``: pattern and prediction events, where they differ enough from the last ones of their conversation.
 
 A conversation's state is a few arrays, bounded by the number of signals and stages, and never expires. Turns of a
-conversation come in order; inside a micro-batch they are sorted. Null texts have no signals; a null conv_id is one
-conversation; rows that repeat a turn are turns of their own.
+conversation come in order; inside a micro-batch they are sorted. Null texts have no signals; ids are
+strings here, and a null one is one conversation; rows that repeat a turn are turns of their own.
 """
 
 from __future__ import annotations
