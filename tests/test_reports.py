@@ -31,7 +31,7 @@ def test_leave_families_out(spark):
 
 
 def test_extraction_and_teacher(spark):
-    gold = staged(datagen.gold(datagen.turns(datagen.conversations(spark, 1, 3, ["task_job", "benign_bank_alert"], 0.0), 3)))
+    gold = staged(datagen.gold(datagen.turns(datagen.conversations(spark, 1, 3, ["side_income", "bank_asks"], 0.0), 3)))
     r = evaluation.extraction(gold)
     t = r["totals"].first()
     assert t.turns == gold.count() and t.grounding_rate == 1.0 and 0 <= t.action_accuracy <= 1

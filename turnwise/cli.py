@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
         print(extract.rules(t).select(F.to_json("event").alias("e")).first()["e"])
     elif a.command == "gen-data":
         gold = staged(datagen.gold(datagen.turns(datagen.conversations(spark, a.per_family, a.seed), a.seed)), "gold")
-        parts = evaluate.partition_corpus(gold.groupBy("conv_id").agg(F.first("family").alias("family")), ("utility_disconnect", "lottery_fee", "benign_bill"), "conv_id").select("conv_id", "part")
+        parts = evaluate.partition_corpus(gold.groupBy("conv_id").agg(F.first("family").alias("family")), ("meter_notice", "prize_draw", "bill_reminder"), "conv_id").select("conv_id", "part")
         for part in ("train", "val", "test"):
             io.write_jsonl(datagen.sft_rows(gold.join(parts.filter(F.col("part") == part).select("conv_id"), "conv_id", "left_semi")), f"{a.out}/{part}")
     elif a.command == "export-library":

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .cues import trie
+
 #: Kinds in the order in which they are taken out, each on what the one before has left. Group 1 is a prefix that stays.
 PATTERNS = (
     ("URL", r"(?iU)()(?:\b(?:https?://|www\.)\S+|\b(?:bit\.ly|tinyurl\.com|t\.me|wa\.me|rb\.gy)/\S+|\b[\w-]+\.(?:apk|xyz|top|click|link)\b)"),
@@ -44,17 +46,62 @@ TYPES = (*[k for k, _ in PATTERNS], "NAME")
 MODES = ("none", "typed", "masked")
 
 
-def _may(kind: str, c: Column) -> Column:
-    """A cheap test that every text with something of a kind passes, so most texts skip most patterns."""
-    if kind in ("EMAIL", "UPI"):
-        return F.contains(c, F.lit("@"))
-    if kind == "URL":
-        return c.rlike(r"(?i)https?://|www\.|\.(?:ly/|com/|me/|gy/|apk|xyz|top|click|link)")
-    if kind == "NAME":
-        return c.rlike(rf"(?iu)(?:{'|'.join((*TITLES, *LEADS))})[\s\p{{Z}}]")
-    if kind == "JI":
-        return F.contains(c, F.lit(" ji"))
-    return F.contains(c, F.lit("0")) if kind == "IFSC" else c.rlike(r"\p{Nd}{3}")
+#: What a text must hold to have anything of a kind. Redaction takes such things away and brings none, so one look at the text serves all kinds.
+_HINTS = {
+    "url": r"(?i)https?://|www\.|\.(?:ly/|com/|me/|gy/|apk|xyz|top|click|link)",
+    "at": "@",
+    "digits": r"\p{Nd}{3}",
+    "zero": "0",
+    "name": rf"(?iU)\b(?:{trie(w.partition(' (')[0].removesuffix(chr(92) + '.?') for w in (*TITLES, *LEADS))})",
+    "ji": " ji",
+}
+_HINT_OF = {"URL": "url", "EMAIL": "at", "UPI": "at", "IFSC": "zero", "NAME": "name", "JI": "ji"}
+_STEPS = (*[(k, k, p, "") for k, p in PATTERNS], ("NAME", "NAME", NAME, ""), ("JI", "NAME", JI_NAME, " ji"))
+_MARK = "\ue000"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def redaction(c: Column, mode: str = "typed", spans: bool = False) -> Column:
+    """A struct of the redacted text, n (counts in the order of TYPES) and, with ``spans``, what each step took out.
+
+    Each kind that a text can hold is replaced in one pass, on what the kinds before it left, by its tag behind a mark;
+    the marked tags are the counts, and the marks go at the end. A text that has the mark itself gets one that is longer
+    than the text. Every value is named once in the expression, so Catalyst can move it anywhere without repeating work.
+    """
+    none = F.array().cast("array<string>")
+    mark = lambda t: F.when(F.contains(t, F.lit(_MARK)), F.repeat(F.lit(_MARK), F.length(t) + 1)).otherwise(_MARK)
+    hint = lambda t, h: F.contains(t, F.lit(_HINTS[h])) if h in ("at", "zero", "ji") else t.rlike(_HINTS[h])
+    start = lambda t: F.struct(t.alias("t"), mark(t).alias("mark"), *[hint(t, h).alias(h) for h in _HINTS])
+
+    def step(name: str, pattern: str, there: Column, to: Column):
+        def run(y: Column) -> Column:
+            new = F.when(there, F.regexp_replace(y["t"], F.lit(pattern), to)).otherwise(y["t"])
+            values = F.regexp_extract_all(y["t"], F.lit(pattern), 2) if name == "JI" else _values(y["t"], pattern)
+            return F.struct(new.alias("t"), (F.array_append(y["taken"], F.when(there, values).otherwise(none)) if spans else y["taken"]).alias("taken"))
+
+        return run
+
+    def chain(x: Column) -> Column:
+        cur = F.struct(x["t"].alias("t"), F.array().cast("array<array<string>>").alias("taken"))
+        for name, kind, pattern, after in _STEPS:
+            cur = _let(cur, step(name, pattern, x[_HINT_OF.get(name, "digits")], F.concat(F.lit("$1"), x["mark"], F.lit(f"[{kind}]{after}"))))
+        return _let(cur, lambda y: done(y, x["mark"]))
+
+    def done(y: Column, mark: Column) -> Column:
+        t, marked = y["t"], lambda k: F.concat(mark, F.lit(f"[{k}]"))
+        count = lambda k: ((F.length(t) - F.length(F.replace(t, marked(k), mark))) / (len(k) + 2)).cast("int")
+        some, clean = F.contains(t, F.concat(mark, F.lit("["))), t
+        for k in TYPES if mode == "masked" else ():
+            clean = F.replace(clean, marked(k), F.lit("[REDACTED]"))
+        clean = F.when(some, F.replace(clean, F.concat(mark, F.lit("[")), F.lit("["))).otherwise(t)
+        zero = F.array(*[F.lit(0) for _ in TYPES])
+        return F.struct(clean.alias("t"), F.when(some, F.array(*[count(k) for k in TYPES])).otherwise(zero).alias("n"), y["taken"].alias("taken"))
+
+    return _let(c, lambda t: _let(start(t), chain))
 
 
 def redact(df: DataFrame, text: str = "text", mode: str = "typed", out: str = "redacted", spans: bool = False) -> DataFrame:
@@ -64,27 +111,17 @@ def redact(df: DataFrame, text: str = "text", mode: str = "typed", out: str = "r
     """
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is none of {', '.join(MODES)}")
-    df = df.withColumn(out, F.col(text))
-    tag = lambda kind: _literal("[REDACTED]" if mode == "masked" else f"[{kind}]")
     if mode == "none":
-        df = df.withColumns({f"n_{k.lower()}": F.lit(0) for k in TYPES})
+        df = df.withColumn(out, F.col(text)).withColumns({f"n_{k.lower()}": F.lit(0) for k in TYPES})
         df = df.withColumns({f"spans_{k.lower()}": F.array().cast("array<string>") for k in TYPES}) if spans else df
         return df.withColumn("n_pii", F.lit(0))
-    steps = [(k, k, p, "$1" + tag(k)) for k, p in PATTERNS] + [("NAME", "NAME", NAME, "$1" + tag("NAME")), ("JI", "NAME", JI_NAME, tag("NAME") + " ji")]
-    cur, none = F.col(out), F.array().cast("array<string>")
-    for name, _, pattern, to in steps:
-        may = _may(name, cur)
-        new = {f"__n_{name}": F.when(may, F.regexp_count(cur, F.lit(pattern))).otherwise(0), out: F.when(may, F.regexp_replace(cur, pattern, to)).otherwise(cur)}
-        if spans:
-            taken = F.regexp_extract_all(cur, F.lit(pattern), 2) if name == "JI" else _values(cur, pattern)
-            new[f"__s_{name}"] = F.when(may, taken).otherwise(none)
-        df = df.withColumns(new)
-    of = lambda k, c: [F.col(f"{c}{n}") for n, kind, *_ in steps if kind == k]
-    df = df.withColumns({f"n_{k.lower()}": sum(of(k, "__n_")[1:], of(k, "__n_")[0]) for k in TYPES})
+    r = F.col("__r")
+    df = df.withColumn("__r", redaction(F.col(text), mode, spans))
+    df = df.withColumns({out: r["t"]} | {f"n_{k.lower()}": F.coalesce(r["n"][i], F.lit(0)) for i, k in enumerate(TYPES)} | {"n_pii": F.coalesce(F.aggregate(r["n"], F.lit(0), lambda a, x: a + x), F.lit(0))})
     if spans:
-        df = df.withColumns({f"spans_{k.lower()}": F.concat(*of(k, "__s_")) for k in TYPES})
-    total = sum([F.col(f"n_{k.lower()}") for k in TYPES[1:]], F.col(f"n_{TYPES[0].lower()}"))
-    return df.withColumn("n_pii", total).drop(*[f"__{x}_{n}" for n, *_ in steps for x in "ns"])
+        of = lambda k: [F.coalesce(r["taken"][i], F.array().cast("array<string>")) for i, (_, kind, *_) in enumerate(_STEPS) if kind == k]
+        df = df.withColumns({f"spans_{k.lower()}": F.concat(*of(k)) for k in TYPES})
+    return df.drop("__r")
 
 
 def redacted(c: Column, mode: str = "typed") -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import dims
+from ..functions import cues, dims
 from ..functions import lexicon as lex
 
 HITS = "array<struct<signal:string,evidence:string,confidence:double>>"
@@ -26,14 +26,21 @@ def clause_prefix(text: Column, at: Column) -> Column:
     return F.element_at(F.split(tail, lex.CLAUSE_BREAK), -1)
 
 
+def negated(prefix: Column) -> Column:
+    """Whether one of the last words of the clause before a cue is a negator."""
+    words = F.regexp_extract_all(F.lower(prefix), F.lit(lex.WORD), 0)
+    return F.arrays_overlap(F.slice(F.reverse(words), 1, lex.NEGATED_WITHIN), F.array(*[F.lit(w) for w in lex.NEGATORS]))
+
+
 def quote(text: Column, pattern: str) -> Column:
-    """The first match, completed to the closing bracket if it cuts a [TAG], and trimmed; null if none."""
+    """The first match, completed to the closing bracket if it cuts a [TAG], without signs and spaces before it; null if none."""
     p = F.lit(lex.FLAGS + pattern)
     found, start = F.regexp_substr(text, p), F.regexp_instr(text, p)
     opened = F.length(F.regexp_replace(found, r"[^\[]", "")) > F.length(F.regexp_replace(found, r"[^\]]", ""))
     rest = F.substring(text, start + F.length(found), F.length(text))
     more = F.instr(rest, "]")
-    return F.trim(F.when(opened & (more > 0), F.concat(found, F.substring(rest, F.lit(1), more))).otherwise(found))
+    whole = F.when(opened & (more > 0), F.concat(found, F.substring(rest, F.lit(1), more))).otherwise(found)
+    return F.trim(F.regexp_replace(whole, rf"^(?:{lex.CLAUSE_BREAK}|:)+ ?", ""))
 
 
 def signal_quote(text: Column, signal: str) -> Column:
@@ -43,33 +50,34 @@ def signal_quote(text: Column, signal: str) -> Column:
         p = lex.FLAGS + pattern
         hit = text.rlike(p)
         if signal in lex.NEGATABLE:
-            hit = hit & ~clause_prefix(text, F.regexp_instr(text, F.lit(p))).rlike(lex.NEGATION)
+            hit = hit & ~negated(clause_prefix(text, F.regexp_instr(text, F.lit(p))))
         options.append(F.when(hit, quote(text, pattern)))
     return F.coalesce(*options)
 
 
-def may_hit(text: Column) -> Column:
-    """One alternation over all cues: texts without any skip the rest."""
-    return text.rlike(lex.FLAGS + "|".join(f"(?:{p})" for ps in lex.SIGNAL_PATTERNS.values() for p in ps))
+#: All patterns of the lexicon by what they tell, for the one scan that says which of them are worth trying.
+SCAN = cues.Scan({f"signal/{s}": p for s, p in lex.SIGNAL_PATTERNS.items()} | {f"{kind}/{k}": (p,) for kind, table in (("actor", lex.ACTOR_PATTERNS), ("action", lex.ACTION_PATTERNS), ("entity", lex.ENTITY_PATTERNS)) for k, p in table})
 
 
-def with_rule_hits(turns: DataFrame, text: Column, speaker: Column) -> DataFrame:
-    """turns with ``__hits``: (signal, evidence, confidence) of a caller's turn, by signal name; safety advice takes secrecy out.
+def _by_name(name: Column, options: dict[str, Column]) -> Column:
+    """The option of that name. In a lambda only that one is evaluated, and Spark generates no code for any of them."""
+    return reduce(lambda c, o: F.when(name == o[0], o[1]).otherwise(c), reversed(options.items()), F.lit(None))
 
-    The quotes are columns of a projection below the one that reads them, so each pattern runs once.
-    """
-    names = sorted(lex.SIGNAL_PATTERNS)
-    t = turns.withColumn("__may", (speaker == "caller") & may_hit(text))
-    t = t.withColumns({f"__q_{s}": F.when(F.col("__may"), signal_quote(text, s)) for s in names})
-    hit = lambda s: F.struct(F.lit(s).alias("signal"), F.col(f"__q_{s}").alias("evidence"), F.lit(0.9 if s in dims.STRONG else 0.75).alias("confidence"))
-    there = lambda s: F.col(f"__q_{s}").isNotNull() & (F.col("__q_SAFETY_ADVICE").isNull() if s == "SECRECY" else F.lit(True))
-    hits = F.filter(F.array(*[F.when(there(s), hit(s)) for s in names]), lambda h: h.isNotNull())
-    return t.withColumn("__hits", hits).drop("__may", *[f"__q_{s}" for s in names])
 
+def rule_hits(text: Column, found: Column) -> Column:
+    """(signal, evidence, confidence) by signal name, of the signals that the scan found worth trying; safety advice takes secrecy out."""
+    quotes = {f"signal/{s}": signal_quote(text, s) for s in sorted(lex.SIGNAL_PATTERNS)}
+    strong = F.array(*[F.lit(s) for s in dims.STRONG])
+    signal = lambda n: F.substring(n, len("signal/") + 1, 100)
+    tried = F.transform(F.filter(found, lambda n: F.startswith(n, F.lit("signal/"))), lambda n: F.struct(signal(n).alias("signal"), _by_name(n, quotes).alias("evidence"), F.when(F.array_contains(strong, signal(n)), 0.9).otherwise(0.75).alias("confidence")))
+    hits = F.filter(tried, lambda h: h["evidence"].isNotNull())
+    return F.get(F.transform(F.array(hits), lambda hs: F.filter(hs, lambda h: (h["signal"] != "SECRECY") | ~F.exists(hs, lambda o: o["signal"] == "SAFETY_ADVICE"))), F.lit(0))
 
-def actor_claim(text: Column, speaker: Column) -> Column:
-    named = reduce(lambda c, ap: F.when(text.rlike(lex.FLAGS + ap[1]), F.lit(ap[0])).otherwise(c), reversed(lex.ACTOR_PATTERNS), F.lit("UNKNOWN"))
-    return F.when(speaker == "caller", named).otherwise(F.lit("UNKNOWN"))
+
+def actor_claim(text: Column, found: Column) -> Column:
+    """Who the text says is calling: the first of the table that it names."""
+    named = F.filter(F.array(*[F.lit(a) for a, _ in lex.ACTOR_PATTERNS]), lambda a: F.array_contains(found, F.concat(F.lit("actor/"), a)) & _by_name(a, {k: text.rlike(lex.FLAGS + p) for k, p in lex.ACTOR_PATTERNS}))
+    return F.coalesce(F.get(named, F.lit(0)), F.lit("UNKNOWN"))
 
 
 def first_by_priority(actions: Column) -> Column:
@@ -81,10 +89,10 @@ def default_actions(signals: Column) -> Column:
     return F.array_compact(F.transform(signals, dims.default_action_of))
 
 
-def requested_action(text: Column, signals: Column) -> Column:
+def requested_action(text: Column, signals: Column, found: Column) -> Column:
     """Default actions of the signals, refined by what the text names; nothing without a signal that asks for something."""
     base = default_actions(signals)
-    says = {a: text.rlike(lex.FLAGS + p) for a, p in lex.ACTION_PATTERNS}
+    says = {a: F.array_contains(found, f"action/{a}") & text.rlike(lex.FLAGS + p) for a, p in lex.ACTION_PATTERNS}
     creds, pays = F.array_contains(base, "SHARE_CREDENTIALS"), F.array_contains(base, "TRANSFER_MONEY")
     refined = F.filter(base, lambda a: ~((a == "SHARE_CREDENTIALS") & says["SHARE_OTP"]))
     for action, when in (("SHARE_OTP", says["SHARE_OTP"] & creds), ("SCAN_QR", says["SCAN_QR"] & pays), ("CLICK_LINK", says["CLICK_LINK"]), ("CALL_NUMBER", says["CALL_NUMBER"])):
@@ -110,10 +118,12 @@ def stage_of(signals: Column) -> Column:
     return dims.stage_name(F.array_max(F.transform(signals, dims.stage_index_of)))
 
 
-def entities(text: Column) -> Column:
+def entities(text: Column, found: Column | None = None) -> Column:
     """Distinct (type, value) by type and lower-cased value, in the order of the patterns; the first casing stays."""
-    typed = lambda t: lambda v: F.struct(F.lit(t).alias("type"), v.alias("value"))
-    every = F.concat(*[F.transform(F.regexp_extract_all(text, F.lit(lex.FLAGS + p), 0), typed(t)) for t, p in lex.ENTITY_PATTERNS])
+    found = SCAN.groups(text) if found is None else found
+    kinds = F.filter(F.array(*[F.lit(t) for t, _ in lex.ENTITY_PATTERNS]), lambda t: F.array_contains(found, F.concat(F.lit("entity/"), t)))
+    values = {t: F.regexp_extract_all(text, F.lit(lex.FLAGS + p), 0) for t, p in lex.ENTITY_PATTERNS}
+    every = F.flatten(F.transform(kinds, lambda t: F.transform(_by_name(t, values), lambda v: F.struct(t.alias("type"), v.alias("value")))))
 
     def add(acc: Column, e: Column) -> Column:
         known = F.exists(acc, lambda x: (x["type"] == e["type"]) & (F.lower(x["value"]) == F.lower(e["value"])))
@@ -123,11 +133,16 @@ def entities(text: Column) -> Column:
 
 
 def rules(turns: DataFrame) -> DataFrame:
-    """turns (conv_id, turn_idx, speaker, text: redacted) with ``event``. One projection after another; no shuffle."""
-    text, speaker = F.coalesce(F.col("text"), F.lit("")), F.col("speaker")
-    t = with_rule_hits(turns, text, speaker).withColumns({"__entities": entities(text), "__actor": actor_claim(text, speaker)})
+    """turns (conv_id, turn_idx, speaker, text: redacted) with ``event``. One projection after another; no shuffle.
+
+    One scan a text finds which patterns can match at all; only those are tried, inside lambdas, for which Spark makes no code.
+    """
+    text, speaker, found = F.coalesce(F.col("text"), F.lit("")), F.col("speaker"), F.col("__found")
+    t = turns.withColumn("__found", SCAN.groups(text))
+    no_hits = F.array().cast(HITS)
+    t = t.withColumns({"__hits": F.when(speaker == "caller", rule_hits(text, found)).otherwise(no_hits), "__entities": entities(text, found), "__actor": F.when(speaker == "caller", actor_claim(text, found)).otherwise("UNKNOWN")})
     t = t.withColumn("__signals", F.transform("__hits", lambda h: h["signal"]))
-    t = t.withColumn("__action", requested_action(text, F.col("__signals")))
+    t = t.withColumn("__action", requested_action(text, F.col("__signals"), found))
     event = F.struct(
         F.col("__actor").alias("actor_claim"),
         intent(speaker, F.col("__signals"), F.col("__action"), F.col("turn_idx")).alias("communication_intent"),
@@ -139,7 +154,7 @@ def rules(turns: DataFrame) -> DataFrame:
         F.coalesce(F.array_max(F.transform("__hits", lambda h: h["confidence"])), F.lit(0.0)).alias("confidence"),
         F.lit("rules").alias("source"),
     )
-    return t.withColumn("event", event).drop("__hits", "__entities", "__actor", "__signals", "__action")
+    return t.withColumn("event", event).drop("__found", "__hits", "__entities", "__actor", "__signals", "__action")
 
 
 def hits_of(turns: DataFrame, event: str = "event") -> DataFrame:

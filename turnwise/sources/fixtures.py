@@ -21,24 +21,24 @@ TIMELINE = (
     (5700, "signal", {"label": "Threat", "evidence": "account [ACCOUNT] will be blocked"}),
     (5750, "signal", {"label": "Urgency", "evidence": "right now"}),
     (5800, "stage", {"stage": "FEAR", "progress": 0.5}),
-    (5850, dims.PATTERN_EVENT, {"pattern": "Screen takeover in a bank's name", "matchPct": 58}),
+    (5850, dims.PATTERN_EVENT, {"pattern": "Account that needs saving", "matchPct": 58}),
     (5860, "graph_node", {"id": "urgency", "parent": "authority"}),
     (8200, "transcript", {"speaker": "user", "text": "Fine, go ahead."}),
     (11000, "transcript", {"speaker": "caller", "text": "Stay on the line and install this app."}),
     (11100, "signal", {"label": "Isolation", "evidence": "Stay on the line"}),
     (11150, "signal", {"label": "Remote access", "evidence": "install this app"}),
     (11200, "stage", {"stage": "COMPLIANCE", "progress": 0.75}),
-    (11250, dims.PATTERN_EVENT, {"pattern": "Screen takeover in a bank's name", "matchPct": 81}),
+    (11250, dims.PATTERN_EVENT, {"pattern": "Account that needs saving", "matchPct": 81}),
     (11300, dims.PREDICTION_EVENT, {"next": "Credentials", "confidence": 72}),
     (11350, "risk", {"level": "high"}),
     (11400, dims.PAUSE_EVENT, {"reason": "The caller asks for control of your screen."}),
 )
 #: (id, label, surface, steps); the last one is still under way.
 INCIDENTS = (
-    ("demo-1", "Screen takeover in a bank's name", "Harbour Bank · Call", ("AUTHORITY", "URGENCY", "ISOLATION", "REMOTE_ACCESS", "CREDENTIALS", "TRANSFER")),
-    ("demo-2", "House arrest by phone", "Swift Courier · Call", ("AUTHORITY", "URGENCY", "CHANNEL_SHIFT", "ISOLATION", "TRANSFER")),
-    ("demo-3", "Refund that is a payment", "QuickWallet · Whatsapp", ("AUTHORITY", "LURE", "REMOTE_ACCESS", "TRANSFER")),
-    ("demo-live", "Under way", "Meridian Bank · Call", ("AUTHORITY", "URGENCY", "ISOLATION")),
+    ("demo-1", "Account that needs saving", "Harbour Bank · Phone", ("AUTHORITY", "URGENCY", "ISOLATION", "REMOTE_ACCESS", "CREDENTIALS", "TRANSFER")),
+    ("demo-2", "Parcel held back", "Swift Courier · Phone", ("AUTHORITY", "URGENCY", "CHANNEL_SHIFT", "ISOLATION", "TRANSFER")),
+    ("demo-3", "Code for money back", "QuickWallet · Chat", ("AUTHORITY", "LURE", "REMOTE_ACCESS", "TRANSFER")),
+    ("demo-live", "Under way", "Meridian Bank · Phone", ("AUTHORITY", "URGENCY", "ISOLATION")),
 )
 
 
