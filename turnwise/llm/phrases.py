@@ -22,6 +22,8 @@ WINDOW, SHARD_WORDS, RANGE_PATHS = 1 << 21, 800_000, 500_000
 BORDER_DOCS, BORDER_PATHS, BORDER_EVERY, BORDER_CHARS = 2000, 20_000, 100, 64
 #: Bits of the map of frequent pairs, for each pair, and at least and most in all. A pair that shares a bit is counted for nothing, and goes later.
 PAIR_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
+#: Parts in which a language's phrases are ranked before their best are ranked together.
+DEALS = 32
 _BUCKET = 32768  # bits of one of Spark's bitmaps
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -90,13 +92,11 @@ class Shard:
 
     def __init__(self, depth: int, pairs: np.ndarray | None):
         self.depth, self.pairs = depth, pairs
-        self.number: dict[str, int] = {}
-        self.codes, self.pieces, self.langs, self.n, self.piece = [], [], [], 0, 0
+        self.words: list[pa.DictionaryArray] = []
+        self.pieces, self.langs, self.n, self.piece = [], [], 0, 0
 
     def add(self, words: pa.DictionaryArray, piece: np.ndarray, lang: np.ndarray) -> None:
-        number = self.number
-        ids = np.array([number.setdefault(w, len(number)) for w in words.dictionary.to_pylist()], dtype=np.int64)
-        self.codes.append(ids[words.indices.to_numpy()])
+        self.words.append(words)
         self.pieces.append(piece.astype(np.int64) + self.piece)
         self.langs.append(lang)
         self.n += len(piece)
@@ -104,11 +104,13 @@ class Shard:
 
     def paths(self, langs: list[str]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
         """(words, columns, counts): the trie as its distinct paths in order. Columns are the language's place among the sorted ones, then places of words plus one; 0 is beyond the end."""
-        order = sorted(self.number, key=self.number.__getitem__)
-        words = sorted(order)
-        place = {w: i + 1 for i, w in enumerate(words)}
-        rank = np.array([place[w] for w in order], dtype=np.int64)
-        code, piece = rank[np.concatenate(self.codes)], np.concatenate(self.pieces)
+        one = pa.chunked_array(self.words).unify_dictionaries()
+        seen = one.chunk(0).dictionary
+        order = pc.sort_indices(seen)
+        rank = np.empty(len(seen), dtype=np.int64)
+        rank[order.to_numpy()] = np.arange(1, len(seen) + 1)
+        words = seen.take(order).to_pylist()
+        code, piece = rank[np.concatenate([c.indices.to_numpy() for c in one.chunks])], np.concatenate(self.pieces)
         by_lang = {x: i for i, x in enumerate(sorted(langs))}
         lang = np.array([by_lang[x] for x in langs], dtype=np.int64)[np.concatenate(self.langs)]
         goes_on = np.zeros(len(code), dtype=bool)
@@ -363,5 +365,8 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     rows = docs.select(F.coalesce(F.col(f"`{lang}`"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     pairs = pair_map(frequent_phrases(rows, 2, least, **sizes))
     best = scored(frequent_phrases(rows, max_words, least, pairs, **sizes), least)
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    dealt = best.withColumn("deal", F.pmod(F.xxhash64("phrase"), F.lit(DEALS)))
+    first = dealt.withColumn("rank", F.row_number().over(W.partitionBy("lang", "deal").orderBy(*order))).filter(F.col("rank") <= top)
+    last = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)))
+    return last.filter(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
