@@ -316,6 +316,36 @@ def test_left_out_ends(html):
     assert "One sentence of the article. Another one." in pages.main_text(html, pages.model())
 
 
+TOLD = [
+    "The committee met on Tuesday to look at the plans for the new bridge, and the members asked for more time.",
+    "Engineers said that the old bridge is safe for now, but that it will not carry the traffic of the next ten years.",
+    "Nobody at the meeting spoke against the plan, which is to be paid for by the region and in part by the state itself.",
+    "A decision is expected in the spring, when the results of the survey are known and the costs have been worked out.",
+]
+BOXES = ["<div>{}</div>", '<div class="text">{}</div>', '<div id="main">{}</div>', '<div role="main">{}</div>', "<section>{}</section>", '<div class="page"><div class="inner">{}</div></div>', "{}", "<article>{}</article>", "<main>{}</main>", '<div class="story">{}</div>', '<div class="main-content">{}</div>', "<table><tr><td>{}</td></tr></table>", '<div class="xqz7">{}</div>', '<div class="layout"><div class="col-8">{}</div></div>']
+AROUND = {
+    "none": ("", ""),
+    "menu and foot": ('<nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>', "<footer>&copy; 2020 The Paper</footer>"),
+    "side": ('<header><a href="/">Home</a></header>', '<div class="sidebar"><h3>Related</h3><ul><li><a href="/x">Other story of the day</a></li></ul></div><footer>&copy; 2020 The Paper</footer>'),
+}
+
+
+@pytest.mark.parametrize("around", sorted(AROUND))
+@pytest.mark.parametrize("box", BOXES)
+def test_articles_in_any_container(box, around):
+    before, after = AROUND[around]
+    for title in ("h1", "h2"):
+        body = f"<{title}>Bridge plans get more time</{title}>" + "".join(f"<p>{t}</p>" for t in TOLD)
+        page = f"<html><head><title>x</title></head><body>{before}{box.format(body)}{after}</body></html>"
+        assert pages.main_text(page, pages.model()) == " ".join(["Bridge plans get more time", *TOLD])
+
+
+def test_quotes_without_an_end_change_no_other_text():
+    page = "<article>" + "<p>it's \"so\", said 'x'.</p>" * 200 + "<a href='y>z</a><p>It's the \"end\" of it, in a whole sentence.</p></article>"
+    got = pages.main_text(page, pages.model())
+    assert got.count("it's \"so\", said 'x'.") == 200
+
+
 def test_cue_words_tell_blocks_without_classes():
     crf = pages.model()
     page = "<body><div><p>{}</p></div>" + ARTICLE.replace("</p>", "</p>" + "<p>Still more of it, in a whole sentence.</p>" * 3)

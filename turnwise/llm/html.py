@@ -7,7 +7,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -38,11 +37,11 @@ CUES = {
     "share": "share tweet facebook teilen partager compartir",
     "menu": "home menu contact startseite menü kontakt accueil inicio contacto",
 }
-#: Cue words count in blocks of at most this many characters; longer ones are told by their place and form.
-CUE_CHARS = 300
+#: Words that hold sentences together, in the same languages.
+GLUE = frozenset("the of and to in is that for it as was with on by der die das und ist den mit von zu ein eine nicht auf le la les et des que est un une dans pour el los las y en una por con del se".split())
 _LETTERS = re.compile(r"[^\W\d_]+")
 BITS = 16
-PAGES, SEED, ROUNDS, L2 = 400, 5, 120, 1e-3
+PAGES, SEED, ROUNDS, L2 = 600, 5, 120, 1e-3
 _WORDS = re.compile(r"[a-z0-9]+")
 
 
@@ -73,13 +72,14 @@ class _Blocks(HTMLParser):
         self.inline: dict[tuple[str, int], int] = {}
         self.active: dict[int, int] = {}
         self.text: list[str] = []
-        self.hidden = self.links = self.linked = self.contents = 0
+        self.hidden = self.links = self.linked = self.contents = self.titles = 0
+        self.contents_seen = False
 
     def end_block(self) -> None:
         if self.text:
             t = " ".join("".join(self.text).split())
             if t:
-                self.blocks.append(Block(t, self.open[-1][1] if self.open else 0, _own_slots(t, self.names[-3:], min(1.0, self.linked / len(t)))))
+                self.blocks.append(Block(t, self.open[-1][1] if self.open else 0, _own_slots(t, self.names[-3:], min(1.0, self.linked / len(t)), self.titles > 0)))
             self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -102,7 +102,10 @@ class _Blocks(HTMLParser):
             words = _WORDS.findall(" ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label")).lower())
             if any(k == "hidden" or (k == "aria-hidden" and v == "true") for k, v in attrs):
                 words.append("hidden")
+        if tag in CONTENT and not self.contents:
+            self.contents_seen = True
         self.contents += tag in CONTENT
+        self.titles += tag == "h1"
         slots = (_common_slots if len(words) < 10 else _element_slots)(tag, tuple(words), self.contents > 0)
         new = tuple(x for x in slots if not self.active.get(x))
         for x in slots:
@@ -190,14 +193,15 @@ class _Blocks(HTMLParser):
 
 
 _MARKUP = re.compile("<[a-zA-Z/!?]")
-#: Tags with an open quote that a page may hold before quotes stop to count in the rest of it.
-BROKEN_TAGS = 50
 
 
 def parse(html: str | None) -> _Blocks:
-    """A page's blocks. What the page breaks off inside is left out: a tag without an end, a comment without an end up to its next ``>``."""
+    """A page's blocks. What the page breaks off inside is left out: a tag without an end, a comment without an end up to its next ``>``.
+
+    A tag has no end only if its quote has none in all that follows, so there is at most one for each kind of quote: few rounds.
+    """
     p, rest = _Blocks(), html or ""
-    for broken in count():
+    while True:
         p.feed(rest)
         rest, end = p.rawdata, p.rawdata.find(">")
         if p.cdata_elem or not _MARKUP.match(rest):
@@ -205,12 +209,12 @@ def parse(html: str | None) -> _Blocks:
         p.rawdata, comment, rest = "", rest.startswith("<!--"), rest[end + 1 :] if end >= 0 else ""
         if comment:
             rest = rest.replace("<!--", "<!")  # none of them has an end
-        if broken >= BROKEN_TAGS:
-            rest = rest.replace('"', " ").replace("'", " ")
     if p.cdata_elem:
         p.rawdata = ""
     p.close()
     p.end_block()
+    if p.contents_seen:  # what stands outside is told apart from pages without such an element
+        p.nodes[0] = (-1, (*p.nodes[0][1], _slot("content somewhere")))
     return p
 
 
@@ -236,21 +240,33 @@ _LENGTH = [_slot(f"len:{k}") for k in range(9)]
 _COUNT = [_slot(f"words:{k}") for k in range(7)]
 _LINKED = [_slot(f"link:{k}") for k in range(5)]
 _ENDS, _SIGN, _BARS = _slot("ends"), _slot("sign"), _slot("bars")
-_CUE = {w: _slot(f"cue:{kind}") for kind, words in CUES.items() for w in words.split()}
-
-
-def _own_slots(text: str, names: list[str], linked: float) -> tuple[int, ...]:
-    """Slots of what a block shows itself: its nearest ancestors, length, links, signs and, if it is short, its cue words."""
-    n = len(text)
-    own = [*_near_slots(tuple(names)), _LENGTH[min(8, n.bit_length())], _LINKED[int(linked * 4)], _COUNT[min(6, (text.count(" ") + 1).bit_length())]]
+_CUE = {w: (_slot(f"cue:{kind}"), _slot(f"cues:{kind}")) for kind, words in CUES.items() for w in words.split()}
+_CUES = [_slot(f"cue words:{k}") for k in range(3)]
+_SENTENCES = [_slot(f"sentences:{k}") for k in range(4)]
+_GLUE = [_slot(f"glue:{k}") for k in range(5)]
+_TITLED = [_slot("before title"), _slot("after title")]
+_STOPS = re.compile(r"[.!?…。](?:\s|$)")
+#: Words for each cue word at most where cue words are many; elsewhere they count for less.
+CUE_WORDS = 20
+
+
+def _own_slots(text: str, names: list[str], linked: float, titled: bool) -> tuple[int, ...]:
+    """Slots of what a block shows itself: its nearest ancestors, length, links, signs, sentences and the words that hold them together, cue words by how dense they are, and whether a title came."""
+    n, words = len(text), _LETTERS.findall(text.lower())
+    own = [*_near_slots(tuple(names)), _LENGTH[min(8, n.bit_length())], _LINKED[int(linked * 4)], _COUNT[min(6, (text.count(" ") + 1).bit_length())], _TITLED[titled]]
+    own.append(_SENTENCES[min(3, sum(1 for _ in _STOPS.finditer(text)))])
+    if len(words) > 3:
+        own.append(_GLUE[min(4, 10 * sum(w in GLUE for w in words) // len(words))])
     if text[-1] in ".!?…。":
         own.append(_ENDS)
     if text[0] in "©®":
         own.append(_SIGN)
     if text.count("|") + text.count("·") + text.count("»") > 1:
         own.append(_BARS)
-    if n <= CUE_CHARS:
-        own += {_CUE[w] for w in _LETTERS.findall(text.lower()) if w in _CUE}
+    cues = [w for w in words if w in _CUE]
+    if cues:
+        own.append(_CUES[min(3, len(cues)) - 1])
+        own += {_CUE[w][CUE_WORDS * len(cues) >= len(words)] for w in cues}
     return tuple(own)
 
 
@@ -280,12 +296,15 @@ _CHROME = {
     "said": ("section.comments", "div.comments", "div#comments", "ol.commentlist", "div.comment", "section#comments", "div.discussion", "div.replies"),
     "share": ("div.share", "ul.social", "div.toolbar", "div.tags", "div.byline", "div.meta", "ul.pagination"),
 }
+#: Words that classes and ids of anything may have.
+_NEUTRAL = "text page inner main wrapper container column center row block box area left right wide grid body".split()
 _BODY = ("article", "main", "article", "main>article", "div.content>article", "div.article-body", "div#content", "div.post", "div.entry-content", "section.story", "article>div.body", "article>section")
 
 
 def _tags(spec: str) -> tuple[str, str]:
+    """Start and end tags of nested elements such as ``div.a>div#b``; none for an empty text."""
     start, end = "", ""
-    for one in spec.split(">"):
+    for one in spec.split(">") if spec else ():
         tag, _, cls = one.partition(".")
         tag, _, ident = tag.partition("#")
         start += f"<{tag}" + (f' class="{cls}"' if cls else "") + (f' id="{ident}"' if ident else "") + ">"
@@ -297,9 +316,26 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
     """A made-up page and for each of its leaf blocks whether it belongs to the main text. Words are noise but for cues, which half of what surrounds the article has and its own blocks have now and then."""
     word = lambda: "".join(rng.choice(_SYLLABLES) for _ in range(rng.randint(1, 4)))
     words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
-    sentence = lambda: words(1, 25).capitalize() + rng.choice(("", ".", ".", ",", " |"))
+    glued = lambda a, b, p: " ".join(rng.choice(glue) if rng.random() < p else word() for _ in range(rng.randint(a, b)))
+    glue, held = sorted(GLUE), rng.choice((0.0, 0.2, 0.35, 0.5))
+    sentence = lambda: glued(1, 25, held).capitalize() + rng.choice(("", ".", ".", ",", " |"))
     prose = lambda: " ".join(sentence() for _ in range(rng.choice((1, 1, 2, 4, 8))))
-    cued = lambda kind, text, p: f"{rng.choice(CUES.get(kind, CUES["menu"]).split())} {text}".capitalize() if rng.random() < p else text
+    story = lambda: " ".join(glued(5, 25, held).capitalize() + rng.choice((".", ".", ".", "?", "")) for _ in range(rng.choice((1, 2, 3, 4, 8))))
+    name = lambda: rng.choice((rng.choice(_NEUTRAL), word()))
+
+    def plain_box() -> str:
+        return rng.choice(("", "div", "div", "section", "div>div", "table>tr>td", f"div.{name()}", f"div#{name()}", f"div.{name()}>div.{name()}", f"section.{name()}"))
+
+
+    def cued(kind: str, text: str, p: float, most: int = 4) -> str:
+        """The text, at that probability with up to so many cue words of a kind in it."""
+        if rng.random() >= p:
+            return text
+        parts = text.split(" ")
+        for _ in range(rng.randint(1, most)):
+            parts.insert(rng.choice((0, rng.randint(0, len(parts)))), rng.choice(CUES.get(kind, CUES["menu"]).split()))
+        return " ".join(parts).capitalize()
+
     out, gold = [], []
 
     def put(html: str, label: int | None) -> None:
@@ -309,7 +345,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
 
     def chrome(kind: str) -> None:
         plain = rng.random() < 0.2  # told by its words alone
-        start, end = _tags(rng.choice(("div", "section", "div>div")) if plain else rng.choice(_CHROME[kind]))
+        start, end = _tags(rng.choice(("div", "section", "div>div", f"div.{name()}")) if plain else rng.choice(_CHROME[kind]))
         cue = 1.0 if plain else 0.5
         put(start, None)
         form = kind == "menu" or rng.random() < 0.3
@@ -332,15 +368,17 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
                     put(f"<{tag}>{cued(kind, prose(), cue)}</{tag}>", 0)
         put(end, None)
 
-    def content() -> None:
+    def content(tell) -> None:
+        tag = rng.choice(("p", "p", "div"))
         for _ in range(rng.choice((1, 2, 4, 8, 12))):
             kind = rng.random()
             if kind < 0.62:
-                put(f"<p>{rng.choice(('', '<b>', ''))}{cued(rng.choice(tuple(CUES)), prose(), 0.06)}", 1)
-                if rng.random() < 0.7:
-                    put("</p>", None)
+                bold = rng.choice(("", "b", ""))
+                put(f"<{tag}>{bold and f'<{bold}>'}{cued(rng.choice(tuple(CUES)), tell(), 0.06, 1)}", 1)
+                if tag == "div" or rng.random() < 0.7:
+                    put(f"{bold and tag == 'div' and '</b>' or ''}</{tag}>", None)
                 elif rng.random() < 0.5:
-                    put(f"<br>{prose()}", 1)
+                    put(f"<br>{tell()}", 1)
             elif kind < 0.68:
                 put(f"<h2>{words(1, 8)}</h2>", 1)
             elif kind < 0.73:
@@ -360,26 +398,32 @@ def labelled_page(rng: random.Random) -> tuple[str, list[int]]:
             elif kind < 0.88:
                 put(f'<p><a href="/{word()}">{words(2, 9)}</a></p>', 1)
             elif kind < 0.92:
-                put(f"<div>{prose()}</div>", 1)
+                put(f"<div>{tell()}</div>", 1)
+            elif bare:
+                continue
             else:
                 chrome(rng.choice(("ad", "ad", "note", "side", "form", "share", "menu", "said")))
 
     put('<!DOCTYPE html><html><head><meta charset="utf-8"><title>t</title><style>p{margin:0}</style>' + rng.choice(("</head><body>", "</head><body>", "<body>", "</head>")), None)
+    bare, known = rng.random() < 0.08, rng.random() < 0.5
+    box, unbox = _tags(rng.choice((f"div.{name()}", f"div#{name()}", "div")) if rng.random() < 0.3 else "")
+    put(box, None)
     for kind in ("note", "head", "menu", "ad", "side", "form"):
-        if rng.random() < 0.6:
+        if rng.random() < 0.6 and not bare:
             chrome(kind)
-    start, end = _tags(rng.choice(_BODY))
+    start, end = _tags(rng.choice(_BODY) if known else plain_box())
     put(start, None)
-    if rng.random() < 0.8:
+    if rng.random() < 0.7:
         put(rng.choice(("<h1>{}</h1>", "<h1><span>{}</span></h1>", "<header><h1>{}</h1></header>")).format(words(1, 10)), 1)
-    content()
-    if rng.random() < 0.2:
+    content(prose if known else story)
+    if rng.random() < 0.2 and not bare:
         chrome("said")
     if rng.random() < 0.9:
         put(end, None)
     for kind in ("share", "said", "side", "ad", "note", "menu", "foot"):
-        if rng.random() < 0.6:
+        if rng.random() < 0.6 and not bare:
             chrome(kind)
+    put(unbox, None)
     if rng.random() < 0.9:
         put("</body></html>", None)
     return "".join(out), gold
