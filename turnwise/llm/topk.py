@@ -16,8 +16,10 @@ from .common import release, staged
 K, EVERY, SCALE = 10, 100, 1024
 BINS = 256
 QUERY_ROWS, BLOCK_ROWS = 256, 4096
-#: Scores further from zero count as this one; none of them is ever returned.
-MOST = 2**61
+#: Scores are longs; in histograms they are told by their place among all longs, an unsigned number.
+MOST = 2**63
+_FLIP = np.uint64(MOST)
+LIMB = 16
 
 
 def quantised(v, scale: int = SCALE):
@@ -25,17 +27,51 @@ def quantised(v, scale: int = SCALE):
     return F.transform(v, lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
 
 
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products, no further from zero than MOST. Doubles are exact while a pair's sums stay below 2**53; the other pairs take whole numbers of any length."""
+def _limbs(v: np.ndarray) -> list[np.ndarray]:
+    """Whole numbers as sums of limbs times powers of 2**LIMB; each limb has its number's sign and is a small double."""
+    whole = np.clip(v, -(2.0**63) + 1024, 2.0**63 - 1024).astype(np.int64)
+    sign, rest, out = np.sign(whole).astype(np.float64), np.abs(whole), []
+    while rest.any():
+        out.append(sign * (rest & ((1 << LIMB) - 1)))
+        rest = rest >> LIMB
+    return out or [np.zeros_like(sign)]
+
+
+def _scores(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Integer inner products, and which of them no long can hold, which are then the outermost long (None: none).
+
+    Doubles are exact while a pair's sums stay below 2**53. Beyond that the limbs of both sides are multiplied, whose
+    sums are small, and carried into each other.
+    """
     with np.errstate(over="ignore", invalid="ignore"):
-        s = q @ c.T
-        wide = np.abs(q).sum(axis=1)[:, None] * np.abs(c).max(axis=1, initial=0)[None, :] >= 2.0**53
-    if not wide.any():
-        return s.astype(np.int64)
-    s = np.where(wide, 0.0, s).astype(np.int64)
-    for i, j in zip(*(x.tolist() for x in np.nonzero(wide))):
-        s[i, j] = max(-MOST, min(MOST, sum(int(a) * int(b) for a, b in zip(q[i].tolist(), c[j].tolist()))))
-    return s
+        most, each = np.abs(q).sum(axis=1).max(initial=0) * np.abs(c).max(initial=0), np.abs(c).max(initial=0) * max(1, q.shape[1])
+    if most < 2.0**53:
+        return (q @ c.T).astype(np.int64), None
+    bits = 52 - int(np.ceil(np.log2(each))) if each < 2.0**52 else 0
+    if most < 2.0**62 and bits > 0 and most < 2.0 ** (52 + bits):  # the queries in two parts are enough
+        high = np.floor(q * 2.0**-bits)
+        return ((high @ c.T).astype(np.int64) << bits) + ((q - high * 2.0**bits) @ c.T).astype(np.int64), None
+    left, right = _limbs(q), _limbs(c)
+    sums = [np.zeros((len(q), len(c)), dtype=np.int64) for _ in range(max(4, len(left) + len(right)))]
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            sums[i + j] += (x @ y.T).astype(np.int64)
+    for low, high in zip(sums, sums[1:]):
+        high += low >> LIMB
+        low &= (1 << LIMB) - 1
+    top, over = sums[-1], np.zeros(sums[-1].shape, dtype=bool)
+    negative = top < 0
+    for low in sums[-2:2:-1]:
+        over |= np.abs(top) >= 1 << 46
+        top = np.where(over, 0, (top << LIMB) + low)
+    over |= (top < -(1 << 15)) | (top >= 1 << 15)
+    s = (np.where(over, 0, top) << (3 * LIMB)) + (sums[2] << (2 * LIMB)) + (sums[1] << LIMB) + sums[0]
+    return np.where(over, np.where(negative, -MOST, MOST - 1), s), over
+
+
+def _place(s: np.ndarray) -> np.ndarray:
+    """A long's place among all longs."""
+    return s.astype(np.int64).view(np.uint64) ^ _FLIP
 
 
 def _side(candidates: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -50,12 +86,13 @@ def _histograms(width: int):
 
         def meet(r: dict) -> Iterator[pa.RecordBatch]:
             ids, q = unpack(r)
-            low = np.frombuffer(r["low"], dtype=np.int64)[:, None]
+            low = np.frombuffer(r["low"], dtype=np.uint64)[:, None]
             total = np.zeros(len(ids) * BINS, dtype=np.int64)
             for c_ids, c in side:
-                bins = (_scores(q, c) - low) // width
-                keep = (bins >= 0) & (bins < BINS) & (ids[:, None] != c_ids[None, :])
-                total += np.bincount((np.arange(len(ids))[:, None] * BINS + bins)[keep], minlength=len(total))
+                at = _place(_scores(q, c)[0])
+                bins = (at - low) // np.uint64(width)
+                keep = (at >= low) & (bins < BINS) & (ids[:, None] != c_ids[None, :])
+                total += np.bincount(np.arange(len(ids))[:, None].repeat(len(c_ids), 1)[keep] * BINS + bins[keep].astype(np.int64), minlength=len(total))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r["dim"], dtype=np.int32)), pa.array(np.full(len(at), r["block"], dtype=np.int64)), pa.array((at // BINS).astype(np.int32)), pa.array((at % BINS).astype(np.int32)), pa.array(total[at])], ["dim", "block", "q", "bin", "n"])
 
@@ -69,7 +106,7 @@ def _narrow(k: int, width: int):
 
     def run(state: pa.Table, hist: pa.Table) -> pa.Table:
         r = state.to_pylist()[0]
-        low, above = np.frombuffer(r["low"], dtype=np.int64), np.frombuffer(r["above"], dtype=np.int64)
+        low, above = np.frombuffer(r["low"], dtype=np.uint64), np.frombuffer(r["above"], dtype=np.int64)
         counts = np.zeros((len(low), BINS + 1), dtype=np.int64)
         if hist.num_rows:
             counts[hist.column("q").to_numpy(), hist.column("bin").to_numpy()] = hist.column("n").to_numpy()
@@ -77,7 +114,7 @@ def _narrow(k: int, width: int):
         reached = above[:, None] + from_top[:, :BINS] >= k
         found = np.where(reached.any(axis=1), BINS - 1 - np.argmax(reached[:, ::-1], axis=1), 0)
         beyond = from_top[np.arange(len(low)), found + 1]
-        r |= {"above": (above + beyond).tobytes(), "low": (low + found * width).tobytes()}
+        r |= {"above": (above + beyond).tobytes(), "low": (low + found.astype(np.uint64) * np.uint64(width)).tobytes()}
         return pa.Table.from_pylist([r], schema=state.schema)
 
     return run
@@ -91,14 +128,14 @@ def _best(k: int):
 
         def meet(r: dict) -> Iterator[pa.RecordBatch]:
             ids, q = unpack(r)
-            least = np.frombuffer(r["low"], dtype=np.int64)[:, None]
+            least = np.frombuffer(r["low"], dtype=np.uint64)[:, None]
             for c_ids, c in side:
-                s = _scores(q, c)
-                other = ids[:, None] != c_ids[None, :]  # a block's ids ascend
-                tied = (s == least) & other
-                i, j = np.nonzero(((s > least) & other) | (tied & (np.cumsum(tied, axis=1) <= k)))
-                if np.any(np.abs(s[i, j]) >= MOST):
-                    raise ValueError("a score among a query's best is too large for 62 bits")
+                s, over = _scores(q, c)
+                at, other = _place(s), ids[:, None] != c_ids[None, :]  # a block's ids ascend
+                tied = (at == least) & other
+                i, j = np.nonzero(((at > least) & other) | (tied & (np.cumsum(tied, axis=1) <= k)))
+                if over is not None and over[i, j].any():
+                    raise ValueError("a score among a query's best is no long")
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(c_ids[j]), pa.array(s[i, j])], ["query_id", "vec_id", "score"])
 
         return meet
@@ -112,7 +149,7 @@ def _start(reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = [len(x) // 8 for x in b.column(2).to_pylist()]
-            low = pa.array([np.full(m, -reach, dtype=np.int64).tobytes() for m in n], pa.binary())
+            low = pa.array([np.full(m, MOST - reach, dtype=np.uint64).tobytes() for m in n], pa.binary())
             above = pa.array([np.zeros(m, dtype=np.int64).tobytes() for m in n], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, low, above], ["dim", "block", "ids", "data", "low", "above"])
 
@@ -133,8 +170,8 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
 
     Vectors that are null or empty, or hold null or non-finite components, and null ids take no part. Vectors meet only
     those of their dimension. All if there are fewer than k. Rows that repeat an id aren't candidates of their own id;
-    elsewhere each counts. Other columns don't matter; an empty table gives no rows. A result with a score of 2**61 or
-    more, either sign, raises an error; larger ones that are in no result do no harm.
+    elsewhere each counts. Other columns don't matter; an empty table gives no rows. Scores are exact over all longs; a
+    result that would hold a larger one, either sign, raises an error, and those in no result do no harm.
     """
     rows = numbered(usable(vectors, key, vector).select("vec_id", quantised(F.col("v"), scale).alias("v")), "quantised")
     candidates = in_blocks(rows, block_rows, "candidates")
@@ -142,9 +179,9 @@ def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", k:
     size = lambda how: F.coalesce(F.max(how), F.lit(0.0))
     spread = F.aggregate("v", F.lit(0.0), lambda a, x: a + F.abs(x))
     most = rows.agg(size(F.when(F.col("vec_id") % every == 0, spread)).alias("query"), size(F.array_max(F.transform("v", F.abs))).alias("largest")).first()
-    reach = int(min(float(MOST), most["query"] * most["largest"])) + 1
+    reach = min(MOST, int(min(float(MOST), most["query"] * most["largest"])) + 1)
     width = 1
-    while width * BINS <= 2 * reach:
+    while width * BINS < 2 * reach:
         width *= BINS
     state = staged(queries.mapInArrow(_start(reach), STATE), "ranges")
     while width:
