@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WEIGHTS = (0.5, 0.3, 0.2)  # fixed values: order, tactics, transitions
 
 
+#: Elements of a list that a long's bits can stand for.
+_BITS = 62
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence. One fold over a; its state is the last row of the table, built by a fold over b."""
+    """Length of the longest common subsequence.
+
+    Where no element of a repeats, one fold over b: a bit for each place of a says whether the common subsequence ends
+    before it, and an addition carries all places on at once. Else a fold over a whose state is the last row of the table.
+    """
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at)
+    full = bit(F.size(a)) - 1
+
+    def step(v: Column, x: Column) -> Column:
+        at = F.array_position(a, x).cast("int")
+        u = F.when(at > 0, v.bitwiseAND(bit(at - 1))).otherwise(F.lit(0).cast("long"))
+        return (v + u).bitwiseOR(v - u).bitwiseAND(full)
+
+    plain = (F.size(a) <= _BITS) & (F.size(F.array_distinct(a)) == F.size(a)) & ~F.exists(a, lambda x: x.isNull()) & ~F.exists(b, lambda x: x.isNull())
+    return F.when(plain, F.size(a) - F.bit_count(F.aggregate(b, full, step))).otherwise(_lcs_table(a, b))
+
+
+def _lcs_table(a: Column, b: Column) -> Column:
     zero = F.transform(F.concat(F.array(F.lit(0)), F.transform(b, lambda _: F.lit(0))), lambda x: x)
 
     def next_row(row: Column, x: Column) -> Column:
@@ -45,6 +68,31 @@ def fingerprint_similarity(a_steps: Column, a_tactics: Column, b_steps: Column,
     return F.when((F.size(a_steps) == 0) | (F.size(b_steps) == 0), F.lit(0.0)).otherwise(total)
 
 
+def step_cell(steps: Column, names: Iterable[str]) -> Column:
+    """The set of a list's steps as bits, in the order of ``names``; one bit more if a step repeats or is none of them."""
+    names = tuple(names)
+    table = F.array(*[F.lit(n) for n in names])
+    known = F.array_intersect(steps, table)
+    bits = F.aggregate(known, F.lit(0), lambda m, s: m.bitwiseOR(F.call_function("shiftleft", F.lit(1), F.array_position(table, s).cast("int") - 1)))
+    return bits.bitwiseOR(F.when(F.size(known) < F.size(steps), 1 << len(names)).otherwise(0))
+
+
+def most_similar(a: Column, b: Column, names: int) -> Column:
+    """What fingerprints of two step cells can reach at most: common steps bound the common subsequence and one less the transitions."""
+    la, lb, c = F.bit_count(a), F.bit_count(b), F.bit_count(a.bitwiseAND(b))
+    moves = F.greatest(c - 1, F.lit(0))
+    none = (la < 2) & (lb < 2)
+    bound = WEIGHTS[0] * 2 * c / (la + lb) + WEIGHTS[1] + WEIGHTS[2] * F.when(none, 1.0).otherwise(moves / F.greatest(la + lb - 2 - moves, F.lit(1)))
+    return F.when((a == 0) | (b == 0), 0.0).when((a >= 1 << names) | (b >= 1 << names), 1.0).otherwise(bound)
+
+
+def bounded_similarity(a_steps: Column, a_tactics: Column, b_steps: Column, b_tactics: Column, least: Column) -> Column:
+    """``fingerprint_similarity`` where it can reach ``least``, else null: sets are compared first, and the order only if they leave room."""
+    sets = WEIGHTS[1] * jaccard(a_tactics, b_tactics) + WEIGHTS[2] * jaccard(bigrams(a_steps), bigrams(b_steps))
+    order = WEIGHTS[0] * 2 * F.least(F.size(a_steps), F.size(b_steps)) / (F.size(a_steps) + F.size(b_steps))
+    return F.when(sets + order >= least - 1e-9, fingerprint_similarity(a_steps, a_tactics, b_steps, b_tactics))
+
+
 def partial_similarity(live_steps: Column, live_tactics: Column, proto_steps: Column, proto_tactics: Column) -> Column:
     """How far a conversation so far runs along a prototype: against the prototype's first k+1 steps, damped while k is under 4."""
     k = F.size(live_steps)
