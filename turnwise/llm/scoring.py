@@ -22,17 +22,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, o
 
     The bound is drawn from the small label table, so only its documents' texts reach the driver: one for each id (the
     smallest by a hash, if rows repeat an id), none of more than ``text_bytes`` bytes, and as many as fit
-    ``total_bytes``, so what the driver holds doesn't depend on the table. Null ids and labels don't count; of several
+    ``total_bytes``, so what the driver holds doesn't depend on the table. Sizes decide first, on numbers alone; texts
+    are read for the rows that they chose. Null ids and labels don't count; of several
     labels of one id the smallest counts.
     """
     ids = labels.select(F.col(key).alias("__id"), F.col(label).cast("int").alias("__y")).filter(F.col("__id").isNotNull() & F.col("__y").isin(0, 1))
     ids = ids.filter(crc_bucket(F.col("__id"), of) != fold).groupBy("__id").agg(F.min("__y").alias("__y"))
     ids = ids.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(rows)
-    size = F.coalesce(F.octet_length("__text"), F.lit(0))
-    found = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(ids), "__id").filter(size <= text_bytes)
-    found = found.groupBy("__id", "__y").agg(F.min_by("__text", F.struct(F.xxhash64("__text"), F.col("__text"))).alias("__text"))
+    texts = docs.select(F.col(f"`{key}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
+    texts = texts.withColumns({"__size": F.coalesce(F.octet_length("__text"), F.lit(0)), "__hash": F.xxhash64("__text")})
+    sizes = texts.drop("__text").join(F.broadcast(ids), "__id").filter(F.col("__size") <= text_bytes)
+    sizes = sizes.groupBy("__id", "__y").agg(F.min(F.struct("__hash", "__size")).alias("m")).select("__id", "__y", "m.*")
     by = [F.xxhash64("__id", F.lit(11)), F.col("__id")]
-    found = found.withColumn("__bytes", F.sum(size).over(W.orderBy(*by))).filter(F.col("__bytes") <= total_bytes)
+    chosen = sizes.withColumn("__bytes", F.sum("__size").over(W.orderBy(*by))).filter(F.col("__bytes") <= total_bytes).drop("__bytes", "__size")
+    found = texts.drop("__size").join(F.broadcast(chosen), ["__id", "__hash"]).groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
     return [(r["__text"], r["__y"]) for r in found.orderBy("__id").select("__text", "__y").collect()]
 
 
