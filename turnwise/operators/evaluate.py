@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +45,21 @@ def accuracy(rows: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     return rows.agg(*[F.bround(F.avg(F.col(a).eqNullSafe(F.col(b)).cast("double")), 3).alias(n) for n, (a, b) in pairs.items()])
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group; null is a group."""
+    named = groups.withColumnsRenamed({c: f"__{c}" for c in by})
+    return rows.join(named, reduce(lambda a, b: a & b, [rows[c].eqNullSafe(named[f"__{c}"]) for c in by])).drop(*[f"__{c}" for c in by])
+
+
+def _running_by(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """rows with the sum of ``value`` over the rows of their group before them: one running sum over all groups, less what a group begins with, so no group is one task's work."""
+    out = running(rows, [*map(F.col, by), F.col(order)], {name: F.col(value)})
+    if not by:
+        return out
+    out = _with_groups(out, out.groupBy(*by).agg(F.min(name).alias("__first")), by)
+    return out.withColumn(name, F.col(name) - F.col("__first")).drop("__first")
+
+
 def auroc(rows: DataFrame, score: str = "score", positive: str = "positive", by: list[str] | None = None) -> DataFrame:
     """Share of (positive, negative) pairs in which the positive scores higher, ties half; NaN if a side is empty.
 
@@ -51,10 +68,7 @@ def auroc(rows: DataFrame, score: str = "score", positive: str = "positive", by:
     by = by or []
     one = lambda c: F.sum(c.cast("long"))
     per = rows.groupBy(*by, score).agg(one(F.col(positive)).alias("np"), one(~F.col(positive)).alias("nn"))
-    if by:
-        per = per.withColumn("below", F.coalesce(F.sum("nn").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    else:
-        per = running(per, [F.col(score)], {"below": F.col("nn")})
+    per = _running_by(per, by, score, "nn", "below")
     agg = per.withColumn("wins", F.col("np") * (F.col("below") + F.col("nn") / 2)).groupBy(*by).agg(F.sum("wins").alias("w"), F.sum("np").alias("p"), F.sum("nn").alias("n"))
     return agg.select(*by, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("w") / (F.col("p") * F.col("n"))).otherwise(F.lit(float("nan"))).alias("auroc"))
 
@@ -63,11 +77,10 @@ def at_rank(rows: DataFrame, value: str, index: Column, by: list[str] | None = N
     """The value at a 0-based rank given as an expression of ``n``, by cumulative counts of distinct values."""
     by = by or []
     per = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    per = _running_by(per, by, value, "c", "ahead")
     if by:
-        w = W.partitionBy(*by)
-        per = per.withColumns({"ahead": F.sum("c").over(w.orderBy(value)) - F.col("c"), "n": F.sum("c").over(w)})
+        per = _with_groups(per, per.groupBy(*by).agg(F.sum("c").alias("n")), by)
     else:
-        per = running(per, [F.col(value)], {"ahead": F.col("c")})
         per = per.crossJoin(F.broadcast(per.agg(F.sum("c").alias("n"))))  # one row
     hit = per.withColumn("i", index).filter((F.col("i") < F.col("ahead") + F.col("c")) & (F.col("i") >= F.col("ahead")))
     return hit.select(*by, F.col(value).alias("value"), "n")
@@ -139,9 +152,9 @@ def dedupe_first_label(rows: DataFrame, text: str = "text", label: str = "label"
 
 
 def balanced(rows: DataFrame, n: int, positive: str = "positive", order: str = "ord") -> DataFrame:
-    """The first n/2 positives and the first n/2 negatives."""
-    r = F.row_number().over(W.partitionBy(positive).orderBy(order))
-    return rows.withColumn("__r", r).filter(F.col("__r") <= n // 2).drop("__r")
+    """The first n/2 positives and the first n/2 negatives, each by a limit that tasks apply before anything is sorted together."""
+    first = lambda side: rows.filter(side).orderBy(order).limit(n // 2)
+    return first(F.col(positive)).unionByName(first(~F.col(positive)))
 
 
 def multilabel_micro(rows: DataFrame, logits: str = "logits", gold: str = "gold") -> DataFrame:

@@ -245,14 +245,16 @@ def best_match(live: DataFrame, patterns: DataFrame, key: list[str], partial: bo
     Matching runs on distinct (steps, tactics), each with the patterns that it shares a step or tactic with.
     """
     sim = partial_similarity if partial else fingerprint_similarity
-    kinds = live.select("steps", "tactics").distinct()
+    kinds = staged(live.select("steps", "tactics").distinct(), "kinds")
     p = patterns.select("pattern_ord", F.col("id").alias("pattern_id"), F.col("name").alias("pattern_name"), F.col("size").alias("members"), F.col("steps").alias("p_steps"), F.col("tactics").alias("p_tactics"))
     holds = lambda s, t: F.explode(F.array_union(F.transform(s, lambda x: F.concat(F.lit("s:"), x)), F.transform(t, lambda x: F.concat(F.lit("t:"), x))))
     asked, held = kinds.withColumn("__holds", holds(F.col("steps"), F.col("tactics"))), p.select("pattern_ord", holds(F.col("p_steps"), F.col("p_tactics")).alias("__holds"))
     pairs = asked.join(held, "__holds").select("steps", "tactics", "pattern_ord").distinct()  # those without a common step or tactic score nothing
     scored = pairs.join(p, "pattern_ord").withColumn("score", sim(F.col("steps"), F.col("tactics"), F.col("p_steps"), F.col("p_tactics"))).filter("score > 0")
     best = scored.groupBy("steps", "tactics").agg(F.max_by(F.struct("pattern_id", "pattern_name", "members", "score", "p_steps"), F.struct("score", -F.col("pattern_ord"))).alias("b"))
-    out = live.join(best, ["steps", "tactics"], "left")
+    # The key comes from a generator: of a column that is an expression of another, Catalyst infers filters on the other side that name columns of this one.
+    keyed = live.select("*", F.explode(F.array(F.struct("steps", "tactics"))).alias("__key"))
+    out = keyed.join(best.select(F.struct("steps", "tactics").alias("__key"), "b"), "__key", "left")
     return out.select(*[c for c in live.columns], F.col("b.pattern_id"), F.col("b.pattern_name"), F.col("b.members"), F.coalesce("b.score", F.lit(0.0)).alias("match_score"), (F.coalesce("b.score", F.lit(0.0)) < dims.NOVEL_BELOW).alias("novel"), F.col("b.p_steps").alias("prototype"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dims, privacy
 from ..functions.sequences import fingerprint_similarity
 from ..operators import evaluate, extract, folds, patterns
-from ..sources.stage import staged
+from ..sources.stage import if_small, staged
 from . import datagen, session
 
 
@@ -66,13 +66,13 @@ def leave_families_out(library: DataFrame, test: DataFrame, threshold: float = d
     """
     families = test.select(F.col("family").alias("excluded")).distinct()
     kinds = library.withColumn("kind", F.concat_ws("|", dims.step_code(F.col("steps")), F.array_join("tactics", ",")))
-    per = kinds.join(F.broadcast(families), F.col("family") != F.col("excluded")).groupBy("excluded", "kind").agg(F.first("steps").alias("steps"), F.first("tactics").alias("tactics"), F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
+    per = kinds.join(if_small(families), F.col("family") != F.col("excluded")).groupBy("excluded", "kind").agg(F.first("steps").alias("steps"), F.first("tactics").alias("tactics"), F.count("*").alias("n"), F.min("conv_id").alias("first_conv"))
     per = staged(per.withColumn("code", F.concat_ws("#", "excluded", "kind")), "kinds")
     member = patterns.clusters(per, threshold, "excluded").select("code", F.concat_ws("#", "excluded", F.col("cluster").cast("string")).alias("cluster"))
     proto = staged(patterns.medoids(per, member).join(per.select("code", "excluded", F.col("steps").alias("y"), F.col("tactics").alias("q")), "code").select("excluded", "y", "q"), "prototypes")
     n_held = test.groupBy("family").agg(F.count("*").alias("n_held")).withColumnRenamed("family", "excluded")
     held = test.select(F.col("family").alias("excluded"), "conv_id", "steps", "tactics", F.lit(True).alias("held"))
-    others = test.join(F.broadcast(n_held), F.col("family") != F.col("excluded"))
+    others = test.join(if_small(n_held), F.col("family") != F.col("excluded"))
     first = F.row_number().over(W.partitionBy("excluded").orderBy("family", "conv_id"))
     known = others.withColumn("r", first).filter("r <= n_held").select("excluded", "conv_id", "steps", "tactics", F.lit(False).alias("held"))
     rows = held.unionByName(known)

@@ -71,9 +71,12 @@ def analyse(turns: DataFrame, library: Library, mode: str = "typed", extractor:
 
 
 def _with_prediction(matched: DataFrame, predicted: DataFrame) -> DataFrame:
-    p = predicted.select(*[F.col(c).alias(f"__{c}") for c in ("steps", "match_score", "novel", "prototype", "pattern_name")], "next", "probability", "support", "order", "confidence", "evidence")
-    same = reduce(lambda a, b: a & b, [matched[c].eqNullSafe(p[f"__{c}"]) for c in ("steps", "match_score", "novel", "prototype", "pattern_name")])
-    return matched.join(p, same, "left").drop(*[c for c in p.columns if c.startswith("__")])
+    """matched with the prediction for its distinct combination, joined on two hashes of that."""
+    cols = ["steps", "match_score", "novel", "prototype", "pattern_name"]
+    key = F.to_json(F.struct(*cols))  # names what isn't null
+    hashes = F.struct(F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2"))
+    p = predicted.select(hashes.alias("__key"), "next", "probability", "support", "order", "confidence", "evidence")
+    return matched.select("*", F.explode(F.array(hashes)).alias("__key")).join(p, "__key", "left").drop("__key")
 
 
 def events(a: Analysis) -> DataFrame:

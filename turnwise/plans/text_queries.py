@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, privacy
 from ..operators import evaluate, extract, folds, graph, semantic
-from ..sources.stage import if_small, staged
+from ..sources.stage import if_small, is_small, staged
 from . import datagen, session
 from .queries import EV, ORACLES, PROGRESS, evidence, hits, query, table
 
@@ -278,8 +278,12 @@ def _held(passages: DataFrame, documents: DataFrame) -> DataFrame:
     inner = F.slice(F.split("q", " "), F.lit(2), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0)))
     keyed = passages.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
     long = keyed.filter("key IS NOT NULL")
-    keys = long.agg(F.collect_set("key").alias("keys"))  # one row, of the passages' size
-    near = documents.crossJoin(if_small(keys)).withColumn("key", F.explode(F.array_intersect(F.split("t", " "), F.col("keys"))))
+    keys = long.select("key").distinct()
+    if is_small(keys):  # one row with all keys goes to the texts
+        near = documents.crossJoin(F.broadcast(keys.agg(F.collect_list("key").alias("keys")))).withColumn("key", F.explode(F.array_intersect(F.split("t", " "), F.col("keys"))))
+    else:
+        words = documents.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
+        near = documents.join(words.join(keys, "key"), "doc_id")
     found = near.join(if_small(long), "key").filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
     short = keyed.filter("key IS NULL")
     return found.unionByName(documents.join(if_small(short), F.contains("t", F.col("q"))).select("item_id", "doc_id"))

@@ -50,6 +50,12 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def if_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """df, marked for broadcast if it has at most that many rows; else as it is, for Spark to join as it sees fit."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = 100_000, size: int = 8 << 20) -> bool:
+    """Whether df has at most that many rows and, written as JSON, bytes."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= size
+
+
+def if_small(df: DataFrame, rows: int = 100_000, size: int = 8 << 20) -> DataFrame:
+    """df, marked for broadcast if it is small; else as it is, for Spark to join as it sees fit."""
+    return F.broadcast(df) if is_small(df, rows, size) else df
