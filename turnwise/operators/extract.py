@@ -266,11 +266,14 @@ _EXTRACTORS: dict[str, Extractor] = {"rules": rules}
 
 
 def register_extractor(name: str, make: Extractor) -> None:
-    """Adds a stage turns -> turns with ``event``, such as a model's client on mapInPandas."""
+    """Adds a stage turns -> turns with ``event``."""
     _EXTRACTORS[name] = make
 
 
 def build_extractor(name: str = "rules") -> Extractor:
+    """The stage of a name: rules, semantic, hybrid, or one that was registered, such as ``model.model_extractor`` or ``model.ensemble_extractor`` of a client."""
+    from . import semantic  # noqa: F401  (registers its stages)
+
     if name not in _EXTRACTORS:
         raise ValueError(f"no extractor {name!r}; there are {', '.join(sorted(_EXTRACTORS))}")
     return _EXTRACTORS[name]

@@ -1,4 +1,4 @@
-"""kNN-margin signal classifier over embeddings, clause splitting, exemplar banks."""
+"""kNN-margin signal classifier over embeddings, clause splitting, exemplar banks, and the stages made of them."""
 
 from __future__ import annotations
 
@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 from ..functions import dims
 from ..sources.stage import staged
-from . import extract
+from . import encode, extract
+
+#: For the vectors of ``encode``: how similar a clause must be to a label's exemplars, and by how much more than to those of none.
+MIN_SIM, MARGIN, NEAREST = 0.35, 0.05, 1
 
 SUBCLAUSE = r"(?i),\s+|\s+(?:and then|then|aur phir|phir|aur|and)\s+"  # fixed values: what parts a sentence
 TRIM = " .?!;"
@@ -130,3 +133,52 @@ def hybrid_event(rules: Column, semantic: Column) -> Column:
     """Rules and semantic events merged, with the rules' actor and intent."""
     m = extract.merge(rules, semantic)
     return m.withField("actor_claim", rules["actor_claim"]).withField("communication_intent", rules["communication_intent"])
+
+
+def default_bank(spark) -> DataFrame:
+    """Exemplars (text, label) of the wordings that come with the engine."""
+    from ..plans import datagen
+
+    t = datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7)
+    return exemplars(t.filter("speaker = 'caller'").select("text", "spans"), t.filter("speaker = 'user'").select("text"))
+
+
+def clause_hits(turns: DataFrame, bank: DataFrame, k: int = NEAREST, min_sim: float = MIN_SIM, margin: float = MARGIN) -> DataFrame:
+    """conv_id, turn_idx, signal, evidence, confidence: the strongest clause of each signal in each caller's turn.
+
+    Clauses are exploded and each distinct one is embedded and compared with the bank once, in blocks; hits go back to
+    all places where a clause stands. The evidence is a substring of the turn.
+    """
+    said = turns.filter("speaker = 'caller' AND text IS NOT NULL").select("conv_id", "turn_idx", F.posexplode(clauses(F.col("text"))).alias("ord", "clause"))
+    said = staged(said, "clauses")
+    asked = said.select(F.col("clause").alias("query_id")).distinct().withColumn("vec", encode.embed(F.col("query_id")))
+    known = bank.select("label", encode.embed(F.col("text")).alias("vec"))
+    hits = margin_hits(label_scores(asked, known, k), "NONE", min_sim, margin).withColumnRenamed("query_id", "clause")
+    return best_clause(said.join(hits, "clause"))
+
+
+def semantic_extractor(bank: DataFrame | None = None, **options) -> extract.Extractor:
+    """A stage turns -> turns with the event of the clauses that lie near exemplars of a signal."""
+
+    def stage(turns: DataFrame) -> DataFrame:
+        hits = clause_hits(turns, default_bank(turns.sparkSession) if bank is None else bank, **options)
+        per = hits.groupBy("conv_id", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("signal", "evidence", F.col("confidence").cast("double").alias("confidence")))).alias("__hits"))
+        t = turns.join(per, ["conv_id", "turn_idx"], "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(extract.HITS)))
+        return t.select(*turns.columns, semantic_event(F.col("__hits"), F.col("speaker")).cast(extract.EVENT).alias("event"))
+
+    return stage
+
+
+def hybrid_extractor(bank: DataFrame | None = None, **options) -> extract.Extractor:
+    """A stage whose event is that of the rules, merged with the semantic one."""
+
+    def stage(turns: DataFrame) -> DataFrame:
+        ruled = extract.rules(turns).withColumnRenamed("event", "__rules")
+        both = semantic_extractor(bank, **options)(ruled)
+        return both.withColumn("event", hybrid_event(F.col("__rules"), F.col("event")).cast(extract.EVENT)).drop("__rules")
+
+    return stage
+
+
+extract.register_extractor("semantic", lambda turns: semantic_extractor()(turns))
+extract.register_extractor("hybrid", lambda turns: hybrid_extractor()(turns))

@@ -34,6 +34,21 @@ def query(sql: str | None = None):
     return add
 
 
+#: Queries on lines or conversations that the engine makes itself: demonstrations that tests run, not part of the registry.
+FIXTURES: dict[str, Callable] = {}
+FIXTURE_ORACLES: dict[str, str] = {}
+
+
+def fixture(sql: str | None = None):
+    def add(f):
+        FIXTURES[f.__name__] = f
+        if sql:
+            FIXTURE_ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

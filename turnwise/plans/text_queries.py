@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, privacy
 from ..operators import evaluate, extract, folds, graph, semantic
-from ..sources.stage import if_small, is_small, staged
+from ..operators.grounding import held, window_overlaps
+from ..sources.stage import staged
 from . import datagen, session
-from .queries import EV, ORACLES, PROGRESS, evidence, hits, query, table
+from .queries import EV, ORACLES, PROGRESS, evidence, fixture, hits, query, table
 
 # ---- redaction ---------------------------------------------------------------------------------------------------------
 
@@ -64,7 +65,7 @@ def leak_rate(spark, sf_dir):
     return r.agg(n(F.col("vals"))("n_values"), n(privacy.leaked(F.col("vals"), F.col("text")))("leaked_none"), n(privacy.leaked(F.col("vals"), F.col("redacted")))("leaked_typed")).select(*[F.col(c).cast("long").alias(c) for c in ("n_values", "leaked_none", "leaked_typed")])
 
 
-@query()
+@fixture()
 def privacy_mode_sweep(spark, sf_dir):
     """mode, n_pii, leaked over the three modes on generated conversations."""
     t = datagen.turns(datagen.conversations(spark, 6))
@@ -257,6 +258,11 @@ _NORM = r"""trim(regexp_replace(regexp_replace(translate(lower(nfc_normalize(tex
 @query(f"WITH b AS (SELECT item_id, {_NORM} AS q FROM benchmark), d AS (SELECT doc_id, {_NORM} AS t FROM documents) SELECT item_id, doc_id FROM b JOIN d ON q <> '' AND contains(t, q)")
 def grounding_exact(spark, sf_dir):
     """All benchmark passages found whole in all documents, both normalised after NFKC. The passages are a bounded table."""
+    return held(*_normalised(spark, sf_dir))
+
+
+def _normalised(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Passages (item_id, q) and documents (doc_id, t), written."""
 
     def normal(c):
         """ASCII texts don't go to Python."""
@@ -264,35 +270,30 @@ def grounding_exact(spark, sf_dir):
         return extract.normalise(F.coalesce(extract.nfkc(F.when(~ascii_, c)), c))
 
     b = table(spark, sf_dir, "benchmark").select("item_id", normal(F.col("text")).alias("q")).filter("q <> ''")
-    d = table(spark, sf_dir, "documents").select("doc_id", normal(F.col("text")).alias("t"))
-    return _held(b, staged(d, "normal"))
-
-
-def _held(passages: DataFrame, documents: DataFrame) -> DataFrame:
-    """item_id, doc_id of passages (item_id, q) that documents (doc_id, t) hold, both normalised.
-
-    A passage's longest inner word stands whole in every text that holds the passage: only texts with that word are
-    searched. Passages of one or two words have no inner word; they alone are looked for in all texts.
-    """
-    passages = staged(passages, "passages")
-    inner = F.slice(F.split("q", " "), F.lit(2), F.greatest(F.size(F.split("q", " ")) - 2, F.lit(0)))
-    keyed = passages.withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
-    long = keyed.filter("key IS NOT NULL")
-    keys = long.select("key").distinct()
-    if is_small(keys):  # one row with all keys goes to the texts
-        near = documents.crossJoin(F.broadcast(keys.agg(F.collect_list("key").alias("keys")))).withColumn("key", F.explode(F.array_intersect(F.split("t", " "), F.col("keys"))))
-    else:
-        words = documents.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
-        near = documents.join(words.join(keys, "key"), "doc_id")
-    found = near.join(if_small(long), "key").filter(F.contains("t", F.col("q"))).select("item_id", "doc_id")
-    short = keyed.filter("key IS NULL")
-    return found.unionByName(documents.join(if_small(short), F.contains("t", F.col("q"))).select("item_id", "doc_id"))
+    return b, staged(table(spark, sf_dir, "documents").select("doc_id", normal(F.col("text")).alias("t")), "normal")
+
+
+_WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+|\[[\p{L}\p{M}\p{Nd}\p{Pc}]+\]"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_NORM} AS q FROM benchmark), d AS (SELECT doc_id, {_NORM} AS t FROM documents),
+ e AS (SELECT item_id, q, regexp_extract_all(q, '{_WORD}') AS l FROM b), p AS (SELECT item_id, len(l) AS n, list_distinct(l) AS e, len(list_distinct(l)) AS m FROM e WHERE len(l) > 0),
+ k AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS tk FROM d), o AS (SELECT doc_id, len(tk) AS big, unnest(tk) AS w, unnest(range(len(tk))) AS pos FROM k),
+ x AS (SELECT item_id, n, m, unnest(e) AS w FROM p), h AS (SELECT item_id, doc_id, n, m, big, pos, w FROM x JOIN o USING (w)),
+ s AS (SELECT a.item_id, a.doc_id, any_value(a.m) AS m, a.start, count(DISTINCT h.w) AS c FROM (SELECT DISTINCT item_id, doc_id, n, m, least(pos, greatest(0, big - n)) AS start FROM h) a
+       JOIN h ON a.item_id = h.item_id AND a.doc_id = h.doc_id AND h.pos BETWEEN a.start AND a.start + a.n + 1 GROUP BY 1, 2, a.start),
+ r AS (SELECT item_id, doc_id, max(c / m) AS score FROM s GROUP BY 1, 2 HAVING max(c / m) >= 0.8 - 1e-9 UNION ALL SELECT item_id, doc_id, 1.0 FROM b JOIN d ON q <> '' AND contains(t, q))
+ SELECT item_id, doc_id, round(max(score), 6) AS score FROM r GROUP BY 1, 2""")
+def grounding_windows(spark, sf_dir):
+    """All benchmark passages that documents hold whole or, by four fifths of their tokens, in a window."""
+    b, d = _normalised(spark, sf_dir)
+    return window_overlaps(b, d).select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 _QUOTES = [("the officer said to pay the fee now", "The officer said that you pay the full fee right now."), ("share your otp", "Please share your OTP with me."), ("wire nine thousand dollars", "Nothing of the kind was said here."), ("stay on the line and wait", "stay on that line, and please wait")]
 
 
-@query("WITH q(i, e, t) AS (VALUES " + ", ".join(f"({i}, '{e}', '{t.lower()}')" for i, (e, t) in enumerate(_QUOTES)) + r"""), tk AS (SELECT i, e, trim(t, '.') AS t, regexp_extract_all(e, '[a-z0-9_]+') AS et, regexp_extract_all(t, '[a-z0-9_]+') AS tt FROM q),
+@fixture("WITH q(i, e, t) AS (VALUES " + ", ".join(f"({i}, '{e}', '{t.lower()}')" for i, (e, t) in enumerate(_QUOTES)) + r"""), tk AS (SELECT i, e, trim(t, '.') AS t, regexp_extract_all(e, '[a-z0-9_]+') AS et, regexp_extract_all(t, '[a-z0-9_]+') AS tt FROM q),
  w AS (SELECT i, e, t, et, tt, unnest(range(greatest(1, len(tt) - len(et) + 1))) AS s FROM tk)
  SELECT CAST(i AS INTEGER) AS i, round(max(CASE WHEN contains(t, e) THEN 1.0 ELSE len(list_intersect(list_distinct(et), tt[s + 1:s + len(et) + 2]))::DOUBLE / len(list_distinct(et)) END), 6) AS score FROM w GROUP BY i""")
 def grounding_window_overlap(spark, sf_dir):
@@ -364,13 +365,13 @@ _SIGNAL_SQL = {
 }
 
 
-@query("WITH f(i, speaker, text) AS (VALUES " + ", ".join(f"({i}, '{s}', '{t.lower()}')" for i, s, t in FIXTURE) + "), p(signal, p) AS (VALUES " + ", ".join(f"('{s}', '{p}')" for s, ps in _SIGNAL_SQL.items() for p in ps) + ") SELECT DISTINCT CAST(i AS INTEGER) AS turn_idx, signal, CASE WHEN signal IN ('REMOTE_ACCESS','CREDENTIAL_REQUEST','SECRECY','SAFETY_ADVICE') THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM f, p WHERE speaker = 'caller' AND regexp_matches(text, p)")
+@fixture("WITH f(i, speaker, text) AS (VALUES " + ", ".join(f"({i}, '{s}', '{t.lower()}')" for i, s, t in FIXTURE) + "), p(signal, p) AS (VALUES " + ", ".join(f"('{s}', '{p}')" for s, ps in _SIGNAL_SQL.items() for p in ps) + ") SELECT DISTINCT CAST(i AS INTEGER) AS turn_idx, signal, CASE WHEN signal IN ('REMOTE_ACCESS','CREDENTIAL_REQUEST','SECRECY','SAFETY_ADVICE') THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM f, p WHERE speaker = 'caller' AND regexp_matches(text, p)")
 def rule_signals_fixture(spark, sf_dir):
     t = spark.createDataFrame([("c", *r) for r in FIXTURE], "conv_id string, turn_idx int, speaker string, text string")
     return extract.hits_of(extract.rules(t)).select("turn_idx", "signal", "confidence")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::INTEGER, '{a}', '{n}')" for i, a, n in ((0, "NONE", "GREETING"), (1, "NONE", "THREATEN"), (2, "NONE", "VICTIM_RESPONSE"), (3, "KEEP_SECRET", "REQUEST_ACTION"), (4, "INSTALL_APP", "REQUEST_ACTION"), (5, "NONE", "REASSURE"), (6, "TRANSFER_MONEY", "REQUEST_ACTION"), (7, "TRANSFER_MONEY", "REQUEST_ACTION"), (8, "NONE", "INFORM"))) + ") t(turn_idx, action, intent)")
+@fixture("SELECT * FROM (VALUES " + ", ".join(f"({i}::INTEGER, '{a}', '{n}')" for i, a, n in ((0, "NONE", "GREETING"), (1, "NONE", "THREATEN"), (2, "NONE", "VICTIM_RESPONSE"), (3, "KEEP_SECRET", "REQUEST_ACTION"), (4, "INSTALL_APP", "REQUEST_ACTION"), (5, "NONE", "REASSURE"), (6, "TRANSFER_MONEY", "REQUEST_ACTION"), (7, "TRANSFER_MONEY", "REQUEST_ACTION"), (8, "NONE", "INFORM"))) + ") t(turn_idx, action, intent)")
 def rule_actions_fixture(spark, sf_dir):
     t = spark.createDataFrame([("c", *r) for r in FIXTURE], "conv_id string, turn_idx int, speaker string, text string")
     return extract.rules(t).select("turn_idx", F.col("event.requested_action").alias("action"), F.col("event.communication_intent").alias("intent"))
@@ -379,27 +380,27 @@ def rule_actions_fixture(spark, sf_dir):
 # ---- generated corpus and the whole analysis ---------------------------------------------------------------------------
 
 
-@query()
+@fixture()
 def generated_corpus(spark, sf_dir):
     """Families of a generated corpus; hashes decide everything, so SQL elsewhere can't repeat it."""
     t = datagen.turns(datagen.conversations(spark, 10))
     return t.groupBy("family").agg(F.countDistinct("conv_id").alias("n_conversations"), F.count("*").alias("n_turns"), F.sum(F.size("spans")).alias("n_spans"))
 
 
-@query()
+@fixture()
 def generated_languages(spark, sf_dir):
     """Turns of each language of a generated corpus, and how many of them are written in Devanagari."""
     t = datagen.turns(datagen.conversations(spark, 10))
     return t.groupBy("lang").agg(F.count("*").alias("n_turns"), F.sum(F.col("text").rlike(r"\p{IsDevanagari}").cast("long")).alias("n_devanagari"))
 
 
-@query()
+@fixture()
 def sft_rows(spark, sf_dir):
     t = staged(datagen.gold(datagen.turns(datagen.conversations(spark, 4))), "gold")
     return datagen.sft_rows(t).select("meta.conv", "meta.turn", F.md5(F.to_json("messages").cast("binary")).alias("messages_md5"))
 
 
-@query()
+@fixture()
 def conversation_analysis(spark, sf_dir):
     """Generated conversations through redaction, extraction, folds, matching and prediction, with a library of other ones."""
     train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
@@ -408,7 +409,7 @@ def conversation_analysis(spark, sf_dir):
     return session.snapshot(a).select("conv_id", "stage", "progress", "code", "pattern", "match_pct", "novel", "next", "confidence", "evidence_score", "pii_detected")
 
 
-@query()
+@fixture()
 def conversation_events(spark, sf_dir):
     train = datagen.incidents(datagen.turns(datagen.conversations(spark, 12, 7, None, 0.0), 7))
     lib = session.build_library(train, {f: v.label for f, v in datagen.FAMILIES.items()})
@@ -442,6 +443,25 @@ def rule_extraction_whole(spark, sf_dir):
     return t.select("conv_id", "turn_idx", F.col("event.requested_action").alias("action"), F.col("event.communication_intent").alias("intent"), F.size("event.manipulation_signals").alias("n_signals"), "n_pii")
 
 
+def _extracted(spark, sf_dir, kind: str) -> DataFrame:
+    t = privacy.redact(turns(spark, sf_dir), "text", "typed", "clean").select("conv_id", "turn_idx", "speaker", F.col("clean").alias("text"))
+    e = extract.build_extractor(kind)(t)
+    signals = F.transform("event.manipulation_signals", lambda h: h["signal"])
+    return e.select("conv_id", "turn_idx", F.array_join(signals, ",").alias("signals"), F.col("event.requested_action").alias("action"), F.col("event.stage").alias("stage"), F.col("event.confidence").alias("confidence"))
+
+
+@query()
+def semantic_extraction_whole(spark, sf_dir):
+    """Signals of every turn of the conversations table by the clauses that lie near exemplars; tests hold it against brute force."""
+    return _extracted(spark, sf_dir, "semantic")
+
+
+@query()
+def hybrid_extraction_whole(spark, sf_dir):
+    """The same by rules and clauses together."""
+    return _extracted(spark, sf_dir, "hybrid")
+
+
 @query()
 def session_prediction(spark, sf_dir):
     """The flagship: every session's code, stage, evidence score, best pattern, next step and confidence."""
@@ -489,7 +509,7 @@ def streamed_conversation_events(spark, sf_dir):
 # ---- reports on generated conversations --------------------------------------------------------------------------------
 
 
-@query()
+@fixture()
 def novelty_leave_family_out(spark, sf_dir):
     """Mean match of each family to a library without it."""
     from . import evaluation
@@ -499,7 +519,7 @@ def novelty_leave_family_out(spark, sf_dir):
     return evaluation.leave_families_out(known, test)[0]
 
 
-@query()
+@fixture()
 def extraction_report(spark, sf_dir):
     """Turns, action and stage accuracy, macro F1 and grounding rate of the rules on generated turns."""
     from . import evaluation
