@@ -198,3 +198,71 @@ def test_window_overlaps_against_all_windows(spark):
             if score >= 0.8:
                 want[i, j] = pytest.approx(score)
     assert got == want and len(want) > 50
+
+
+# ---- similarity and linkage at size --------------------------------------------------------------------------------------
+
+
+def fingerprints(rng, n, repeats=False):
+    from turnwise.functions import dims
+
+    steps, out = list(dims.STEPS), {}
+    while len(out) < n:
+        s = rng.sample(steps, rng.randint(1, 7)) if not repeats else [rng.choice([*steps, "ODD"]) for _ in range(rng.randint(0, 7))]
+        t = sorted(rng.sample(sorted(dims.SIGNALS), rng.randint(0, 4)))
+        out[">".join(s) + "|" + ",".join(t)] = (s, t)
+    return [(c, s, t, 1 + i % 3, f"c{i:05}") for i, (c, (s, t)) in enumerate(out.items())]
+
+
+FP = "code string, steps array<string>, tactics array<string>, n long, first_conv string"
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_bounds_lose_no_similar_pair(spark, repeats):
+    from turnwise.operators import patterns
+
+    df = spark.createDataFrame(fingerprints(random.Random(5), 60, repeats), FP).withColumn("node", F.xxhash64("code"))
+    every = {frozenset((r.a, r.b)): r.similarity for r in patterns.pair_similarity(df, "node").collect()}
+    for threshold in (0.55, 0.65, 0.8):
+        got = {frozenset((r.a, r.b)): r.s for r in patterns.similar_pairs(df, threshold).collect()}
+        assert got == {p: pytest.approx(s) for p, s in every.items() if s >= threshold}
+
+
+def test_nearest_against_all_pairs(spark):
+    from turnwise.operators import patterns
+
+    rows = fingerprints(random.Random(9), 80, True)
+    df = spark.createDataFrame(rows, FP)
+    every = {(r.a, r.b): r.similarity for r in patterns.pair_similarity(df).collect()}
+    sim = lambda a, b: every[min(a, b), max(a, b)] if a != b else (1.0 if rows_by[a] else 0.0)
+    rows_by = {r[0]: r[1] for r in rows}
+    live = df.limit(25)
+    got = {(r.code, r["rank"]): (r.incident, round(r.similarity, 9)) for r in patterns.nearest(live, df, 4).collect()}
+    for c in (r.code for r in live.collect()):
+        want = sorted((-round(sim(c, o), 9), o) for o in rows_by)[:4]
+        assert [got[c, k + 1] for k in range(4)] == [(o, -s) for s, o in want]
+
+
+@pytest.mark.parametrize("row_bytes", [1, 128 << 20])
+def test_linkage_by_rows_is_linkage(row_bytes):
+    """The same merges as with the whole matrix, also where next to no row is kept."""
+    from turnwise.operators import patterns
+
+    for seed in range(6):
+        rows = fingerprints(random.Random(seed), 60, seed % 2 == 1)
+        linked = patterns.Linkage([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows]), row_bytes)
+        m = np.array([linked.similarities(i) for i in range(60)])
+        np.fill_diagonal(m, 1.0)
+        for threshold in (0.4, 0.65):
+            fresh = patterns.Linkage([r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows]), row_bytes)
+            assert sorted(map(sorted, fresh.clusters(threshold))) == sorted(map(sorted, patterns.linkage(m, np.array([r[3] for r in rows]), threshold)))
+
+
+def test_linkage_beyond_the_old_limit():
+    from turnwise.operators import patterns
+
+    rows = fingerprints(random.Random(1), 4500)
+    start = time.process_time()
+    groups = patterns.Linkage([r[1] for r in rows], [r[2] for r in rows], np.ones(4500), 32 << 20).clusters(0.65)
+    assert sorted(i for g in groups for i in g) == list(range(4500)) and 1 < len(groups) < 4500
+    assert time.process_time() - start < 300

@@ -82,14 +82,14 @@ def most_similar(a: Column, b: Column, names: int) -> Column:
     la, lb, c = F.bit_count(a), F.bit_count(b), F.bit_count(a.bitwiseAND(b))
     moves = F.greatest(c - 1, F.lit(0))
     none = (la < 2) & (lb < 2)
-    bound = WEIGHTS[0] * 2 * c / (la + lb) + WEIGHTS[1] + WEIGHTS[2] * F.when(none, 1.0).otherwise(moves / F.greatest(la + lb - 2 - moves, F.lit(1)))
+    bound = WEIGHTS[0] * 2 * c / F.greatest(la + lb, F.lit(1)) + WEIGHTS[1] + WEIGHTS[2] * F.when(none, 1.0).otherwise(moves / F.greatest(la + lb - 2 - moves, F.lit(1)))
     return F.when((a == 0) | (b == 0), 0.0).when((a >= 1 << names) | (b >= 1 << names), 1.0).otherwise(bound)
 
 
 def bounded_similarity(a_steps: Column, a_tactics: Column, b_steps: Column, b_tactics: Column, least: Column) -> Column:
     """``fingerprint_similarity`` where it can reach ``least``, else null: sets are compared first, and the order only if they leave room."""
     sets = WEIGHTS[1] * jaccard(a_tactics, b_tactics) + WEIGHTS[2] * jaccard(bigrams(a_steps), bigrams(b_steps))
-    order = WEIGHTS[0] * 2 * F.least(F.size(a_steps), F.size(b_steps)) / (F.size(a_steps) + F.size(b_steps))
+    order = WEIGHTS[0] * 2 * F.least(F.size(a_steps), F.size(b_steps)) / F.greatest(F.size(a_steps) + F.size(b_steps), F.lit(1))
     return F.when(sets + order >= least - 1e-9, fingerprint_similarity(a_steps, a_tactics, b_steps, b_tactics))
 
 
