@@ -460,7 +460,7 @@ def test_queries_digest(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_against_sql(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for table in ("documents", "embeddings", "pages"):
+    for table in ("documents", "embeddings", "pages", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, sf)
