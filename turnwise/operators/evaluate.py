@@ -152,9 +152,10 @@ def dedupe_first_label(rows: DataFrame, text: str = "text", label: str = "label"
 
 
 def balanced(rows: DataFrame, n: int, positive: str = "positive", order: str = "ord") -> DataFrame:
-    """The first n/2 positives and the first n/2 negatives, each by a limit that tasks apply before anything is sorted together."""
+    """The first n/2 positives and the first n/2 negatives, each by a limit that tasks apply before anything is sorted together; null is neither."""
     first = lambda side: rows.filter(side).orderBy(order).limit(n // 2)
-    return first(F.col(positive)).unionByName(first(~F.col(positive)))
+    is_positive = F.col(positive).cast("boolean")
+    return first(is_positive).unionByName(first(~is_positive))
 
 
 def multilabel_micro(rows: DataFrame, logits: str = "logits", gold: str = "gold") -> DataFrame:
