@@ -76,6 +76,27 @@ def test_hybrid_keeps_the_rules_actor_and_adds_clauses(spark):
     assert both[2].manipulation_signals == []
 
 
+def test_clauses_of_turns_meet_a_small_bank_without_a_shuffle(spark, monkeypatch):
+    """Each row has its own hits, repeated turns and null ids too; a bank that isn't small gives the same in a join."""
+    rows = [("c", 0, "caller", "read out the codes"), ("c", 0, "caller", "I work at the bank. hello there my friend"), (None, 1, "caller", "read out the codes, and then tell me the code"), ("c", 2, "user", "read out the codes"), ("c", 3, "caller", None), ("c", 4, "caller", "")]
+    df = spark.createDataFrame(rows, TURN)
+    bank = spark.createDataFrame([*BANK, ("read out the codes", None), (None, "THREAT")], "text string, label string")
+
+    def hits(k):
+        e = semantic.semantic_extractor(bank, k=k, min_sim=0.3, margin=0.01)(df)
+        plan = e._jdf.queryExecution().optimizedPlan().toString()
+        return plan, sorted((str(r.conv_id), r.turn_idx, r.text or "", [(h.signal, h.evidence, round(h.confidence, 6)) for h in r.event.manipulation_signals]) for r in e.collect())
+
+    small = [hits(k) for k in (1, 2)]
+    monkeypatch.setattr(semantic, "BANK_ROWS", 1)
+    large = [hits(k) for k in (1, 2)]
+    assert [h for _, h in small] == [h for _, h in large]
+    assert not any("Join" in p or "Aggregate" in p for p, _ in small) and all("Join" in p for p, _ in large)
+    found = {(c, i, t): h for c, i, t, h in small[0][1]}
+    assert found["c", 0, rows[0][3]] and found["None", 1, rows[2][3]] and found["c", 0, rows[0][3]] != found["c", 0, rows[1][3]]
+    assert not found["c", 2, rows[3][3]] and not found["c", 3, ""]
+
+
 def test_registered_stages_over_the_conversations_table(spark):
     assert extract.build_extractor("semantic") and extract.build_extractor("hybrid")
     for q in ("semantic_extraction_whole", "hybrid_extraction_whole"):

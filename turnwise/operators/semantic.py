@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dims
-from ..sources.stage import staged
+from ..sources.stage import is_small, staged
 from . import encode, extract
 
 #: For the vectors of ``encode``: how similar a clause must be to a label's exemplars, and by how much more than to those of none.
 MIN_SIM, MARGIN, NEAREST = 0.35, 0.05, 1
+#: A bank of at most so many exemplars and bytes goes to every task (16 MB of vectors); a larger one meets the clauses in a join of blocks.
+BANK_ROWS, BANK_BYTES = 4_096, 4 << 20
 
 SUBCLAUSE = r"(?i),\s+|\s+(?:and then|then|aur phir|phir|aur|and)\s+"  # fixed values: what parts a sentence
 TRIM = " .?!;"
@@ -81,12 +85,17 @@ def margin_hits(scores: DataFrame, none_label="NONE", min_sim: float = 0.80, mar
     neg = scores.filter(F.col("label") == F.lit(none_label)).select("query_id", F.col("score").alias("neg"))
     j = scores.filter(F.col("label") != F.lit(none_label)).join(neg, "query_id")
     j = j.filter((F.col("score") >= min_sim) & (F.col("score") - F.col("neg") >= margin))
-    return j.select("query_id", "label", "score", F.least(F.lit(0.85), F.bround(0.5 + 5 * (F.col("score") - F.col("neg")), 3)).alias("confidence"))
+    return j.select("query_id", "label", "score", confidence(F.col("score"), F.col("neg")).alias("confidence"))
+
+
+def confidence(score: Column, neg: Column) -> Column:
+    """How sure a hit is, from by how much its score exceeds the none label's."""
+    return F.least(F.lit(0.85), F.bround(0.5 + 5 * (score - neg), 3))
 
 
-def best_clause(hits: DataFrame) -> DataFrame:
-    """conv_id, turn_idx, signal, evidence, confidence from clause hits (…, clause, ord): the strongest clause of each signal."""
-    g = hits.groupBy("conv_id", "turn_idx", F.col("label").alias("signal"))
+def best_clause(hits: DataFrame, key: tuple[str, ...] = ("conv_id", "turn_idx")) -> DataFrame:
+    """The key's columns, signal, evidence, confidence from clause hits (…, clause, ord): the strongest clause of each signal."""
+    g = hits.groupBy(*key, F.col("label").alias("signal"))
     return g.agg(F.max_by("clause", F.struct("confidence", -F.col("ord"))).alias("evidence"), F.max("confidence").alias("confidence"))
 
 
@@ -101,7 +110,7 @@ def grid_search(queries: DataFrame, margins: list[float], sims: list[float]) ->
     grid = spark.createDataFrame([(m, s) for m in margins for s in sims], "margin double, min_sim double")
     x = queries.join(F.broadcast(grid), F.lit(True))
     hit = (F.col("score") >= F.col("min_sim")) & (F.col("score") - F.col("neg") >= F.col("margin"))
-    conf = F.when(hit, F.least(F.lit(0.85), F.bround(0.5 + 5 * (F.col("score") - F.col("neg")), 3))).otherwise(0.0)
+    conf = F.when(hit, confidence(F.col("score"), F.col("neg"))).otherwise(0.0)
     per = x.groupBy("margin", "min_sim", "query_id", "positive").agg(F.max(conf).alias("s"))
     any_ = per.groupBy("margin", "min_sim").agg(F.avg(F.when(~F.col("positive"), (F.col("s") > 0).cast("double"))).alias("benign_any"))
     return auroc(per, "s", "positive", ["margin", "min_sim"]).join(any_, ["margin", "min_sim"]).orderBy(F.desc("auroc"), "benign_any", "margin", "min_sim")
@@ -143,27 +152,89 @@ def default_bank(spark) -> DataFrame:
     return exemplars(t.filter("speaker = 'caller'").select("text", "spans"), t.filter("speaker = 'user'").select("text"))
 
 
-def clause_hits(turns: DataFrame, bank: DataFrame, k: int = NEAREST, min_sim: float = MIN_SIM, margin: float = MARGIN) -> DataFrame:
-    """conv_id, turn_idx, signal, evidence, confidence: the strongest clause of each signal in each caller's turn.
+def clause_hits(turns: DataFrame, bank: DataFrame, k: int = NEAREST, min_sim: float = MIN_SIM, margin: float = MARGIN, key: tuple[str, ...] = ("conv_id", "turn_idx")) -> DataFrame:
+    """The key's columns, signal, evidence, confidence: the strongest clause of each signal in each caller's turn, for a bank of any size.
 
     Clauses are exploded and each distinct one is embedded and compared with the bank once, in blocks; hits go back to
     all places where a clause stands. The evidence is a substring of the turn.
     """
-    said = turns.filter("speaker = 'caller' AND text IS NOT NULL").select("conv_id", "turn_idx", F.posexplode(clauses(F.col("text"))).alias("ord", "clause"))
+    said = turns.filter("speaker = 'caller' AND text IS NOT NULL").select(*key, F.posexplode(clauses(F.col("text"))).alias("ord", "clause"))
     said = staged(said, "clauses")
     asked = said.select(F.col("clause").alias("query_id")).distinct().withColumn("vec", encode.embed(F.col("query_id")))
     known = bank.select("label", encode.embed(F.col("text")).alias("vec"))
     hits = margin_hits(label_scores(asked, known, k), "NONE", min_sim, margin).withColumnRenamed("query_id", "clause")
-    return best_clause(said.join(hits, "clause"))
+    return best_clause(said.join(hits, "clause"), key)
+
+
+NEAR = "array<struct<signal:string,evidence:string,score:double,neg:double,ord:int>>"
+
+
+def near_exemplars(turns: DataFrame, said: str, bank: DataFrame, k: int = NEAREST, min_sim: float = MIN_SIM, margin: float = MARGIN, block: int = 1024) -> DataFrame:
+    """turns with ``__near`` instead of their array of clauses: those that ``margin_hits`` has, for a bank that ``is_small``.
+
+    The bank's vectors go to every task. Clauses are embedded where they are and compared with the bank by one matrix
+    product a block, so no vector is written or shuffled, and a clause that many turns share makes no hot key.
+    """
+    rows = sorted((r["label"], r["text"] or "") for r in bank.filter("label IS NOT NULL").select("label", "text").collect())
+    labels = sorted({label for label, _ in rows})
+    starts = [next(i for i, r in enumerate(rows) if r[0] == label) for label in labels]
+    known, none = encode.vectors([t for _, t in rows]), labels.index("NONE") if "NONE" in labels else None
+
+    def scores(texts: list[str]) -> np.ndarray:
+        s = encode.vectors(texts) @ known.T
+        if k == 1:
+            return np.maximum.reduceat(s, starts, axis=1)
+        parts = np.split(s, starts[1:], axis=1)
+        return np.stack([(np.partition(p, p.shape[1] - k, axis=1)[:, -k:] if p.shape[1] > k else p).mean(axis=1) for p in parts], axis=1)
+
+    def hits(texts: list[str]) -> Iterator[tuple[int, str, float, float]]:
+        """Number of the text, label, score and none label's score of each hit."""
+        for i in range(0, len(texts) if none is not None else 0, block):
+            s = scores(texts[i : i + block])
+            hit = (s >= min_sim) & (s - s[:, [none]] >= margin)
+            hit[:, none] = False
+            for at, j in zip(*np.nonzero(hit)):
+                yield i + int(at), labels[j], float(s[at, j]), float(s[at, none])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code: dict[str, int] = {}
+            place = [(row, i, code.setdefault(c, len(code))) for row, cs in enumerate(b[said].to_pylist()) for i, c in enumerate(cs or ())]
+            texts, found = list(code), {}
+            for at, *hit in hits(texts):
+                found.setdefault(at, []).append(hit)
+            near: list[list[dict]] = [[] for _ in range(b.num_rows)]
+            for row, i, c in place:
+                for label, score, neg in found.get(c, ()):
+                    near[row].append({"signal": label, "evidence": texts[c], "score": score, "neg": neg, "ord": i})
+            kind = pa.list_(pa.struct({"signal": pa.string(), "evidence": pa.string(), "score": pa.float64(), "neg": pa.float64(), "ord": pa.int32()}))
+            rest = [n for n in b.schema.names if n != said]
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in rest), pa.array(near, kind)], [*rest, "__near"])
+
+    schema = T.StructType([*(f for f in turns.schema if f.name != said), T.StructField("__near", T._parse_datatype_string(NEAR))])
+    return turns.mapInArrow(run, schema)
+
+
+def strongest(near: Column) -> Column:
+    """The hits (signal, evidence, confidence) of a turn from those of ``near_exemplars``: each signal's strongest clause, the first of equals."""
+    rated = F.transform(near, lambda h: F.struct(h["signal"].alias("signal"), (-confidence(h["score"], h["neg"])).alias("less"), h["ord"].alias("ord"), h["evidence"].alias("evidence")))
+    kept = F.aggregate(F.array_sort(rated), F.array().cast("array<struct<signal:string,less:double,ord:int,evidence:string>>"), lambda a, h: F.when(F.exists(a, lambda o: o["signal"] == h["signal"]), a).otherwise(F.array_append(a, h)))
+    return F.transform(kept, lambda h: F.struct(h["signal"].alias("signal"), h["evidence"].alias("evidence"), (-h["less"]).alias("confidence")))
 
 
 def semantic_extractor(bank: DataFrame | None = None, **options) -> extract.Extractor:
-    """A stage turns -> turns with the event of the clauses that lie near exemplars of a signal."""
+    """A stage turns -> turns with the event of the clauses that lie near exemplars of a signal. A bank that is small goes to the turns; a larger one meets their distinct clauses in a join."""
 
     def stage(turns: DataFrame) -> DataFrame:
-        hits = clause_hits(turns, default_bank(turns.sparkSession) if bank is None else bank, **options)
-        per = hits.groupBy("conv_id", "turn_idx").agg(F.array_sort(F.collect_list(F.struct("signal", "evidence", F.col("confidence").cast("double").alias("confidence")))).alias("__hits"))
-        t = turns.join(per, ["conv_id", "turn_idx"], "left").withColumn("__hits", F.coalesce("__hits", F.array().cast(extract.HITS)))
+        known = staged(default_bank(turns.sparkSession) if bank is None else bank.select("text", "label"), "bank")
+        if is_small(known, BANK_ROWS, BANK_BYTES):
+            t = turns.withColumn("__said", F.when(F.col("speaker") == "caller", clauses(F.col("text"))))
+            t = near_exemplars(t, "__said", known, **options).withColumn("__hits", strongest(F.col("__near"))).drop("__near")
+        else:
+            t = staged(turns.withColumn("__row", F.monotonically_increasing_id()), "turns")  # written, so that a row's number stays
+            per = clause_hits(t, known, **options, key=("__row",)).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("signal", "evidence", F.col("confidence").cast("double").alias("confidence")))).alias("__hits"))
+            t = t.join(per, "__row", "left")
+        t = t.withColumn("__hits", F.coalesce("__hits", F.array().cast(extract.HITS)))
         return t.select(*turns.columns, semantic_event(F.col("__hits"), F.col("speaker")).cast(extract.EVENT).alias("event"))
 
     return stage
