@@ -444,7 +444,8 @@ def rule_extraction_whole(spark, sf_dir):
 
 
 def _extracted(spark, sf_dir, kind: str) -> DataFrame:
-    t = privacy.redact(turns(spark, sf_dir), "text", "typed", "clean").select("conv_id", "turn_idx", "speaker", F.col("clean").alias("text"))
+    """Turns are dealt out first: a text costs far more than its move, and a file may be one row group."""
+    t = privacy.redact(turns(spark, sf_dir).repartition("conv_id", "turn_idx"), "text", "typed", "clean").select("conv_id", "turn_idx", "speaker", F.col("clean").alias("text"))
     e = extract.build_extractor(kind)(t)
     signals = F.transform("event.manipulation_signals", lambda h: h["signal"])
     return e.select("conv_id", "turn_idx", F.array_join(signals, ",").alias("signals"), F.col("event.requested_action").alias("action"), F.col("event.stage").alias("stage"), F.col("event.confidence").alias("confidence"))
