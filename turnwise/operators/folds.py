@@ -35,19 +35,31 @@ def history_window(turns: DataFrame, n: int = 4) -> DataFrame:
     return t.withColumn("prompt_context", F.when(F.size("context") == 0, F.lit("(start of conversation)")).otherwise(F.array_join("context", "\n")))
 
 
-def turn_evidence(hits: DataFrame, gate: bool = True) -> DataFrame:
+#: Sums of evidence of a turn, or of a conversation so far, by stage: of what asks for something, and of the rest.
+SUMS = [f"{kind}_{i}" for i in range(len(dims.STAGES)) for kind in ("own", "ask")]
+
+
+def turn_evidence(hits: DataFrame, gate: bool = True, before: DataFrame | None = None) -> DataFrame:
     """Per turn with hits: pressured so far, score_0 to score_5 of the stages, reached stage index, or null, and its score.
 
     Asks count in part until the conversation has pressure and in full, retroactively, from then on; so a stage's score is
     its sum of other evidence so far plus its sum of asks so far times the factor that holds now.
+
+    ``before`` has what conversations hold from earlier hits (``carried``). It stands ahead of their turns, as a row that isn't
+    ``fresh``, so sums go on in the same order; those sums, and the stage and progress held, stay as columns.
     """
     full = F.greatest(dims.weight_of(F.col("signal")), F.lit(dims.MIN_WEIGHT)) * F.col("confidence")
     stage, ask = dims.stage_index_of(F.col("signal")), F.col("signal").isin(*dims.ASKS)
     parts = [F.sum(F.when((stage == i) & (ask == a), full).otherwise(0.0)).alias(f"{'ask' if a else 'own'}_{i}") for i in range(len(dims.STAGES)) for a in (False, True)]
     per_turn = hits.groupBy("conv_id", "turn_idx").agg(F.max(F.col("signal").isin(*dims.PRESSURE)).alias("pressure"), *parts)
-    so_far = W.partitionBy("conv_id").orderBy("turn_idx").rowsBetween(W.unboundedPreceding, 0)
+    order = ["turn_idx"]
+    if before is not None:
+        per_turn = per_turn.withColumn("fresh", F.lit(True)).unionByName(before.select(*per_turn.columns, F.lit(False).alias("fresh"), "stage", "progress"), allowMissingColumns=True)
+        order = ["fresh", "turn_idx"]
+    so_far = W.partitionBy("conv_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     factor = F.when(F.max("pressure").over(so_far), F.lit(1.0)).otherwise(F.lit(dims.UNPRESSURED if gate else 1.0))
-    scored = per_turn.select("conv_id", "turn_idx", F.max("pressure").over(so_far).alias("pressured"), *[(F.sum(f"own_{i}").over(so_far) + F.sum(f"ask_{i}").over(so_far) * factor).alias(f"score_{i}") for i in range(len(dims.STAGES))])
+    held = [] if before is None else ["fresh", "stage", "progress", *[F.sum(c).over(so_far).alias(c) for c in SUMS]]
+    scored = per_turn.select("conv_id", "turn_idx", F.max("pressure").over(so_far).alias("pressured"), *held, *[(F.sum(f"own_{i}").over(so_far) + F.sum(f"ask_{i}").over(so_far) * factor).alias(f"score_{i}") for i in range(len(dims.STAGES))])
     reached = F.greatest(*[F.when(F.col(f"score_{i}") >= dims.THRESHOLD, F.lit(i)) for i in range(len(dims.STAGES))])
     scored = scored.withColumn("reached", reached)
     return scored.withColumn("reached_score", reduce(lambda c, i: F.when(F.col("reached") == i, F.col(f"score_{i}")).otherwise(c), range(len(dims.STAGES)), F.lit(None).cast("double")))
@@ -65,8 +77,13 @@ def progress_emissions(evidence: DataFrame) -> DataFrame:
     """
     row = F.struct("turn_idx", F.col("reached").alias("stage_idx"), raw_progress(F.col("reached"), F.col("reached_score")).alias("progress"))
     seq = evidence.filter("reached IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    return seq.select("conv_id", F.inline(emissions(F.col("turns"), F.lit(-1), F.lit(0.0))["out"]))
+
+
+def emissions(turns: Column, stage: Column, at: Column) -> Column:
+    """Last emitted stage, its progress (``at``) and emitted events (``out``) after an array of turns (turn_idx, stage_idx, progress), from the stage and progress emitted before."""
     kind = "array<struct<turn_idx:int,stage_idx:int,progress:double>>"
-    zero = F.struct(F.lit(-1).alias("stage"), F.lit(0.0).alias("at"), F.array().cast(kind).alias("out"))
+    zero = F.struct(stage.alias("stage"), at.alias("at"), F.array().cast(kind).alias("out"))
 
     def step(acc: Column, t: Column) -> Column:
         p = F.greatest(t["progress"], acc["at"])
@@ -74,7 +91,17 @@ def progress_emissions(evidence: DataFrame) -> DataFrame:
         new = F.struct(t["turn_idx"].cast("int").alias("turn_idx"), t["stage_idx"].cast("int").alias("stage_idx"), p.alias("progress"))
         return F.struct(F.when(emit, t["stage_idx"].cast("int")).otherwise(acc["stage"]).alias("stage"), F.when(emit, p).otherwise(acc["at"]).alias("at"), F.when(emit, F.concat(acc["out"], F.array(new))).otherwise(acc["out"]).alias("out"))
 
-    return seq.select("conv_id", F.inline(F.aggregate("turns", zero, step)["out"]))
+    return F.aggregate(turns, zero, step)
+
+
+def carried(evidence: DataFrame) -> DataFrame:
+    """What each conversation holds after a part of its hits, from turn_evidence with ``before``: sums, pressure, last turn, last emitted stage and progress, and ``out``, the events of this part."""
+    turn = F.struct("turn_idx", F.col("reached").alias("stage_idx"), raw_progress(F.col("reached"), F.col("reached_score")).alias("progress"))
+    last = F.max_by(F.struct("turn_idx", F.col("pressured").alias("pressure"), *SUMS), F.struct("fresh", "turn_idx")).alias("last")
+    held = F.max(F.when(~F.col("fresh"), F.struct("stage", "progress"))).alias("held")
+    seq = evidence.groupBy("conv_id").agg(last, held, F.array_sort(F.collect_list(F.when(F.col("fresh") & F.col("reached").isNotNull(), turn))).alias("turns"))
+    now = emissions(F.col("turns"), F.coalesce(F.col("held.stage"), F.lit(-1)), F.coalesce(F.col("held.progress"), F.lit(0.0)))
+    return seq.withColumn("now", now).select("conv_id", "last.*", F.col("now.stage").alias("stage"), F.col("now.at").alias("progress"), F.col("now.out").alias("out"))
 
 
 def stage_history(evidence: DataFrame) -> DataFrame:

@@ -1,21 +1,19 @@
-"""The state machine as a stream: per-conversation state that outlives micro-batches."""
+"""The state machine as a stream: per-conversation state that outlives micro-batches, kept as a table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 from decimal import ROUND_HALF_EVEN, Decimal
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import dims
+from ..operators import folds
 from ..sources.stage import new_folder, staged
 
 OUT = "conv_id string, turn_idx int, stage_idx int, progress double"
-STATE = "scores array<double>, asks array<double>, pressured boolean, stage int, progress double"
+KEPT = "conv_id string, turn_idx int, pressure boolean, " + ", ".join(f"{c} double" for c in folds.SUMS) + ", stage int, progress double, out array<struct<turn_idx:int,stage_idx:int,progress:double>>"
 
 
 def _places2(x: float) -> float:
@@ -42,32 +40,28 @@ def advance(state: tuple, hits: list[tuple[str, float]], gate: bool = True) -> t
     return (own, asks, pressured, stage, progress), out
 
 
-class StageProcessor(StatefulProcessor):
-    """Emits stage events for hits that arrive as (conv_id, turn_idx, signal, confidence). Turns of a conversation are put in order inside a micro-batch."""
+def write_stages(folder: str):
+    """A writer of micro-batches of hits (conv_id, turn_idx, signal, confidence): stage events to ``out``, what conversations hold to ``kept``.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stage", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["turn_idx", "signal"], kind="stable")
-        known = self.state.get()
-        state = tuple(known) if known is not None else ([0.0] * 6, [0.0] * 6, False, -1, 0.0)
-        out = []
-        for turn, g in pdf.groupby("turn_idx", sort=True):
-            state, event = advance(state, list(zip(g.signal, g.confidence)))
-            if event:
-                out.append((key[0], int(turn), *event))
-        self.state.update(([float(x) for x in state[0]], [float(x) for x in state[1]], bool(state[2]), int(state[3]), float(state[4])))
-        if out:
-            yield pd.DataFrame(out, columns=["conv_id", "turn_idx", "stage_idx", "progress"]).astype({"turn_idx": "int32", "stage_idx": "int32"})
-
-    def close(self) -> None:
-        pass
+    Both are tables below ``folder`` with a part for each micro-batch. A micro-batch goes on from what the last one kept,
+    by the batch plan's own operators, so all of it runs in the JVM; it writes the state of all conversations anew, and the
+    state before the last one goes. One that was written is left as it is, one that broke off starts from the same state:
+    each event is there once. Turns of a conversation are put in order inside a micro-batch.
+    """
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{p}")
+        fs = path("out").getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path(f"out/{batch_id}/_SUCCESS")):
+            return
+        before = spark.read.schema(KEPT).parquet(f"{folder}/kept/{batch_id - 1}") if batch_id else spark.createDataFrame([], KEPT)
+        before = before.withColumn("conv_id", F.col("conv_id").cast(batch.schema["conv_id"].dataType))
+        folds.carried(folds.turn_evidence(batch, before=before)).withColumn("conv_id", F.col("conv_id").cast("string")).write.mode("overwrite").parquet(f"{folder}/kept/{batch_id}")
+        spark.read.schema(KEPT).parquet(f"{folder}/kept/{batch_id}").select("conv_id", F.inline("out")).write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+        fs.delete(path(f"kept/{batch_id - 2}"), True)
 
-def stage_stream(hits: DataFrame) -> DataFrame:
-    """Stage events of a stream (or, for a replay, a batch read as a stream) of hits. Needs the RocksDB state store."""
-    return hits.groupBy("conv_id").transformWithStateInPandas(statefulProcessor=StageProcessor(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    return write
 
 
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", ts: str = "ts", key: str = "user_id") -> DataFrame:
@@ -100,6 +94,5 @@ def replay_stages(hits: DataFrame, parts: int = 3, turns: int = 3) -> DataFrame:
         low, high = i * turns, (i + 1) * turns if i < parts - 1 else 1 << 30
         table.filter((F.col("turn_idx") >= low) & (F.col("turn_idx") < high)).write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(table.schema).parquet(f"{base}/in")
-        with _rocksdb(spark):
-            stage_stream(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(OUT).parquet(f"{base}/out")
+        stream.writeStream.foreachBatch(write_stages(base)).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{base}/out/*")
