@@ -423,6 +423,44 @@ def test_packing_round_trip(spark):
         assert at == len(ids)
 
 
+def test_packing_holds_a_slice_of_a_batch():
+    """What a worker holds beside a batch follows from SLICE, not from the batch, and what it remembers is bounded in bytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = pa.array([" ".join(rng.choices(["alpha", "Beta,", "gamma", "it's", "x2"], k=4000)) for _ in range(1200)], pa.string())
+    assert texts.nbytes > 4 * packing.SLICE
+    tokens = packing.WordTokens(tokenizer_path())
+    tracemalloc.start()
+    for _ in tokens.of_texts(texts):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20, peak
+    for _ in tokens.of_texts(pa.array(["".join(rng.choices("日本語の文", k=200_000)) for _ in range(12)], pa.string())):
+        pass
+    assert tokens.odd.words.nbytes <= packing.REMEMBERED
+
+
+def test_packing_slices_and_long_texts(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SLICE", 300)
+    monkeypatch.setattr(packing, "REMEMBERED", 200)
+    rng = random.Random(4)
+    texts = [None, "", *ODD, "é日 " * 400, "x" * 1000, "日" * 500 + " \n" + "it's " * 200, " " * 900, "word  " * 150 + "end", "a" * 300, "a" * 299 + " b"]
+    texts += [rng_text(rng, rng.choice((1, 20, 400, 3000))) for _ in range(40)] + [None]
+    t = Tokenizer.from_file(tokenizer_path())
+    want = [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    tokens = packing.WordTokens(tokenizer_path())
+    for given in (pa.array(texts, pa.string()), pa.array(texts, pa.large_string()), pa.array(["before", *texts, "after"], pa.string())[1:-1]):
+        assert [np.frombuffer(x, dtype="<u2").tolist() for x in tokens.of_texts(given)] == want
+    assert [np.frombuffer(tokens(x), dtype="<u2").tolist() for x in texts] == want
+
+
 def test_packing_odd_tables(spark):
     assert packing.pack(docs(spark, []), tokenizer_path()).count() == 0
     rows = packing.pack(docs(spark, ["a b", None, "a b"], [None, 3, None]), tokenizer_path()).collect()

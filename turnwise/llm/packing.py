@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,27 @@ CAPACITY, END = 4096, 2
 LINEAR, QUADRATIC = 1.0, 1 / 2048
 #: Documents that are packed together; a task holds at most their last, short pieces: SHARD_DOCS * CAPACITY ids of two bytes.
 SHARD_DOCS = 2000
-#: Words whose ids a worker remembers, and words since the last time it forgot the rest; it holds twice as many at most.
-REMEMBERED = 500_000
+#: Bytes of text that are taken apart at a time, which needs some ten times as many: a batch is worked off in slices, a longer text in parts.
+SLICE = 4 << 20
+#: Bytes of words, and of their ids, that a worker remembers, of plain ones and of odd ones; beyond that it forgets all but the last slice's, or these too.
+REMEMBERED = 4 << 20
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 #: A word of letters that no tokenizer normalises other than by case, and signs after it that no letter joins.
 PLAIN = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[.,;:!?%$&*#|()\"]*)$"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The positions first[i], first[i] + 1, ... of n[i] each, one run after the other; in four bytes if they fit."""
+    end = np.cumsum(n, dtype=np.int64)
+    total = int(end[-1]) if len(end) else 0
+    kind = np.int32 if max(total, int(first.max(initial=0)) + total) < 1 << 31 else np.int64
+    end -= n
+    out = np.repeat(np.subtract(first, end, dtype=np.int64).astype(kind), n)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class _Recent:
@@ -51,18 +66,38 @@ class _Recent:
             self.old, self.young = self.young, {}
 
 
-def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The positions first[i], first[i] + 1, ... of n[i] each, one run after the other."""
-    end = np.cumsum(n)
-    return np.repeat(first - (end - n), n) + np.arange(end[-1] if len(end) else 0)
+class _Known:
+    """Ids of the words met last, in three Arrow and numpy arrays: the words, their ids one after the other, how many each has."""
+
+    def __init__(self, tokenise: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.tokenise = tokenise
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.ids, self.n = pa.array([], pa.string()), np.empty(0, dtype="<u2"), np.empty(0, dtype=np.int32)
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        new = words.filter(pc.is_null(pc.index_in(words, self.words)))
+        ids, n = self.tokenise(new)
+        self.words, self.ids, self.n = pa.concat_arrays([self.words, new]), np.concatenate([self.ids, ids]), np.concatenate([self.n, n])
+        at = pc.index_in(words, self.words).to_numpy()
+        first, n = (np.cumsum(self.n, dtype=np.int64) - self.n)[at], self.n[at]
+        ids = self.ids[_spread(first, n)]
+        if self.words.nbytes + self.ids.nbytes > REMEMBERED:
+            self.forget()
+            if words.nbytes + ids.nbytes <= REMEMBERED:
+                self.words, self.ids, self.n = words, ids, n
+        return ids, n
 
 
 class WordTokens:
     """Ids of texts by a tokenizer whose tokens never span white space and whose words end in a token of their own.
 
-    Arrow splits a batch into words, numbers the distinct ones and takes them apart into plain letters and signs after
-    them; only distinct parts reach Python, where they are remembered, and new ones are tokenised in one text, which is
-    what the tokenizer is fast at. numpy puts words and texts together from their parts' ids.
+    Arrow splits a slice of a batch into words, numbers the distinct ones and takes them apart into plain letters and
+    signs after them; distinct plain parts are tokenised in one text, which is what the tokenizer is fast at, and only
+    odd words one by one; both are remembered. numpy puts words and texts together from their parts' ids.
+    What is held follows from SLICE, not from the batch, the table or a text, but for a text's own ids and a word above SLICE.
     """
 
     def __init__(self, path: str):
@@ -74,60 +109,87 @@ class WordTokens:
             raise ValueError("the vocabulary has ids of more than 16 bits")
         self.ends = np.zeros(1 << 16, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.parts, self.odd = _Recent(REMEMBERED), _Recent(REMEMBERED)
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-
-    def _of_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of distinct parts, each of which is one word to the tokenizer."""
-        self.parts.age()
-        young = self.parts.young
-        new = self.parts.missing(parts)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u2")
+        self.parts, self.odd = _Known(self._of_parts), _Known(self._of_odd)
+
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2")
+
+    def _of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct parts, each of which is one word to the tokenizer, one after the other, and how many each has."""
+        found, n = [np.empty(0, dtype="<u2")], [np.empty(0, dtype=np.int32)]
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096].to_pylist()
+            ids = self._one(" ".join(some))
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(some):
-                raw, at = ids.tobytes(), 0
-                for w, stop in zip(some, (2 * stops).tolist()):
-                    young[w], at = raw[at:stop], stop
+                found.append(ids)
+                n.append(np.diff(stops, prepend=0).astype(np.int32))
             else:
-                young.update((w, self._one(w)) for w in some)
-        return list(map(young.__getitem__, parts))
-
-    def _of_odd(self, words: list[str]) -> list[bytes]:
-        self.odd.age()
-        self.odd.young.update((w, self._one(w)) for w in self.odd.missing(words))
-        return list(map(self.odd.young.__getitem__, words))
-
-    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a batch of texts, one after the other, and where each text's begin; null texts have none."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+                each = [self._one(w) for w in some]
+                found += each
+                n.append(np.fromiter(map(len, each), dtype=np.int32, count=len(each)))
+        return np.concatenate(found), np.concatenate(n)
+
+    def _of_odd(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        each = [self._one(w.as_py()) for w in words]
+        return np.concatenate([np.empty(0, dtype="<u2"), *each]), np.fromiter(map(len, each), dtype=np.int32, count=len(each))
+
+    def _of_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, one after the other, and where each text's begin, and their end; null texts have none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
+        of = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = pc.dictionary_encode(lists.flatten())
-        words = coded.dictionary
+        del lists
+        words, at = coded.dictionary, coded.indices.to_numpy()
         apart = pc.extract_regex(words, PLAIN)
         plain = pc.is_valid(apart).to_numpy(zero_copy_only=False)
         stem = pc.dictionary_encode(pc.utf8_lower(pc.struct_field(apart, "stem").filter(plain)))
         signs = pc.dictionary_encode(pc.struct_field(apart, "signs").filter(plain))
-        tables = [self._of_parts(stem.dictionary.to_pylist()), [self._one(x) for x in signs.dictionary.to_pylist()], self._of_odd(words.filter(~plain).to_pylist())]
-        found = [x for t in tables for x in t] + [b""]
-        ids, n = np.frombuffer(b"".join(found), dtype="<u2"), np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+        del apart
+        tables = [self.parts.of(stem.dictionary), self._of_odd(signs.dictionary), self.odd.of(words.filter(~plain))]
+        ids, n = np.concatenate([t[0] for t in tables]), np.concatenate([*(t[1] for t in tables), np.zeros(1, dtype=np.int32)])
         first = np.cumsum(n) - n
-        item = np.full((len(words), 2), len(found) - 1)  # a word's parts; the last of all is empty
+        item = np.full((len(words), 2), len(n) - 1)  # a word's parts; the last of all is empty
         item[plain, 0] = stem.indices.to_numpy()
-        item[plain, 1] = signs.indices.to_numpy().astype(np.int64) + len(tables[0])
-        item[~plain, 0] = np.arange(len(tables[2])) + len(tables[0]) + len(tables[1])
+        item[plain, 1] = signs.indices.to_numpy().astype(np.int64) + len(tables[0][1])
+        item[~plain, 0] = np.arange(len(tables[2][1])) + len(tables[0][1]) + len(tables[1][1])
         flat = item.ravel()
-        ids, n = ids[_spread(first[flat], n[flat])], n[item].sum(axis=1)
-        first = np.cumsum(n) - n
-        at = coded.indices.to_numpy()
+        ids, n = ids[_spread(first[flat], n[flat])], n[item].sum(axis=1, dtype=np.int32)
+        first = np.cumsum(n, dtype=np.int64) - n
         length = n[at]
-        starts = np.concatenate([[0], np.cumsum(length)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        starts = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])[of]
         return ids[_spread(first[at], length)], starts
 
+    def _of_long(self, text: pa.Scalar) -> bytes:
+        """Ids of a text of more than SLICE bytes, in parts of about that size that end before white space or with the text."""
+        raw, at, found = memoryview(text.as_buffer()), 0, []
+        while at < len(raw):
+            to = at + SLICE
+            while to < len(raw) and (m := SPACE.search(raw[to : to + SLICE])) is None:
+                to += SLICE
+            to = to + m.start() if to < len(raw) else len(raw)
+            found.append(self._of_slice(pa.array([bytes(raw[at:to])], pa.binary()).cast(pa.string()))[0].tobytes())
+            at = to
+        return b"".join(found)
+
+    def of_texts(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids, of two bytes; null texts have none."""
+        end, i, before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64), 0, 0
+        while i < len(texts):
+            to = int(np.searchsorted(end, before + SLICE, side="right"))
+            if to > i:
+                ids, starts = self._of_slice(texts[i:to])
+                for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                    yield ids[a:b].tobytes()
+                del ids
+            else:
+                yield self._of_long(texts[i])
+                to = i + 1
+            pa.default_memory_pool().release_unused()
+            i, before = to, int(end[to - 1])
+
     def __call__(self, text: str | None) -> bytes:
-        return self.of_texts(pa.array([text], pa.string()))[0].tobytes()
+        return next(self.of_texts(pa.array([text], pa.string())))
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -204,9 +266,8 @@ def _pack(name: str, end: int, capacity: int, shard_docs: int):
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], [c.split()[0] for c in PACKED.split(", ")])
         for b in batches:
             rows: list[tuple] = []
-            every, starts = tokens.of_texts(b.column(1))
-            for i, key in enumerate(b.column(0).to_pylist()):
-                ids = every[starts[i] : starts[i + 1]].tobytes() + last
+            for key, ids in zip(b.column(0).to_pylist(), tokens.of_texts(b.column(1))):
+                ids += last
                 n = len(ids) // 2
                 for at in range(0, n, capacity):
                     piece = ids[2 * at : 2 * (at + capacity)]
